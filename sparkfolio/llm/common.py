@@ -104,3 +104,23 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     passed = flagged.filter(~F.col("_hit")).select(docs.columns)
     looked_at = flagged.filter("_hit").select(docs.columns).join(ids, id_col, "left_anti")
     return passed.unionByName(looked_at.select(docs.columns))
+
+
+def sample_by_hash(rows: DataFrame, group: str, key: str, per_group: int) -> list[tuple]:
+    """At most per_group distinct (key, group) of each group, those whose keys hash lowest, as sorted by (group, hash, key).
+
+    Counts come first, with map-side combine; then only keys below a group's threshold are collected, about one and a half times
+    per_group at most. No group meets in one task, however large it is.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, 1.5 * per_group / n + 50 / n))])
+    unit = F.shiftrightunsigned(F.xxhash64(F.col(key)), 11).cast("double") / F.lit(float(1 << 53))
+    low = rows.select(key, group, unit.alias("_u")).filter(F.col("_u") < F.element_at(share, F.col(group))).distinct().collect()
+    out, taken = [], dict.fromkeys(counts, 0)
+    for r in sorted(low, key=lambda r: (r[1], r[2], r[0])):
+        if taken[r[1]] < per_group:
+            taken[r[1]] += 1
+            out.append((r[0], r[1]))
+    return out

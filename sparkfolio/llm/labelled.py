@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.llm.common import sample_by_hash
+
 
 def crc_bucket(id_col: str, n: int):
     """crc32 of the id as text, modulo n."""
@@ -19,9 +21,12 @@ def sample_ids(labels: DataFrame, label_col: str, per_class: int, id_col: str =
     """
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_label IN (0, 1) AND _id IS NOT NULL")
     counts = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).collect()
-    unique = {r["_id"]: (r["_id"], r["_label"], r["_n"]) for r in chosen}
+    unique: dict = {}
+    placed = {0: 0, 1: 0}
+    for key, label in sample_by_hash(rows, "_label", "_id", per_class):
+        if key not in unique:
+            placed[label] += 1
+            unique[key] = (key, label, placed[label])
     return labels.sparkSession.createDataFrame(list(unique.values()), f"_id {rows.schema['_id'].dataType.simpleString()}, _label int, _n int"), counts
 
 
