@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.llm.common import sample_by_hash
 from sparkfolio.session import ship_package
 
 DOCS_PER_LANG = 300
@@ -175,9 +176,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """A bounded sample of text per language; labelled holds only rows that may be learned from."""
     spark = labelled.sparkSession
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    chosen = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= DOCS_PER_LANG).select("_id", "_lang").distinct().collect()
+    ids = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
+    chosen = sample_by_hash(ids, "_lang", "_id", DOCS_PER_LANG)
     if not chosen:
         return {}
     keys = spark.createDataFrame(chosen, ids.schema)
