@@ -40,7 +40,7 @@ class Logistic:
     """Logistic regression by Newton's method with a small ridge; the calibration of raw scores into probabilities."""
 
     def __init__(self, features: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float = 1e-2):
-        n, k = features.shape if len(features) else (0, 1)
+        n, k = features.shape
         self.mean = features.mean(0) if n else np.zeros(k)
         self.scale = np.maximum(features.std(0), 1e-9) if n else np.ones(k)
         self.coef = np.zeros(k + 1)

@@ -24,7 +24,7 @@ from sparkfolio.llm.labelled import Logistic, labelled_texts, sample_ids
 from sparkfolio.session import ship_package
 
 PER_CLASS = 3_000
-#: Of those, this share builds the dictionaries and the rest calibrates.
+#: Every other one of those calibrates; of the rest, so many build the dictionaries.
 DICTIONARY_DOCS = 1_200
 DICTIONARY_BYTES = 65_536
 SAMPLE_CHARS = 1_000
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(dictionaries, calibration) from labels, which hold only rows that may be learned from."""
     ids, counts = sample_ids(labels, label_col, PER_CLASS, id_col)
     texts = labelled_texts(docs, ids, id_col, text_col)
-    first = F.col("_n") <= DICTIONARY_DOCS
+    first = (F.col("_n") % 2 == 1) & (F.col("_n") < 2 * DICTIONARY_DOCS)
     middle = F.greatest(F.lit(1), F.floor((F.length("_text") - SAMPLE_CHARS) / 2)).cast("int")
     parts = texts.filter(first).select("_label", "_n", F.substring("_text", middle, F.lit(SAMPLE_CHARS)).alias("_text")).collect()
     samples: dict[int, list[bytes]] = {0: [], 1: []}
@@ -111,9 +111,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if r["_text"]:
             samples[r["_label"]].append(r["_text"].encode("utf-8", "surrogatepass"))
     dictionaries = _dictionary(samples[1]), _dictionary(samples[0])
-    more = {label: n > 1.2 * DICTIONARY_DOCS for label, n in counts.items()}
-    unseen = [~first if more.get(label) else F.lit(True) for label in (0, 1)]
-    rest = texts.filter(F.when(F.col("_label") == 0, unseen[0]).otherwise(unseen[1]))
+    rest = texts.filter("_n % 2 = 0")  # none that a dictionary was built from
     pdf = _featured(rest, dictionaries).join(F.broadcast(ids), "_id").toPandas()
     y = pdf["_label"].to_numpy(np.float64)
     seen = {label: max(1, int((y == label).sum())) for label in (0, 1)}
