@@ -136,7 +136,7 @@ def _outline_of(text):
 def outlines(docs: DataFrame, id_cols: list[str], markdown_col: str = "markdown") -> DataFrame:
     """Outline nodes of Markdown documents, one row a node."""
     s, i = pa.string(), pa.int64()
-    fields = [("node_id", s, "string"), ("title", s, "string"), ("level", i, "long"), ("path", s, "string"), ("start_byte", i, "long"), ("end_byte", i, "long")]
+    fields = [("node_id", s, "string"), ("title", s, "string"), ("level", i, "long"), ("section_path", s, "string"), ("start_byte", i, "long"), ("end_byte", i, "long")]
     return _explode(docs, id_cols, markdown_col, _outline_of, fields)
 
 
