@@ -1,4 +1,4 @@
-"""Office Open XML and EPUB files as Markdown sections, with the standard library's zip and XML readers.
+"""Files as Markdown sections: Office Open XML and EPUB with the standard library's zip and XML readers, PDF, HTML, delimited and plain text.
 
 Files are rows of the binaryFile source; each row is converted in an Arrow batch, and a bad file keeps its row with an error.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkfolio.session import ship_package
-from sparkfolio.sources import html
+from sparkfolio.sources import html, pdf
 from sparkfolio.sources.tabular import csv_to_markdown, markdown_table, number
 
 MAX_ENTRIES = 10_000
@@ -384,6 +384,7 @@ def text(raw: bytes) -> list[Section]:
 
 READERS = {
     "xlsx": xlsx, "docx": docx, "pptx": pptx, "epub": epub, "text": text, "subtitles": text,
+    "pdf": pdf.convert_bytes,
     "html": lambda raw: [("page", html.to_markdown(text(raw)[0][1]))],
     "csv": lambda raw: [("table", csv_to_markdown(text(raw)[0][1]))],
     "tsv": lambda raw: [("table", csv_to_markdown(text(raw)[0][1], "\t"))],
