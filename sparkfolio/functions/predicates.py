@@ -7,52 +7,62 @@ from pyspark.sql import functions as F
 
 #: fixed values: section names that stand alone as headings
 NAMED_HEADINGS = (
-    "abstract", "acknowledgements", "acknowledgments", "appendix", "background", "bibliography", "conclusion", "conclusions", "contents", "discussion",
-    "evaluation", "experiments", "introduction", "limitations", "method", "methods", "preface", "references", "related work", "results", "summary",
+    "abstract", "introduction", "background", "related work", "method", "methods", "methodology", "results", "discussion", "conclusion", "conclusions",
+    "references", "bibliography", "acknowledgments", "acknowledgements", "appendix", "summary", "contents", "table of contents", "preface", "foreword",
+    "index", "glossary",
 )
+#: fixed values: words that a heading of more than three words does not end with
+DANGLING = "the|of|and|to|a|an|in|for|with|by|on|or"
 
 
 def page_number(text: Column) -> Column:
-    """A page number: decimal or roman, perhaps with 'page', 'of' or '/'."""
-    return F.trim(F.lower(text)).rlike(r"^[-–—\s]*(?:page\s*)?(?:\d{1,4}|[ivxlcdm]{1,8})(?:\s*(?:/|of)\s*\d{1,4})?[-–—\s]*$")
+    """A page number of at most 16 characters: decimal or roman, perhaps after 'page', perhaps with totals after '/' or 'of'."""
+    bare = F.regexp_replace(F.lower(F.trim(text)), r"^[-–—\s]+|[-–—\s]+$", "")
+    bare = F.trim(F.regexp_replace(bare, "^page", ""))
+    return (F.octet_length(bare) <= 16) & bare.rlike(r"^(?:(?:of)?[/\s]+)*(?:[0-9]+|[ivxlc]{1,6})(?:[/\s]+(?:[0-9]+|of))*[/\s]*$")
 
 
 def caption_start(text: Column) -> Column:
-    return F.trim(text).rlike(r"^(?:(?i:figure|fig\.?|table)\s*|[図图表]\s*)[0-9]+")
+    return F.ltrim(F.lower(text)).rlike(r"^(?:figure|fig\.|fig|table|圖|图|表)\s*[0-9０-９]")
 
 
 def bullet(text: Column) -> Column:
-    return text.rlike(r"^(?:[•◦▪▫■□●○‣⁃∙·➢✓]|[-*–—] )")
+    """A bullet with something after it; dashes and stars need a space between."""
+    return text.rlike(r"^(?:[•◦▪‣●○■□·\x{F0B7}➢✓]\s*|[-*–—] \s*)\S")
 
 
 def enumerated(text: Column) -> Column:
-    return text.rlike(r"^(?:\([0-9A-Za-z]{1,4}\)|(?:[0-9]{1,3}|[A-Za-z])[.)] )")
+    return text.rlike(r"^(?:\([0-9A-Za-z]{1,4}(?:\)|$)|(?:[0-9]{1,3}|[a-z])[.)] )")
 
 
 def equation_number(text: Column) -> Column:
-    return F.trim(text).rlike(r"^\([0-9A-Z][0-9.]*[a-z]?\)$")
+    return F.trim(text).rlike(r"^\([0-9A-Za-z.]{0,6}\)$")
 
 
 def named_heading(text: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(text), ":$", "")).isin(*NAMED_HEADINGS)
+    return F.lower(F.regexp_replace(F.trim(text), ":+$", "")).isin(*NAMED_HEADINGS)
 
 
 def numbered_heading_level(text: Column) -> Column:
-    """The level of a numbered heading such as '2.1 Data': parts of the number; null for other lines."""
-    number = F.regexp_extract(text, r"^((?:\d{1,2}(?:\.\d{1,2}){0,3}|[A-Z]))\.?\s+(\S.*)$", 1)
-    title = F.regexp_extract(text, r"^((?:\d{1,2}(?:\.\d{1,2}){0,3}|[A-Z]))\.?\s+(\S.*)$", 2)
-    words = F.size(F.split(F.trim(title), r"\s+"))
-    letters = F.regexp_count(title, F.lit(r"\p{L}"))
+    """The level of a numbered heading such as '2.1 Data': parts of the number and one more, at most 6; null for other lines."""
+    line = F.trim(text)
+    number = F.regexp_replace(F.regexp_extract(line, r"^(\S+) ", 1), r"\.+$", "")
+    title = F.trim(F.regexp_extract(line, r"^\S+ (.*)$", 1))
+    words = F.size(F.split(title, r"\s+"))
+    parts = F.size(F.split(number, r"\."))
+    letters, solid = F.regexp_count(title, F.lit(r"\p{IsAlphabetic}")), F.length(F.regexp_replace(title, r"\s", ""))
     ok = (
-        (number != "")
+        (F.length(number) <= 8)
+        & number.rlike(r"^(?:(?:[0-9]|[12][0-9]|30|0[0-9]+)(?:\.[0-9]+){0,3}|[A-Z])$")
         & title.rlike(r"^\p{Lu}")
-        & words.between(1, 12)
-        & (F.octet_length(text) <= 90)
-        & (letters * 10 >= F.length(F.regexp_replace(title, r"\s", "")) * 7)
-        & ~title.rlike(r"(?i)\b(?:the|of|and|a|an|in|to|for|with|or)$")
-        & (F.coalesce(F.try_to_number(F.regexp_extract(number, r"^(\d{1,2})", 1), F.lit("99")), F.lit(0)) <= 30)
+        & (words <= 12)
+        & (F.octet_length(title) <= 90)
+        & ~title.rlike(r"[.,]$")
+        & ~(title.endswith(":") & (words > 6))
+        & ~((words > 3) & F.lower(title).rlike(rf" (?:{DANGLING})$"))
+        & (letters * 10 >= solid * 7)
     )
-    return F.when(ok, F.least(F.lit(6), F.regexp_count(number, F.lit(r"\.")) + 2 - F.when(number.contains("."), 0).otherwise(0)))
+    return F.when(ok, F.least(F.lit(6), parts + 1))
 
 
 def size_heading(size: Column, body: Column, text: Column) -> Column:

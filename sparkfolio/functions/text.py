@@ -73,7 +73,7 @@ def html_escape(text: Column) -> Column:
 
 def margin_key(text: Column) -> Column:
     """What makes running headers of different pages equal: no white space, digits as '#', ASCII lower case."""
-    bare = F.regexp_replace(F.regexp_replace(text, f"[{WS}]", ""), r"\p{N}", "#")
+    bare = F.regexp_replace(F.regexp_replace(text, f"[{WS}]", ""), "[0-9]", "#")
     return F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

@@ -36,8 +36,8 @@ def elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 #: fixed values: the patterns that name a line's role
 CAPTION = (
-    r"(?iu)^(fig(?:ure)?|table|chart|graph|plot|formula|eq(?:uation)?|image|diagram|algorithm|exhibit)\.?\s*"
-    r"(?:\(?[a-z]?\d+(?:[.-]\d+)*[a-z]?\)?|[ivxlcdm]+)(?:\s*[:.–—-]|\s+\S|$)"
+    r"(?iu)^(fig(?:ure)?|table|chart|graph|plot|formula|eq(?:uation)?|image|diagram|algorithm|exhibit)\.?"
+    r"(?:(?:\s*(?:\(?[a-z]?\d+(?:[.-]\d+)*[a-z]?\)?|\([A-Z]\)|[ivxlcdm]+)(?:\s*[:.)–—-]|\s+|$))|\s*[:)–—-])"
 )
 NAMED_SECTION = r"(?iu)^(appendix|chapter|section|part)\s+([A-Z0-9]+(?:\.\d+)*)(?:\s*[:.–—-]|\s+)\s*(.+)$"
 NUMBERED_SECTION = r"^(\d+(?:\.\d+)*)(?:\.)?\s+(.+)$"

@@ -132,7 +132,7 @@ def semantic_roles(spark, d):
     return found.groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("elements"))
 
 
-@query(rf"WITH {_ELEMENTS} SELECT doc_id, page, element_id FROM el WHERE regexp_matches(content, '(?i)\b(ignore (all )?(previous|prior|above) instructions|disregard (previous|prior|above) instructions|system prompt|developer (message|instruction)s?)\b')")
+@query(rf"WITH {_ELEMENTS} SELECT doc_id, page, element_id FROM el WHERE regexp_matches(content, '(?i)\b(ignore (all )?(previous|prior|above) instructions|disregard (previous|prior|above) instructions|system prompt|developer (message|instruction)s?|do not (follow|obey) .*instructions)\b')")
 def safety_findings(spark, d):
     return evidence.safety_findings(units.elements(table(spark, d, "documents"))).select("doc_id", "page", "element_id")
 

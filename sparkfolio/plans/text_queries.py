@@ -67,7 +67,7 @@ def snk_html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(X.html_escape(F.col("html"))).alias("escaped"))
 
 
-@query(r"SELECT doc_id, md5(translate(regexp_replace(regexp_replace(text, '\s', '', 'g'), '\p{N}', '#', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS margin_key FROM documents")
+@query(r"SELECT doc_id, md5(translate(regexp_replace(regexp_replace(text, '\s', '', 'g'), '[0-9]', '#', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS margin_key FROM documents")
 def fn_margin_key(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.margin_key(T)).alias("margin_key"))
 
@@ -174,10 +174,10 @@ def rd_html_head_facts(spark, d):
     return facts.select("page_id", F.col("f.title").alias("title"), F.col("f.lang").alias("lang"))
 
 
-@query(rf"""SELECT doc_id, count(*) AS lines, CAST(sum(CAST(regexp_matches(line, '^([•◦▪▫■□●○‣⁃∙·➢✓]|[-*–—] )') AS INT)) AS BIGINT) AS bullets,
-    CAST(sum(CAST(regexp_matches(line, '^(\([0-9A-Za-z]{{1,4}}\)|([0-9]{{1,3}}|[A-Za-z])[.)] )') AS INT)) AS BIGINT) AS enumerated,
-    CAST(sum(CAST(regexp_matches(trim(lower(line)), '^[-–—\s]*(page\s*)?(\d{{1,4}}|[ivxlcdm]{{1,8}})(\s*(/|of)\s*\d{{1,4}})?[-–—\s]*$') AS INT)) AS BIGINT) AS page_numbers,
-    CAST(sum(CAST(regexp_matches(trim(line), '^\([0-9A-Z][0-9.]*[a-z]?\)$') AS INT)) AS BIGINT) AS equations FROM {_LINES} GROUP BY doc_id""")
+@query(rf"""SELECT doc_id, count(*) AS lines, CAST(sum(CAST(regexp_matches(line, '^([•◦▪‣●○■□·\x{{F0B7}}➢✓]\s*|[-*–—] \s*)\S') AS INT)) AS BIGINT) AS bullets,
+    CAST(sum(CAST(regexp_matches(line, '^(\([0-9A-Za-z]{{1,4}}(\)|$)|([0-9]{{1,3}}|[a-z])[.)] )') AS INT)) AS BIGINT) AS enumerated,
+    CAST(sum(CAST((strlen(pn) <= 16 AND regexp_matches(pn, '^((of)?[/\s]+)*([0-9]+|[ivxlc]{{1,6}})([/\s]+([0-9]+|of))*[/\s]*$')) AS INT)) AS BIGINT) AS page_numbers,
+    CAST(sum(CAST(regexp_matches(trim(line), '^\([0-9A-Za-z.]{{0,6}}\)$') AS INT)) AS BIGINT) AS equations FROM (SELECT doc_id, line, trim(regexp_replace(regexp_replace(lower(trim(line)), '^[-–—\s]+|[-–—\s]+$', '', 'g'), '^page', '')) AS pn FROM {_LINES}) GROUP BY doc_id""")
 def flt_line_predicates(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split(T, "\n")).alias("line"))
     line = F.col("line")

@@ -82,8 +82,8 @@ def test_predicates(spark):
     assert not any(yes(P.page_number(F.lit(x))) for x in ("12 monkeys", "chapter"))
     assert yes(P.caption_start(F.lit("Figure 3: x"))) and yes(P.caption_start(F.lit("表 2"))) and not yes(P.caption_start(F.lit("Figures are")))
     assert yes(P.bullet(F.lit("• x"))) and yes(P.bullet(F.lit("- x"))) and not yes(P.bullet(F.lit("-x")))
-    assert yes(P.enumerated(F.lit("(iv) x"))) and yes(P.enumerated(F.lit("12. x"))) and not yes(P.enumerated(F.lit("1234. x")))
-    assert yes(P.equation_number(F.lit("(3)"))) and not yes(P.equation_number(F.lit("(see)")))
+    assert yes(P.enumerated(F.lit("(iv) x"))) and yes(P.enumerated(F.lit("12. x"))) and not yes(P.enumerated(F.lit("1234. x"))) and not yes(P.enumerated(F.lit("A. x")))
+    assert yes(P.equation_number(F.lit("(3.1a)"))) and not yes(P.equation_number(F.lit("(see below)")))
     assert yes(P.named_heading(F.lit("References:"))) and not yes(P.named_heading(F.lit("References and more")))
     assert yes(P.numbered_heading_level(F.lit("2.1 Data and Models"))) == 3 and yes(P.numbered_heading_level(F.lit("2.1 data"))) is None
     assert yes(P.size_heading(F.lit(14.0), F.lit(10.0), F.lit("Intro"))) and not yes(P.size_heading(F.lit(11.0), F.lit(10.0), F.lit("Intro")))
