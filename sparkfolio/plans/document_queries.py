@@ -10,7 +10,10 @@ from sparkfolio.operators import compare, evidence, outline, reading, search, un
 from sparkfolio.plans.registry import query, table
 from sparkfolio.sources import html, tabular
 
-T = F.col("text")
+
+def T():
+    return F.col("text")
+
 _TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
@@ -165,7 +168,7 @@ def trust_report(spark, d):
     '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[REDACTED_EMAIL]', 'g')) AS redacted FROM documents""")
 def redact_patterns(spark, d):
     """The redactions that DuckDB's dialect shares; redact_balanced has them all."""
-    out = T
+    out = T()
     for name, pattern, replacement in evidence.REDACTIONS:
         if name in ("secret", "email"):
             out = F.regexp_replace(out, pattern, replacement)
@@ -174,7 +177,7 @@ def redact_patterns(spark, d):
 
 @query()
 def redact_strict(spark, d):
-    found = table(spark, d, "documents").select("doc_id", evidence.redact(T, "strict").alias("r"))
+    found = table(spark, d, "documents").select("doc_id", evidence.redact(T(), "strict").alias("r"))
     return found.select("doc_id", F.md5("r.text").alias("redacted"), F.array_join("r.types", ",").alias("types"))
 
 
@@ -196,7 +199,7 @@ def agg_counts_by_field(spark, d):
 @query(r"""WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: lower(regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))), lambda w: w <> ''))) AS s FROM documents)
     SELECT doc_id, len(s) AS n, md5(array_to_string(s, ' ')) AS terms FROM t""")
 def set_terms(spark, d):
-    found = table(spark, d, "documents").select("doc_id", term_set(T).alias("s"))
+    found = table(spark, d, "documents").select("doc_id", term_set(T()).alias("s"))
     return found.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", " ")).alias("terms"))
 
 
@@ -215,7 +218,7 @@ def compare_documents(spark, d):
     SELECT conv_id, turn, CASE WHEN a.conv_id IS NULL THEN 'added' WHEN b.conv_id IS NULL THEN 'removed' WHEN a.text IS NOT DISTINCT FROM b.text THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b USING (conv_id, turn)""")
 def compare_pages(spark, d):
     turns = table(spark, d, "conversations")
-    other = turns.filter("turn % 3 <> 1").withColumn("text", F.when(F.col("turn") % 2 == 0, T).otherwise(F.upper(T)))
+    other = turns.filter("turn % 3 <> 1").withColumn("text", F.when(F.col("turn") % 2 == 0, T()).otherwise(F.upper(T())))
     return compare.compare_pages(turns.filter("turn % 3 <> 2"), other, ["conv_id", "turn"]).select("conv_id", "turn", "state")
 
 
@@ -314,5 +317,5 @@ def render_markdown_tables(spark, d):
 
 @query(f"SELECT source, lang, count(*) AS documents, CAST(sum({_TOK.format('text')}) AS BIGINT) AS tokens FROM documents GROUP BY ROLLUP (source, lang)")
 def agg_token_rollup(spark, d):
-    docs = table(spark, d, "documents").select("source", "lang", estimate_tokens(T).alias("t"))
+    docs = table(spark, d, "documents").select("source", "lang", estimate_tokens(T()).alias("t"))
     return docs.rollup("source", "lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("t").alias("tokens"))

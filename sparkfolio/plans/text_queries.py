@@ -9,7 +9,10 @@ from sparkfolio.functions import text as X
 from sparkfolio.plans.registry import query, table
 from sparkfolio.sources import detect, html
 
-T = F.col("text")
+
+def T():
+    return F.col("text")
+
 _FOLD = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
@@ -17,23 +20,23 @@ _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docum
 @query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]{1,5}')) + len(regexp_extract_all(text, '[0-9]{1,3}'))
     + len(regexp_extract_all(text, '[\\s\\x{A0}]{3,}')) + len(regexp_extract_all(text, '[^A-Za-z0-9\\s\\x{A0}]')) AS BIGINT) AS tokens FROM documents""")
 def fn_token_estimate(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.estimate_tokens(T).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", X.estimate_tokens(T()).alias("tokens"))
 
 
 @query(r"SELECT doc_id, len(t) AS n_terms, md5(array_to_string(t, ' ')) AS terms FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)")
 def fn_terms(spark, d):
-    found = table(spark, d, "documents").select("doc_id", X.terms(T).alias("t"))
+    found = table(spark, d, "documents").select("doc_id", X.terms(T()).alias("t"))
     return found.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("terms"))
 
 
 @query(rf"SELECT doc_id, md5({_FOLD}) AS collapsed FROM documents")
 def fn_collapse_whitespace(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.collapse(T)).alias("collapsed"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.collapse(T())).alias("collapsed"))
 
 
 @query("SELECT doc_id, CAST(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS BIGINT) AS utf16 FROM documents")
 def fn_utf16_length(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.utf16_length(T).alias("utf16"))
+    return table(spark, d, "documents").select("doc_id", X.utf16_length(T()).alias("utf16"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_discount / l_tax, 2) AS ratio FROM lineitem WHERE l_tax > 0")
@@ -48,18 +51,18 @@ def fn_canonical_coordinate(spark, d):
 
 @query(rf"SELECT doc_id, CASE WHEN length(f) > 160 THEN substr(f, 1, 157) || '...' ELSE f END AS snippet FROM (SELECT doc_id, {_FOLD} AS f FROM documents)")
 def fn_safety_snippet(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.snippet_160(T).alias("snippet"))
+    return table(spark, d, "documents").select("doc_id", X.snippet_160(T()).alias("snippet"))
 
 
 @query(r"""SELECT doc_id, md5(CASE WHEN contains(l, ': ') OR regexp_matches(l, '^["''\[{#&*!|>%@`\-?]') OR suffix(l, ':') THEN CAST(to_json(l) AS VARCHAR) ELSE l END) AS scalar
     FROM (SELECT doc_id, regexp_replace(text, '[\r\n]', ' ', 'g') AS l FROM documents)""")
 def fn_yaml_scalar(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.yaml_scalar(T)).alias("scalar"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.yaml_scalar(T())).alias("scalar"))
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(replace(replace(text, '\', '\\'), '|', '\|'), '\r\n|\r|\n', ' ', 'g'))) AS cell FROM documents")
 def snk_table_cell(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.table_cell(T)).alias("cell"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.table_cell(T())).alias("cell"))
 
 
 @query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped FROM pages""")
@@ -69,12 +72,12 @@ def snk_html_escape(spark, d):
 
 @query(r"SELECT doc_id, md5(translate(regexp_replace(regexp_replace(text, '\s', '', 'g'), '[0-9]', '#', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS margin_key FROM documents")
 def fn_margin_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.margin_key(T)).alias("margin_key"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.margin_key(T())).alias("margin_key"))
 
 
 @query("SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(text, '!+'), lambda x: length(x))), 0) AS longest FROM documents")
 def fn_longest_run(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.longest_run(T, "!").cast("long").alias("longest"))
+    return table(spark, d, "documents").select("doc_id", X.longest_run(T(), "!").cast("long").alias("longest"))
 
 
 @query("""SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', floor(s / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(s / 1048576.0 * 10 + 0.5) / 10) END AS size
@@ -152,7 +155,7 @@ def src_detect_format(spark, d):
     k = F.col("doc_id") % 5
     path = F.concat(F.lit("/in/f"), F.col("doc_id").cast("string"), F.when(k == 3, ".csv").when(k == 0, ".htm").otherwise(""))
     lead = F.when(k == 1, F.lit(b"%PDF-1.7\n")).when(k == 2, F.lit(b"\x89PNG\r\n\x1a\n")).otherwise(F.lit(b"x "))
-    content = F.concat(lead, F.encode(T, "UTF-8"))
+    content = F.concat(lead, F.encode(T(), "UTF-8"))
     return table(spark, d, "documents").select("doc_id", detect.detect(path, content).alias("format"))
 
 
@@ -165,7 +168,7 @@ def src_mime_format(spark, d):
 
 @query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents")
 def src_file_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.encode(T, "UTF-8"), 256).alias("sha256"), F.octet_length(T).cast("long").alias("size"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.encode(T(), "UTF-8"), 256).alias("sha256"), F.octet_length(T()).cast("long").alias("size"))
 
 
 @query(r"""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '\s+', ' ', 'g')), '') AS title, nullif(regexp_extract(html, '<html\b[^>]*\blang\s*=\s*["'']([^"'']*)', 1, 'is'), '') AS lang FROM pages""")
@@ -179,7 +182,7 @@ def rd_html_head_facts(spark, d):
     CAST(sum(CAST((strlen(pn) <= 16 AND regexp_matches(pn, '^((of)?[/\s]+)*([0-9]+|[ivxlc]{{1,6}})([/\s]+([0-9]+|of))*[/\s]*$')) AS INT)) AS BIGINT) AS page_numbers,
     CAST(sum(CAST(regexp_matches(trim(line), '^\([0-9A-Za-z.]{{0,6}}\)$') AS INT)) AS BIGINT) AS equations FROM (SELECT doc_id, line, trim(regexp_replace(regexp_replace(lower(trim(line)), '^[-–—\s]+|[-–—\s]+$', '', 'g'), '^page', '')) AS pn FROM {_LINES}) GROUP BY doc_id""")
 def flt_line_predicates(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split(T, "\n")).alias("line"))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split(T(), "\n")).alias("line"))
     line = F.col("line")
     return lines.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("lines"), F.count_if(P.bullet(line)).alias("bullets"), F.count_if(P.enumerated(line)).alias("enumerated"),
@@ -197,7 +200,7 @@ def fn_severity_and_risk(spark, d):
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) AS BIGINT) AS visible FROM documents")
 def flt_visible_characters(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.visible_characters(T).cast("long").alias("visible"))
+    return table(spark, d, "documents").select("doc_id", X.visible_characters(T()).cast("long").alias("visible"))
 
 
 @query("SELECT p_partkey, 'a b/' || p_brand || '%' AS decoded FROM part")
