@@ -23,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.llm.common import held, text_slices
 from sparkfolio.session import ship_package
 
-MEMO = 600_000
-#: Characters that share one queue.
-BATCH_CHARS = 12 << 20
+MEMO = 300_000
+#: Bytes of text that share one queue.
+BATCH_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return parse_ranks(f.read())
 
 
 class RankQueue:
@@ -201,13 +202,13 @@ class Encoder:
         n = len(joined)
         ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
         ids = np.append(self.single[joined], np.int32(-1))
-        after = np.arange(1, n + 2, dtype=np.int64)
-        before = np.arange(-1, n, dtype=np.int64)
+        after = np.arange(1, n + 2, dtype=np.int32)
+        before = np.arange(-1, n, dtype=np.int32)
         last = ends[ends > 0] - 1
         after[last] = n  # a list ends here
         before[ends] = -1
         pair = np.full(n + 1, -1, np.int32)  # the rank of the pair that starts here; -1 also for positions that are gone
-        inner = np.flatnonzero(after[:n] < n)
+        inner = np.flatnonzero(after[:n] < n).astype(np.int32)
         pair[inner] = self.merges.first[joined[inner], joined[inner + 1]] if len(inner) else -1
         queue, look = RankQueue(), self.merges.look
         queue.push(pair[inner], inner)
@@ -258,7 +259,7 @@ class Encoder:
         if len(self.index) > MEMO or len(self.flat) > 16 * MEMO:
             self.forget()
         number = self.index.__getitem__
-        coded = [np.fromiter(map(number, (self.plain if _plain.match(t) else self.findall)(t)), np.int64) if t else self.starts[:0] for t in texts]
+        coded = [np.fromiter(map(number, (self.plain if _plain.match(t) else self.findall)(t)), np.int32) if t else self.starts[:0] for t in texts]
         if self.index.new:
             raw = [p.encode("utf-8", "surrogatepass") for p in self.index.new]
             self.index.new = []
@@ -281,15 +282,8 @@ class Encoder:
         return _gather(self.token_bytes, self.token_starts[ids], self.token_sizes[ids]).tobytes()
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(key: str, raw: bytes, pattern: str) -> Encoder:
-    if (key, pattern) not in _encoders:
-        _encoders.clear()
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
-        _encoders[key, pattern] = Encoder(ranks, pattern)
-    return _encoders[key, pattern]
+def parse_ranks(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,28 +291,22 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     ship_package(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         raw = f.read()
-    held, key = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
+    ranks, key = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(key, held.value, pattern)
+        encoder = held(("bpe", key, pattern), lambda: Encoder(parse_ranks(ranks.value), pattern))
         for batch in batches:
-            texts, start = batch.column(1).to_pylist(), 0
-            while start < len(texts):
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop] or "") <= BATCH_CHARS):
-                    chars += len(texts[stop] or "")
-                    stop += 1
-                ids = encoder.encode_texts(texts[start:stop])
+            for start, texts in text_slices(batch, 1, BATCH_BYTES):
+                ids = encoder.encode_texts(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[start:stop],
+                        batch.column(0)[start : start + len(texts)],
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([x.tobytes() for x in ids], pa.binary()),
                         pa.array([encoder.decode(x) for x in ids], pa.binary()),
                     ],
                     ["_id", "n_tokens", "ids", "decoded"],
                 )
-                start = stop
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()

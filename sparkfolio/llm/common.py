@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words of 64 bits in a survivor bitmap: 2**18 words are 2 MB of bits, whatever the size of the input.
 BITMAP_WORDS = 1 << 18
 
+_slot: dict = {}
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -20,6 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held(key, build):
+    """What build() gives, kept in this Python worker until another operator needs the place: workers live on over many stages."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = build()
+    return _slot[key]
+
+
+def text_slices(batch, column: int, chars: int):
+    """(start, texts) of a record batch, some `chars` bytes at a time: texts become Python objects only as they are needed."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(sizes):
+        stop, total = start, 0
+        while stop < len(sizes) and (stop == start or total + sizes[stop] <= chars):
+            total += int(sizes[stop])
+            stop += 1
+        yield start, batch.column(column)[start:stop].to_pylist()
+        start = stop
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and every executor share: the session's spark.checkpoint.dir.
 
@@ -61,7 +86,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sparkfolio_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df, once nothing reads it any more."""
+    path = getattr(df, "_sparkfolio_path", None)
+    if path:
+        delete_path(df.sparkSession, path)
 
 
 def ascii_lower(text: Column) -> Column:

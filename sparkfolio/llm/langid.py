@@ -18,6 +18,7 @@ every prediction is 'und'. Repeated rows get equal answers. Other columns are ig
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import sample_by_hash
+from sparkfolio.llm.common import held, sample_by_hash, text_slices
 from sparkfolio.session import ship_package
 
 DOCS_PER_LANG = 300
@@ -35,8 +36,8 @@ CHARS_PER_DOC = 400
 CLASSES = 64
 BLOCK = 512
 SHARPNESS = 6.0
-#: Characters that are parsed at a time in one Python worker.
-BATCH_CHARS = 1 << 20
+#: Bytes of text that are parsed at a time in one Python worker.
+BATCH_BYTES = 1 << 20
 #: Phrases a character above which a text is not in any of the languages.
 REJECT_RATE = 0.6
 
@@ -74,7 +75,7 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 def complete(nexts: list[dict[int, int]]) -> np.ndarray:
     """Entry [state, class]: (next state * CLASSES) << 1 | whether a phrase ended before this character."""
-    root = np.zeros(CLASSES, np.int64)
+    root = np.zeros(CLASSES, np.int32)
     for c, to in nexts[0].items():
         root[c] = to
     table = np.tile(root * CLASSES << 1 | 1, (len(nexts), 1))
@@ -112,7 +113,7 @@ class Parser:
             starts.append(base * CLASSES)
             logs.append(np.log2(max(2, len(codes))))
             base += len(table)
-        self.table = np.concatenate([t.ravel() for t in tables]).astype(np.int32) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate([t.ravel() for t in tables]).astype(np.int32, copy=False) if tables else np.zeros(0, np.int32)
         self.starts = np.array(starts, np.int32)
         self.logs = np.array(logs)
 
@@ -197,38 +198,21 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return out
 
 
-_parsers: dict[int, Parser] = {}
-
-
-def _parser(samples: dict[str, list[str]]) -> Parser:
-    key = hash(tuple((k, tuple(v)) for k, v in sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
-
-
 def identify(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, lang_pred, score, phrase_rate."""
     ship_package(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(samples)
+    learned = docs.sparkSession.sparkContext.broadcast(samples)
+    key = zlib.crc32(repr(sorted(samples.items())).encode("utf-8", "surrogatepass"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(held.value)
+        parser = held(("langid", key), lambda: Parser(learned.value))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            start = 0
-            while start < len(texts):
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop] or "") <= BATCH_CHARS):
-                    chars += len(texts[stop] or "")
-                    stop += 1
-                langs, scores, rates = parser.predict(texts[start:stop])
+            for start, texts in text_slices(batch, 1, BATCH_BYTES):
+                langs, scores, rates = parser.predict(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[start:stop], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
+                    [batch.column(0)[start : start + len(texts)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
                     ["_id", "lang_pred", "score", "phrase_rate"],
                 )
-                start = stop
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()

@@ -13,6 +13,7 @@ get equal scores. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.llm.common import held, text_slices
 from sparkfolio.llm.labelled import Logistic, labelled_texts, sample_ids
 from sparkfolio.session import ship_package
 
@@ -30,6 +32,7 @@ DICTIONARY_BYTES = 65_536
 SAMPLE_CHARS = 1_000
 LEVEL = 3
 BLOCK = 1_024
+BATCH_BYTES = 4 << 20
 THRESHOLD = 0.3
 
 
@@ -69,26 +72,16 @@ def _dictionary(samples: list[bytes]) -> bytes:
     return b"".join(samples)[-DICTIONARY_BYTES:] or b"\0" * 8  # too little to train on: the text itself
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(good: bytes, bad: bytes) -> Scorer:
-    key = hash((good, bad))
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(good, bad)
-    return _scorers[key]
-
-
 def _featured(rows: DataFrame, dictionaries: tuple[bytes, bytes]) -> DataFrame:
     """rows (_id, _text, ...) as (_id, mean, low, high, ratio)."""
     ship_package(rows.sparkSession)
-    held = rows.sparkSession.sparkContext.broadcast(dictionaries)
+    learned = rows.sparkSession.sparkContext.broadcast(dictionaries)
+    key = tuple(map(zlib.crc32, dictionaries))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(*held.value)
+        scorer = held(("quality", key), lambda: Scorer(*learned.value))
         for batch in batches:
-            found = np.array([scorer.features(t) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, 4)
+            found = np.array([scorer.features(t) for _, texts in text_slices(batch, 1, BATCH_BYTES) for t in texts], np.float64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(4))], ["_id", "mean", "low", "high", "ratio"])
 
     kind = rows.schema["_id"].dataType.simpleString()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import materialize, without_ids
+from sparkfolio.llm.common import materialize, text_slices, without_ids
 from sparkfolio.session import ship_package
 
 TAU = 4
@@ -38,6 +38,7 @@ SAMPLE = 20_000
 KEY_COST = 8.0
 #: Hashes that are counted at a time, so that a long text needs no more memory than a short one.
 BLOCK = 1 << 15
+BATCH_BYTES = 4 << 20
 
 
 def fingerprint(text: str | None) -> int:
@@ -57,7 +58,7 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        prints = np.array([fingerprint(t) for _, texts in text_slices(batch, 1, BATCH_BYTES) for t in texts], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["_id", "_fp"])
 
 

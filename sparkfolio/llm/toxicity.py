@@ -22,6 +22,7 @@ of them. Without labels of both kinds every score is the share of toxic labels.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.llm.common import held, text_slices
 from sparkfolio.llm.labelled import Logistic, labelled_texts, sample_ids
 from sparkfolio.session import ship_package
 
@@ -45,8 +47,8 @@ FLOOR = -1.5
 WINDOW = 32
 ALPHABET = 64
 #: Words that a Python worker remembers before it starts anew.
-MEMO = 1_000_000
-BATCH_CHARS = 6 << 20
+MEMO = 500_000
+BATCH_BYTES = 4 << 20
 THRESHOLD = 0.3
 
 _edge = re.compile(r"^[\W_]+|[\W_]+$")
@@ -199,34 +201,17 @@ class Model:
         return np.array([max(map(memo.__getitem__, ws), default=FLOOR) for ws in split])
 
 
-_models: dict[int, Model] = {}
-
-
-def _model(state: tuple[str, bytes, float]) -> Model:
-    key = hash(state)
-    if key not in _models:
-        _models.clear()
-        letters, weights, bias = state
-        _models[key] = Model(letters, np.frombuffer(weights, np.float64), bias)
-    return _models[key]
-
-
 def _scored(rows: DataFrame, state: tuple[str, bytes, float]) -> DataFrame:
     """rows (_id, _text, ...) as (_id, margin)."""
     ship_package(rows.sparkSession)
-    held = rows.sparkSession.sparkContext.broadcast(state)
+    learned = rows.sparkSession.sparkContext.broadcast(state)
+    key = (zlib.crc32(state[0].encode()), zlib.crc32(state[1]), state[2])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(held.value)
+        model = held(("toxicity", key), lambda: Model(learned.value[0], np.frombuffer(learned.value[1], np.float64), learned.value[2]))
         for batch in batches:
-            texts, start = batch.column(1).to_pylist(), 0
-            while start < len(texts):
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop] or "") <= BATCH_CHARS):
-                    chars += len(texts[stop] or "")
-                    stop += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop], pa.array(model.worst(texts[start:stop]))], ["_id", "margin"])
-                start = stop
+            for start, texts in text_slices(batch, 1, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start : start + len(texts)], pa.array(model.worst(texts))], ["_id", "margin"])
 
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.select("_id", "_text").mapInArrow(score, f"_id {kind}, margin double")
