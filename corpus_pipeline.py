@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.llm import bpe, exact_dedup, langid, mixing, simhash
-from sparkfolio.llm.common import materialize, table, without_ids
+from sparkfolio.llm.common import materialize, release, table, without_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Share of the tokens that the mixture keeps.
@@ -61,7 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
+            release(before)  # the last stage's input stays: the result is lazy
     return docs
