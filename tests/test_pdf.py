@@ -95,3 +95,37 @@ def test_items(spark):
     a = rows["a.pdf"]
     assert (a["page"], a["text"], a["left"], a["bottom"], a["right"], a["top"], a["size"]) == (1, "hello", 50.0, 700.0, 75.0, 710.0, 10.0)
     assert rows["b.pdf"]["error"]
+
+
+def with_signals():
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R /AcroForm << /Fields [10 0 R] >> /PageLabels << /Nums [0 << /S /r >> 2 << /S /D /P (A-) /St 5 >>] >> /MarkInfo << /Marked true >> /StructTreeRoot 30 0 R /Names << /EmbeddedFiles << /Names [(n) 40 0 R] >> >> >>",
+        2: b"<< /Type /Pages /MediaBox [0 0 600 800] /Kids [3 0 R 4 0 R 5 0 R] >>",
+        3: b"<< /Type /Page /Parent 2 0 R /CropBox [10 10 700 790] /Rotate 450 /Annots [20 0 R 21 0 R] /Resources << /XObject << /I1 22 0 R >> >> >>",
+        4: b"<< /Type /Page /Parent 2 0 R >>", 5: b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 100 100] /UserUnit 2 >>",
+        10: b"<< /T (form) /FT /Tx /Kids [11 0 R 12 0 R] >>", 11: b"<< /T (a) /V (one) /Rect [1 2 3 4] >>", 12: b"<< /T (b) /FT /Btn /V /Yes >>",
+        20: b"<< /Subtype /Link /Rect [5 6 1 2] /A << /URI (http://h/) >> >>", 21: b"<< /Subtype /Link /A << /URI (javascript:x) >> /Contents (note) >>",
+        22: b"<< /Subtype /Image /Width 3 /Height 4 >>", 30: b"<< /K [31 0 R 31 0 R] >>", 31: b"<< /S /H1 /K << /S /P >> >>",
+        40: b"<< /UF (dir/x.txt) /EF << /F 41 0 R >> >>", 41: b"<< /Length 3 >>\nstream\nabc\nendstream",
+    }
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, v) for n, v in objects.items()) + b"trailer << /Root 1 0 R >>"
+
+
+def test_signals(spark):
+    from sparkfolio.sources import pdf_signals as ps
+
+    file = pdf.File(with_signals())
+    assert [(g["box"], g["rotation"], g["user_unit"]) for g in ps.page_geometry(file)] == [((10.0, 10.0, 600.0, 790.0), 90, 1.0), ((0.0, 0.0, 600.0, 800.0), 0, 1.0), ((0.0, 0.0, 100.0, 100.0), 0, 2.0)]
+    assert [(a["url"], a["unsafe"], a["contents"], a["box"]) for a in ps.annotations(file)] == [("http://h/", False, None, (1.0, 2.0, 5.0, 6.0)), ("javascript:x", True, "note", None)]
+    assert ps.page_labels(file) == ["i", "ii", "A-5"]
+    assert [(f["name"], f["kind"], f["value"]) for f in ps.form_fields(file)] == [("form.a", "text", "one"), ("form.b", "button", "Yes")]
+    assert [(a["name"], a["size"]) for a in ps.attachments(file)] == [("x.txt", 3)]
+    assert ps.structure(file) == {"tagged": True, "has_tree": True, "roles": {"H1": 1, "P": 1}}
+    assert [(i["page"], i["width"], i["height"]) for i in ps.image_signals(file)] == [(1, 3, 4)]
+    assert ps.permissions(0b100100) == ["print", "modify_annotations"] and not ps.linearized(with_signals())
+    files = spark.createDataFrame([("a.pdf", with_signals()), ("b.pdf", b"broken")], "path string, content binary")
+    for kind in ps._KINDS:
+        rows = ps.signals(files, kind).collect()
+        assert any(r["path"] == "a.pdf" for r in rows) or kind == "outline"
+        assert [r["path"] for r in rows if r["error"]] == ["b.pdf"]
+    assert ps.presence(files).filter("structure AND form AND attachments AND labels AND NOT encrypted").count() == 1
