@@ -17,6 +17,7 @@ Other columns are ignored by near_duplicates and carried by drop_near_duplicates
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,23 +37,39 @@ BITS = 64
 SAMPLE = 20_000
 #: Cost of one emitted key, in verified candidates.
 KEY_COST = 8.0
-#: Hashes that are counted at a time, so that a long text needs no more memory than a short one.
+#: An eighth of the bytes that are split at a time, so that a long text needs little more memory than a short one.
 BLOCK = 1 << 15
 BATCH_BYTES = 4 << 20
+_gap = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_blocks(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some BLOCK * 8 bytes at a time, cut at white space."""
+    start, size = 0, BLOCK * 8
+    while start < len(raw):
+        stop = len(raw) if len(raw) - start <= size else start + size
+        if stop < len(raw):
+            cut = _gap.search(raw, stop)
+            stop = cut.start() if cut else len(raw)
+        yield raw[start:stop].lower().split()
+        start = stop
 
 
 def fingerprint(text: str | None) -> int:
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - SHINGLE + 1)
-    counts = np.zeros(BITS, np.int64)
-    for start in range(0, n, BLOCK):
-        stop = min(n, start + BLOCK)
-        hashes = np.array([digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(start, stop)], np.uint64)
-        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    counts, n, last = np.zeros(BITS, np.int64), 0, []
+    for block in _word_blocks((text or "").encode("utf-8", "surrogatepass")):
+        words = last + block  # the last words of the block before begin shingles that end in this one
+        shingles = [b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
+        last = words[-(SHINGLE - 1) :]
+        if shingles:
+            n += len(shingles)
+            hashes = np.array([digest(s, SEED) for s in shingles], np.uint64)
+            counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    if not n:
+        return digest(b" ".join(last), SEED) if last else 0  # one shingle: its own bits
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 

@@ -77,6 +77,14 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if votes[b] * 2 > len(shingles))
 
 
+def test_fingerprint_of_long_texts():
+    rng = random.Random(9)
+    for n in (3, 4, 5, 60_000, 130_000):
+        text = rng.choice([" ", "\n\t", "  "]).join("w" * rng.randrange(1, 9) + str(rng.randrange(50)) for _ in range(n))
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+    assert simhash.fingerprint("x" * 900_000 + " a b c d") == brute_fingerprint("x" * 900_000 + " a b c d")
+
+
 def brute_components(prints):
     parent = {}
 
