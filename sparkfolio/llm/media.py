@@ -211,14 +211,19 @@ def _reader(folder: str):
 
 
 def read_features(index: DataFrame, folder: str) -> DataFrame:
-    """The index with metadata from the headers and digests and features from the stored bytes."""
+    """The index with metadata from the headers and digests and features from the stored bytes.
+
+    The index is small, so it is dealt out by shard, as many partitions as shards: the work is that of the payloads.
+    """
     ship_package(index.sparkSession)
     kind = index.schema["_id"].dataType.simpleString()
     schema = (
         f"_id {kind}, n_bytes long, digest binary, offset long, length long, shard string, width int, height int, depth int, payload_bytes long, "
         "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
-    return index.mapInArrow(_reader(f"{folder}/shards"), schema)
+    shards = max(1, index.select("shard").distinct().count())
+    dealt = index.repartition(shards, "shard").sortWithinPartitions("shard", "offset")
+    return dealt.mapInArrow(_reader(f"{folder}/shards"), schema)
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
