@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import ascii_lower, bitmap, flag
+from sparkfolio.llm.common import ascii_lower, bitmap, flag, materialize
 
 #: Characters of the prefix that the second step hashes.
 PREFIX_CHARS = 64
@@ -44,13 +44,14 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_length = flag(rows, bitmap(lengths, "_k"), _length_key(F.col("_text"))).filter("_hit")
     # 2: of those, (length, prefix) that occurs more than once
     prefixes = by_length.groupBy(_prefix_key(F.col("_text"), prefix_chars).alias("_k")).count().filter("count > 1")
-    seen = bitmap(prefixes, "_k")
+    seen = materialize(bitmap(prefixes, "_k"), "prefixes")
     # 3: of those, the whole text
     by_prefix = flag(rows, seen, _prefix_key(F.col("_text"), prefix_chars)).filter("_hit")
     groups = by_prefix.groupBy(_full_key(F.col("_text")).alias("_sha")).agg(
         F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
-    return groups.filter("group_size > 1"), seen
+    # written, so that a join with them shuffles both of its sides and can split a hot group
+    return materialize(groups.filter("group_size > 1"), "groups"), seen
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,7 +59,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups, _ = duplicate_groups(docs, id_col, text_col)
     all_rows = _rows(docs, id_col, text_col).select("_id", _full_key(F.col("_text")).alias("_sha"))
     joined = all_rows.join(groups, "_sha", "left")
-    repeat = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_sha"))
+    # by the pair as one value: by two columns, the rows of a group would stay where the join has put them, in one task
+    repeat = F.row_number().over(Window.partitionBy(F.struct("_id", "_sha")).orderBy("_sha"))
     return joined.select(
         F.col("_id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -78,6 +80,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     flagged = flag(docs, seen, _prefix_key(text, PREFIX_CHARS))
     alone = flagged.filter(~F.col("_hit")).select(docs.columns)
     met = flagged.filter("_hit").withColumn("_sha", _full_key(text)).join(groups, "_sha", "left")
-    first = F.row_number().over(Window.partitionBy(id_col, "_sha").orderBy("_sha"))
+    first = F.row_number().over(Window.partitionBy(F.struct(id_col, "_sha")).orderBy("_sha"))
     stay = met.filter(F.col("group_size").isNull() | F.col(id_col).eqNullSafe(F.col("keep_id"))).withColumn("_n", first)
     return alone.unionByName(stay.filter("_n = 1").select(docs.columns))
