@@ -187,14 +187,17 @@ _STAMP = "lpad(CAST({0} // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} //
 @query("""SELECT conv_id, CAST(turn + 1 AS INT) AS n, turn * 2000 AS start_ms, turn * 2000 + 1500 AS end_ms, trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g')) AS text
     FROM conversations WHERE trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g')) <> '' AND conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING min(length(trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g')))) > 0)""")
 def media_subtitle_cues(spark, d):
-    said = F.trim(F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z ]", ""))
-    stamp = lambda ms: F.format_string("00:%02d:%02d,%03d", F.floor(ms / 60000), F.floor(ms / 1000) % 60, ms % 1000)
+    said = F.regexp_replace("text", r"\r\n?|\n", " ")
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        said = F.replace(said, F.lit(raw), F.lit(entity))
+    part = lambda ms, size, most: (F.floor(ms / size) % most).cast("long")
+    stamp = lambda ms: F.format_string("%02d:%02d:%02d,%03d", part(ms, 3600000, 1000), part(ms, 60000, 60), part(ms, 1000, 60), ms % 1000)
     start = F.col("turn") * 2000
     block = F.concat_ws("\n", (F.col("turn") + 1).cast("string"), F.concat(stamp(start), F.lit(" --> "), stamp(start + 1500)), F.concat(F.lit("<i>"), said, F.lit("</i>")))
     tracks = table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"), F.min(F.length(said)).alias("m")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text")
     )
-    return media.cues(tracks.filter("m > 0"), ["conv_id"]).select("conv_id", "n", "start_ms", "end_ms", "text")
+    return media.cues(tracks, ["conv_id"]).select("conv_id", "n", "start_ms", "end_ms", "text")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(coalesce(list_max(list_filter([1, 3, 5], lambda s: s <= l_linenumber)), 0) AS INT) AS node FROM lineitem""")

@@ -36,3 +36,12 @@ def test_error_rate_of_texts_near_and_far(spark):
     rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
     found = {r["k"]: r["errors"] for r in compare.error_rate(rows, ["k"], "a", "b").collect()}
     assert found == {k: None if b is None else edits(a, b) for k, (a, b) in enumerate(pairs)}
+
+
+def test_subtitle_cues_hold_whole_turns(spark, tmp_path):
+    long = "Été & <b>plus</b> --> loin, " * 9 + "1 < 2\r\nfin\n\nNOTE 2"
+    rows = [(1, 0, "user", long), (1, 1, "user", "  "), (1, 2, "user", None), (1, 3, "user", "漢字 &amp; &lt;"), (2, 1800, "user", "late"), (3, 0, "user", "")]
+    d = saved(spark, tmp_path, "conversations", rows, TURNS)
+    found = [tuple(r) for r in QUERIES["media_subtitle_cues"](spark, d).orderBy("conv_id", "n").collect()]
+    flat = long.replace("\r\n", " ").replace("\n", " ")
+    assert found == [(1, 1, 0, 1500, flat), (1, 2, 6000, 7500, "漢字 &amp; &lt;"), (2, 1, 3_600_000, 3_601_500, "late")]
