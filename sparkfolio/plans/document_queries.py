@@ -240,8 +240,10 @@ def cite_check(spark, d):
     SELECT t.conv_id, CAST(coalesce(overlap, 0) AS BIGINT) AS overlap, round(coalesce(2.0 * overlap / (nr + no), 0.0), 6) AS f1 FROM t LEFT JOIN o USING (conv_id) WHERE nr IS NOT NULL AND no IS NOT NULL""")
 def score_bag_f1(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    pairs = turns.filter("turn = 0").select("conv_id", F.col("text").alias("a")).join(turns.filter("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id")
-    return compare.bag_f1(pairs, ["conv_id"], "a", "b").select("conv_id", "overlap", F.round("f1", 6).alias("f1"))
+    # each turn against the next one
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    pairs = turns.withColumnRenamed("text", "a").join(following, ["conv_id", "turn"])
+    return compare.bag_f1(pairs, ["conv_id", "turn"], "a", "b").select("conv_id", "turn", "overlap", F.round("f1", 6).alias("f1"))
 
 
 @query(r"""WITH s AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, string_split(text, '.') AS sentences FROM conversations)

@@ -92,7 +92,7 @@ def snk_human_size(spark, d):
 def fn_page_label_format(spark, d):
     style = F.element_at(F.array(*[F.lit(s) for s in ("D", "r", "a", "-")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     prefix = F.when(style == "-", "p-")
-    return table(spark, d, "part").filter("p_size < 40").select("p_partkey", X.page_label(style, F.col("p_size"), prefix).alias("label"))
+    return table(spark, d, "part").select("p_partkey", X.page_label(style, F.col("p_size"), prefix).alias("label"))
 
 
 @query("SELECT n, CASE WHEN n < 4000 THEN format('{}', n) END AS s, repeat('M', CAST(n // 1000 AS INT)) AS thousands FROM (SELECT DISTINCT CAST(p_retailprice AS BIGINT) AS n FROM part)")

@@ -130,7 +130,7 @@ def ext_normalize_answers(spark, d):
 
 @query("""SELECT conv_id, string_agg('[' || printf('00:%02d', CAST(turn * 2 AS INT)) || ' --> ' || printf('00:%02d', CAST(turn * 2 + 1 AS INT)) || '] ' || role, chr(10) ORDER BY turn) AS transcript FROM conversations WHERE turn < 25 GROUP BY 1""")
 def ext_render_transcript(spark, d):
-    cues = table(spark, d, "conversations").filter("turn < 25").select("conv_id", (F.col("turn") * 2000).alias("start_ms"), (F.col("turn") * 2000 + 1000).alias("end_ms"), F.col("role").alias("text"))
+    cues = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 2000).alias("start_ms"), (F.col("turn") * 2000 + 1000).alias("end_ms"), F.col("role").alias("text"))
     return recognised.render_transcript(cues, ["conv_id"])
 
 

@@ -45,3 +45,23 @@ def test_subtitle_cues_hold_whole_turns(spark, tmp_path):
     found = [tuple(r) for r in QUERIES["media_subtitle_cues"](spark, d).orderBy("conv_id", "n").collect()]
     flat = long.replace("\r\n", " ").replace("\n", " ")
     assert found == [(1, 1, 0, 1500, flat), (1, 2, 6000, 7500, "漢字 &amp; &lt;"), (2, 1, 3_600_000, 3_601_500, "late")]
+
+
+def test_page_labels_of_all_parts(spark, tmp_path):
+    d = saved(spark, tmp_path, "part", [(1, 39), (5, 40), (9, 49), (13, 50), (17, 1994), (2, 50), (3, 53), (4, 50)], "p_partkey long, p_size int")
+    found = {r["p_partkey"]: r["label"] for r in QUERIES["fn_page_label_format"](spark, d).collect()}
+    assert found == {1: "xxxix", 5: "xl", 9: "xlix", 13: "l", 17: "mcmxciv", 2: "xx", 3: "p-", 4: "50"}
+
+
+def test_transcript_of_all_turns(spark, tmp_path):
+    d = saved(spark, tmp_path, "conversations", [(1, k, "user", "t") for k in range(60)] + [(2, 0, "user", "t"), (2, 1800, "system", "t")], TURNS)
+    found = {r["conv_id"]: r["transcript"] for r in QUERIES["ext_render_transcript"](spark, d).collect()}
+    assert found[1].split("\n") == [f"[{2 * k // 60:02d}:{2 * k % 60:02d} --> {2 * k // 60:02d}:{2 * k % 60 + 1:02d}] user" for k in range(60)]
+    assert found[2] == "[00:00:00 --> 00:00:01] user\n[01:00:00 --> 01:00:01] system"
+
+
+def test_bag_f1_of_every_turn_and_the_next(spark, tmp_path):
+    texts = ["a b b", "b b c", "c", "d"]
+    d = saved(spark, tmp_path, "conversations", [(1, k, "user", t) for k, t in enumerate(texts)] + [(2, 0, "user", "a")], TURNS)
+    found = [tuple(r) for r in QUERIES["score_bag_f1"](spark, d).orderBy("conv_id", "turn").collect()]
+    assert found == [(1, 0, 2, 0.666667), (1, 1, 1, 0.5), (1, 2, 0, 0.0)]
