@@ -110,16 +110,28 @@ def calibrate(tokens: list[float], weights: list[float], budget: float) -> list[
     return p
 
 
-def _fit_frame(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budget: float) -> DataFrame:
+def _target_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, powers: Mapping[str, float]) -> dict[str, DataFrame]:
+    """Each dimension's targets as (value, _want): those given, else the tempered shares, which never reach the driver."""
+    out = {}
+    for dim in DIMS:
+        if targets is not None:
+            out[dim] = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[dim].items()], f"_{dim} string, _want double")
+            continue
+        sums = cells.groupBy(f"_{dim}").agg(F.sum("tokens").alias("_t")).filter("_t > 0")
+        raised = materialize(sums.select(f"_{dim}", F.pow("_t", F.lit(float(powers[dim]))).alias("_r")), "targets")
+        total = raised.agg(F.sum("_r")).first()[0] or 1.0
+        out[dim] = raised.select(f"_{dim}", (F.col("_r") / F.lit(total)).alias("_want"))
+    return out
+
+
+def _fit_frame(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float) -> DataFrame:
     """rake() and calibrate() as DataFrame jobs, for more cells than the driver should hold."""
-    spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 1.0
     now = materialize(cells.withColumn("weight", F.col("tokens") / F.lit(total)), "cells")
     for _ in range(ROUNDS):
         moved = 0.0
         for dim in DIMS:
-            want = spark.createDataFrame([(k, float(v)) for k, v in targets[dim].items()], f"_{dim} string, _want double")
-            have = now.groupBy(f"_{dim}").agg(F.sum("weight").alias("_have")).filter("_have > 0").join(want, f"_{dim}", "left")
+            have = now.groupBy(f"_{dim}").agg(F.sum("weight").alias("_have")).filter("_have > 0").join(targets[dim], f"_{dim}", "left")
             have = materialize(have.fillna(0.0, ["_want"]), "marginal")
             scale = have.agg(F.sum("_want")).first()[0] or 1.0
             factor = have.select(f"_{dim}", (F.col("_want") / F.lit(scale) / F.col("_have")).alias("_f"))
@@ -161,12 +173,12 @@ def fit(rows: DataFrame, budget_share: float, targets=None, powers: Mapping[str,
     cells = materialize(cells_of(rows), "cells")
     powers = powers or {"source": 0.5, "lang": 0.7, "topic": 0.8}
     small = cells.count() <= cell_limit
+    if not small:
+        total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+        return _fit_frame(cells, _target_frames(cells, targets, powers), budget_share * total), False
     if targets is None:
         sums = {d: {r[0]: r[1] for r in cells.groupBy(f"_{d}").agg(F.sum("tokens")).collect()} for d in DIMS}
         targets = {d: tempered(sums[d], powers[d]) for d in DIMS}
-    if not small:
-        total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-        return _fit_frame(cells, targets, budget_share * total), False
     held = [tuple(r) for r in cells.select("_source", "_lang", "_topic", "tokens").collect()]
     held.sort()
     weights = rake(held, targets)
