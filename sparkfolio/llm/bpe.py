@@ -2,8 +2,10 @@
 
 The queue holds, for each merge rank, the linked-list positions of the pairs of that rank; a bitmap of three levels
 (64 bits a word) over the ranks gives the lowest one by find-first-set. Entries whose pair has changed since are skipped.
-All new pre-tokens of a batch of texts share one queue, which takes O(n log n) for n bytes, so one pre-token of megabytes is no
-harder than many short ones. No pair spans two pre-tokens, so the order in which pre-tokens take turns changes nothing.
+All new pre-tokens of a batch of texts share one queue. No pair spans two pre-tokens, so the order in which pre-tokens take turns changes nothing.
+All pairs of a rank merge together, from the left, up to the first merge in a pre-token that makes a pair of a lower rank (some tokens of
+public vocabularies have shorter ways of being made). Those right of it wait in sorted runs, and are taken some at a time: as many
+as about twice what the last turn could merge. So a pre-token of n bytes takes O(n log n) steps, however its ranks interleave.
 
 Pre-tokens repeat, so each Python worker remembers the ids of those it has met, and starts anew beyond MEMO of them.
 
@@ -37,10 +39,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank. A bitmap of three levels over the ranks finds the lowest that has any."""
+    """Positions by rank. A bitmap of three levels over the ranks finds the lowest that has any.
+
+    A rank with a window gives the leftmost positions only, some `window` at a time. Its positions are kept as sorted runs of
+    ever smaller sizes, so that taking from the left costs what is taken.
+    """
 
     def __init__(self) -> None:
         self.buckets: dict[int, list[np.ndarray]] = {}
+        self.runs: dict[int, list[np.ndarray]] = {}
+        self.window: dict[int, int] = {}
         self.low: dict[int, int] = {}
         self.mid: dict[int, int] = {}
         self.top = 0
@@ -58,19 +66,17 @@ class RankQueue:
                 self.put(rank, positions[a:b])
 
     def put(self, rank: int, positions: np.ndarray) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(positions)
-            return
-        self.buckets[rank] = [positions]
-        word = rank >> 6
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        block = word >> 6
-        self.mid[block] = self.mid.get(block, 0) | 1 << (word & 63)
-        self.top |= 1 << block
+        self._mark(rank)
+        self.buckets.setdefault(rank, []).append(positions)
+
+    def put_back(self, rank: int, positions: np.ndarray, window: int) -> None:
+        """Returns positions to their rank, which from now on gives some `window` of its positions at a time."""
+        self.window[rank] = window
+        if len(positions):
+            self.put(rank, positions)
 
     def take(self) -> tuple[int, np.ndarray] | None:
-        """The lowest rank and all its positions, in any order; both leave the queue."""
+        """The lowest rank and its positions (the leftmost where it has a window), in any order; they leave the queue."""
         if not self.top:
             return None
         block = (self.top & -self.top).bit_length() - 1
@@ -78,13 +84,45 @@ class RankQueue:
         word = block << 6 | (bits & -bits).bit_length() - 1
         bits = self.low[word]
         rank = word << 6 | (bits & -bits).bit_length() - 1
+        if rank in self.window:
+            found = self._leftmost(rank)
+            if rank not in self.runs:
+                self._clear(rank)
+            return rank, found
+        self._clear(rank)
+        chunks = self.buckets.pop(rank)
+        return rank, chunks[0] if len(chunks) == 1 else np.concatenate(chunks)
+
+    def _leftmost(self, rank: int) -> np.ndarray:
+        runs = self.runs.pop(rank, [])
+        new = self.buckets.pop(rank, None)
+        if new:
+            runs.append(np.sort(np.concatenate(new)))
+        while len(runs) > 1 and len(runs[-2]) <= 2 * len(runs[-1]):
+            low, high = runs.pop(), runs.pop()
+            runs.append(np.sort(np.concatenate((high, low)), kind="stable"))
+        window = self.window[rank]
+        bound = min(run[min(window, len(run)) - 1] for run in runs)
+        cuts = [int(run.searchsorted(bound, "right")) for run in runs]
+        rest = [run[c:] for run, c in zip(runs, cuts, strict=True) if c < len(run)]
+        if rest:
+            self.runs[rank] = rest
+        return np.concatenate([run[:c] for run, c in zip(runs, cuts, strict=True)])
+
+    def _mark(self, rank: int) -> None:
+        word = rank >> 6
+        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
+        block = word >> 6
+        self.mid[block] = self.mid.get(block, 0) | 1 << (word & 63)
+        self.top |= 1 << block
+
+    def _clear(self, rank: int) -> None:
+        word, block = rank >> 6, rank >> 12
         self.low[word] &= ~(1 << (rank & 63))
         if not self.low[word]:
             self.mid[block] &= ~(1 << (word & 63))
             if not self.mid[block]:
                 self.top &= ~(1 << block)
-        chunks = self.buckets.pop(rank)
-        return rank, chunks[0] if len(chunks) == 1 else np.concatenate(chunks)
 
 
 class Merges:
@@ -218,14 +256,8 @@ class Encoder:
             i = np.unique(found[pair[found] == r])  # the others are stale
             if not len(i):
                 continue
-            if self.merges.early[r] and len(i) > 1:  # one a piece, then look for lower ranks again
-                _, lead = np.unique(np.searchsorted(ends, i, side="right"), return_index=True)
-                later = np.ones(len(i), bool)
-                later[lead] = False
-                if later.any():
-                    queue.put(r, i[later])
-                    i = i[lead]
             j = after[i]
+            whole = i
             if len(i) > 1:
                 touch = j[:-1] == i[1:]
                 if touch.any():  # x x x: from the left, every other pair
@@ -233,6 +265,18 @@ class Encoder:
                     start = np.maximum.accumulate(np.where(np.concatenate(([True], ~touch)), place, 0))
                     i = i[(place - start) % 2 == 0]
                     j = after[i]
+                if self.merges.early[r]:
+                    stop = self._interrupted(r, i, j, ids, after, before)
+                    if stop.any():  # a lower rank comes first in this piece: what is right of it has to wait
+                        piece = np.searchsorted(ends, i, side="right")
+                        bar = np.full(len(ends) + 1, n, np.int64)
+                        np.minimum.at(bar, piece[stop], i[stop])
+                        waits = whole > bar[np.searchsorted(ends, whole, side="right")]
+                        late = np.flatnonzero(i > bar[piece])
+                        i, j = np.delete(i, late), np.delete(j, late)
+                        queue.put_back(r, whole[waits], max(64, 2 * len(i)))
+                    elif r in queue.window:
+                        queue.window[r] = 2 * max(len(whole), queue.window[r])
             k = after[j]
             ids[i], after[i], before[k], gone[j] = r, k, i, True
             h = before[i]  # after the line above: the neighbour may have merged as well
@@ -254,6 +298,18 @@ class Encoder:
         counts = np.diff(np.concatenate(([0], np.cumsum(kept)))[np.concatenate(([0], ends))])
         return ids[:n][kept].astype("<u4"), counts
 
+    def _interrupted(self, r: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """For merges into r at (i, j), from the left: whether each one makes a pair of a rank below r, which has to merge before the next."""
+        h, k = before[i], after[j]
+        lefts = np.where(h >= 0, ids[h], -1)
+        lefts[1:][h[1:] == j[:-1]] = r  # merged just before
+        stop = np.zeros(len(i), bool)
+        for side, others in ((self.merges.after, ids[k]), (self.merges.before, lefts)):
+            ranks = self.merges.look(side, r, others)
+            if ranks is not None:
+                stop |= (ranks >= 0) & (ranks < r)
+        return stop
+
     def encode_texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.index) > MEMO or len(self.flat) > 16 * MEMO:

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import tarfile
+import time
 import zlib
 
 import numpy as np
@@ -38,6 +39,51 @@ def test_bpe_long_pre_tokens():
         assert ENCODER.encode_texts([text])[0].tolist() == TIKTOKEN.encode_ordinary(text)
 
 
+def test_bpe_interrupted_merges(monkeypatch):
+    """Vocabularies in random order: many merges make pairs of a lower rank, and whatever is right of such a merge has to wait."""
+    held_back, own = [], bpe.RankQueue.put_back
+    monkeypatch.setattr(bpe.RankQueue, "put_back", lambda self, rank, positions, window: (held_back.append(len(positions)), own(self, rank, positions, window)))
+    rng = random.Random(8)
+    for _ in range(25):
+        tokens = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))) for _ in range(60)})
+        rng.shuffle(tokens)
+        ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + i for i, t in enumerate(tokens)}
+        encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+        library = tiktoken.Encoding("random", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        texts = ["".join(rng.choice(["a", "b", "c", "ab", "abc"]) for _ in range(rng.choice([3, 40, 4_000]))) for _ in range(8)]
+        for text, ids in zip(texts, encoder.encode_texts(texts), strict=True):
+            assert ids.tolist() == library.encode_ordinary(text)
+    assert len(held_back) > 100
+
+
+def test_bpe_time_does_not_depend_on_the_pattern():
+    """A pre-token of a megabyte that repeats a merge takes no longer than three times one of random letters."""
+    rng, took = random.Random(1), {}
+    for unit in (None, "and", "nd", "th"):
+        text = (unit * (1_000_000 // len(unit))) if unit else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+        ENCODER.forget()
+        start = time.process_time()
+        ids = ENCODER.encode_texts([text])[0]
+        took[unit] = time.process_time() - start
+        assert ids.tolist() == TIKTOKEN.encode_ordinary(text)
+    assert all(took[unit] < 3 * took[None] + 0.5 for unit in ("and", "nd", "th")), took
+
+
+def test_rank_queue_windows():
+    """A rank with a window gives its positions from the left, whatever runs they came in."""
+    positions = np.random.default_rng(4).permutation(5_000)
+    queue = bpe.RankQueue()
+    queue.put_back(7, np.sort(positions[:4_000]), 64)
+    for k in range(4_000, 5_000, 100):
+        queue.put(7, positions[k : k + 100])
+    left = set(range(5_000))
+    while (entry := queue.take()) is not None:
+        rank, got = entry
+        assert rank == 7 and set(got.tolist()) == set(sorted(left)[: len(got)])
+        left -= set(got.tolist())
+    assert not left
+
+
 def test_rank_queue_order():
     queue, rng = bpe.RankQueue(), np.random.default_rng(2)
     ranks = rng.integers(-1, 60_000, 500)
