@@ -140,13 +140,14 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return passed.unionByName(looked_at.select(docs.columns))
 
 
-def sample_by_hash(rows: DataFrame, group: str, key: str, per_group: int) -> list[tuple]:
+def sample_by_hash(rows: DataFrame, group: str, key: str, per_group: int, counts: dict | None = None) -> list[tuple]:
     """At most per_group distinct (key, group) of each group, those whose keys hash lowest, as sorted by (group, hash, key).
 
     Counts come first, with map-side combine; then only keys below a group's threshold are collected, about one and a half times
-    per_group at most. No group meets in one task, however large it is.
+    per_group at most. No group meets in one task, however large it is. Rows of each group may be given where they are known.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    if counts is None:
+        counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, 1.5 * per_group / n + 50 / n))])

@@ -1,25 +1,25 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of each language's labelled text recognises every substring of it. A text is parsed greedily into
-longest matches; each match is a phrase. The language whose automaton needs the fewest phrases for each letter,
-normalised by log2 of its text's length, wins. The score is a softmax of the entropies in bits a character.
+longest matches; each match is a phrase, and so is a letter that the language has never shown. The language whose automaton needs the
+fewest phrases for each letter, each as long as log2 of its text's length (and a code point for each unknown letter), wins. The score is a softmax of the entropies in bits a character.
 
-The automata are stored as complete transition tables: where no transition exists, the entry leads on from the root and is
-marked, and each mark met is the end of a phrase. Blocks of BLOCK characters are parsed side by side with numpy, each
-from the root, which adds at most one phrase a block for every language alike and bounds memory for any text length.
+The automata keep their transitions sparsely, in one hash table for all languages, so an alphabet may have any number of letters. Blocks of
+BLOCK characters are parsed side by side with numpy, each from the root; then each block is parsed again from the state in which the block
+before it ends, up to the first phrase that both parses begin at the same letter. The counts are those of one parse of the whole text.
 
-Learning uses a bounded sample (DOCS_PER_LANG documents, CHARS_PER_LANG characters a language), chosen by a hash of
-the id; every text is then scored whole.
+Learning uses at most DOCS_PER_LANG labelled rows a language, those whose ids hash lowest, among rows of at most LEARN_CHARS characters (a
+language that has none such is learned from its shortest row). Their whole texts are learned, and every text is scored whole. A worker
+holds some 100 bytes for each learned character.
 
-Cases: a null text, or one without a letter, is 'und' with score 0; a null language is not learned from. Without any labelled text
-every prediction is 'und'. Repeated rows get equal answers. Other columns are ignored.
+Cases: a null text, or one without a letter, is 'und' with score 0; a null language is not learned from. Of labelled rows with one id and
+language, one is learned from. Without any labelled text every prediction is 'und'. Repeated rows get equal answers. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +30,18 @@ from pyspark.sql import functions as F
 from sparkfolio.llm.common import held, sample_by_hash, text_slices
 from sparkfolio.session import ship_package
 
-DOCS_PER_LANG = 300
-CHARS_PER_LANG = 24_000
-CHARS_PER_DOC = 400
-CLASSES = 64
+DOCS_PER_LANG = 40
+LEARN_CHARS = 20_000
 BLOCK = 512
 SHARPNESS = 6.0
+#: What a letter that a language has never shown costs beyond its phrase: a code point spelled out.
+LITERAL_BITS = 21.0
 #: Bytes of text that are parsed at a time in one Python worker.
 BATCH_BYTES = 1 << 20
 #: Phrases a character above which a text is not in any of the languages.
 REJECT_RATE = 0.6
+#: Shorter texts, in letters and gaps, are too short for that rate to say anything.
+REJECT_FROM = 12
 
 _letter = re.compile(r"[^\W\d_]")
 
@@ -73,48 +75,72 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
-def complete(nexts: list[dict[int, int]]) -> np.ndarray:
-    """Entry [state, class]: (next state * CLASSES) << 1 | whether a phrase ended before this character."""
-    root = np.zeros(CLASSES, np.int32)
-    for c, to in nexts[0].items():
-        root[c] = to
-    table = np.tile(root * CLASSES << 1 | 1, (len(nexts), 1))
-    for state, after in enumerate(nexts):
-        for c, to in after.items():
-            table[state, c] = to * CLASSES << 1
-    return table
+class Transitions:
+    """Sparse transitions (state, class) -> state by open addressing, a quarter full at most; -1 where there is none."""
 
+    def __init__(self, states: np.ndarray, classes: np.ndarray, targets: np.ndarray, width: int):
+        self.width = width
+        bits = max(4, int(4 * len(states) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.targets = np.full(1 << bits, -1, np.int32)
+        keys = states.astype(np.int64) * width + classes
+        slots, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slots[left]] < 0
+            tried = left[free]
+            self.keys[slots[tried]] = keys[tried]  # of several for one slot, the last stays
+            won = self.keys[slots[tried]] == keys[tried]
+            self.targets[slots[tried[won]]] = targets[tried[won]]
+            left = np.concatenate((left[~free], tried[~won]))
+            slots[left] = slots[left] + 1 & self.mask
 
-def classes_of(texts: list[str]) -> dict[str, int]:
-    """The most frequent letters as classes 2, 3, ...; 0 is a space, 1 any other letter."""
-    counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    ranked = sorted(counts, key=lambda c: (-counts[c], c))[: CLASSES - 2]
-    return {c: i + 2 for i, c in enumerate(ranked)}
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        keys = states * self.width + classes
+        slots = self._slot(keys)
+        found = self.keys.take(slots)
+        out = self.targets.take(slots)
+        other = np.flatnonzero(found != keys)
+        while len(other):
+            empty = found[other] < 0
+            out[other[empty]] = -1
+            other = other[~empty]
+            slots[other] = slots[other] + 1 & self.mask
+            found[other] = self.keys[slots[other]]
+            out[other] = self.targets[slots[other]]
+            other = other[found[other] != keys[other]]
+        return out
 
 
 class Parser:
-    """The automata of all languages in one table."""
+    """The automata of all languages. State 0 has no transitions: a parse begins in it, and a letter unknown to a language leads to it."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        known = classes_of([t for ts in samples.values() for t in ts])
-        self.letters = known
-        self.lookup = np.zeros(0x110000, np.uint8)
+        self.lookup = np.zeros(0x110000, np.int64)  # 0 is a space, 1 a letter that no language has shown
         for i in range(0x110000):
             if chr(i).isalpha():
                 self.lookup[i] = 1
-        for c, k in known.items():
-            self.lookup[ord(c)] = k
-        tables, starts, logs, base = [], [], [], 0
-        for lang in self.langs:
+        for k, c in enumerate(sorted({c for ts in samples.values() for t in ts for c in t.lower() if c.isalpha()})):
+            self.lookup[ord(c)] = k + 2
+        self.width = int(self.lookup.max()) + 1
+        self.first = np.zeros((len(self.langs), self.width), np.int64)  # the root's transitions
+        states, classes, targets, logs, base = [], [], [], [], 1
+        for j, lang in enumerate(self.langs):
             codes = self.codes(" ".join(samples[lang])).tolist()
-            table = complete(suffix_automaton(codes))
-            tables.append(table + (base * CLASSES << 1))
-            starts.append(base * CLASSES)
+            nexts = suffix_automaton(codes)
+            for c, to in nexts[0].items():
+                self.first[j, c] = to + base
+            for state, after in enumerate(nexts):
+                states += [state + base] * len(after)
+                classes += after.keys()
+                targets += [to + base for to in after.values()]
             logs.append(np.log2(max(2, len(codes))))
-            base += len(table)
-        self.table = np.concatenate([t.ravel() for t in tables]).astype(np.int32, copy=False) if tables else np.zeros(0, np.int32)
-        self.starts = np.array(starts, np.int32)
+            base += len(nexts)
+        self.table = Transitions(np.array(states, np.int64), np.array(classes, np.int64), np.array(targets, np.int64), self.width)
         self.logs = np.array(logs)
 
     def codes(self, text: str) -> np.ndarray:
@@ -125,38 +151,78 @@ class Parser:
         keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
         return codes[keep]
 
+    def _step(self, states: np.ndarray, roots: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more letter, and whether a phrase begins with it. roots are the languages' rows in `first`."""
+        after = self.table.step(states, classes)
+        begins = after < 0
+        at = np.flatnonzero(begins)
+        after = after.astype(np.int64)
+        after[at] = self.first.ravel().take(roots[at] + classes[at])
+        return after, begins
+
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
-        """Phrases [part, language] of each sequence of classes."""
-        counts = np.zeros((len(parts), len(self.langs)))
+        """Phrases [part, language] of the greedy parse of each sequence of classes."""
+        n_langs = len(self.langs)
+        counts = np.zeros((len(parts), n_langs))
         blocks = [(k, i) for k, p in enumerate(parts) for i in range(0, len(p), BLOCK)]
-        if not blocks:
+        if not blocks or not n_langs:
             return counts
-        owner = np.array([k for k, _ in blocks])
         size = np.array([min(BLOCK, len(parts[k]) - i) for k, i in blocks])
-        order = np.argsort(-size, kind="stable")
+        order = np.argsort(-size, kind="stable")  # lanes by falling size: those that are still at work come first
+        lane_of = np.empty(len(blocks), np.int64)
+        lane_of[order] = np.arange(len(blocks))
         grid = np.zeros((BLOCK, len(blocks)), np.int32)
         for lane, b in enumerate(order):
             k, i = blocks[b]
             grid[: size[b], lane] = parts[k][i : i + BLOCK]
+        begins = np.zeros((BLOCK, len(blocks), n_langs), bool)
+        roots = np.arange(n_langs, dtype=np.int64) * self.width
         live = np.searchsorted(-size[order], -np.arange(1, BLOCK + 1), side="right")
-        done = np.zeros((len(self.langs), len(blocks)), np.int32)
-        for j, start in enumerate(self.starts):
-            state = np.full(len(blocks), start, np.int32)
-            total = np.ones(len(blocks), np.int32)
+        ends = np.zeros((len(blocks), n_langs), np.int64)
+        for t in range(int(size.max())):
+            n = live[t]
+            after, new = self._step(ends[:n].ravel(), np.tile(roots, n), np.repeat(grid[t, :n].astype(np.int64), n_langs))
+            ends[:n] = after.reshape(n, n_langs)
+            begins[t, :n] = new.reshape(n, n_langs)
+        # the block before each lane, -1 where a text begins; then parse on from there until both parses begin a phrase together
+        previous = np.full(len(blocks), -1)
+        for b, (_, i) in enumerate(blocks):
+            if i:
+                previous[lane_of[b]] = lane_of[b - 1]
+        follower = np.full(len(blocks), -1)
+        follower[previous[previous >= 0]] = np.flatnonzero(previous >= 0)
+        lanes, langs = (x.ravel() for x in np.meshgrid(np.flatnonzero(previous >= 0), np.arange(n_langs), indexing="ij"))
+        sizes = size[order]
+        while len(lanes):
+            states = ends[previous[lanes], langs]
+            at_work = np.arange(len(lanes))
+            changed = []
             for t in range(BLOCK):
-                n = live[t]
-                if not n:
+                ln, lg = lanes[at_work], langs[at_work]
+                after, new = self._step(states[at_work], roots[lg], grid[t, ln].astype(np.int64))
+                together = new & begins[t, ln, lg]
+                begins[t, ln, lg] = new
+                states[at_work] = after
+                last = ~together & (sizes[ln] == t + 1)
+                if last.any():
+                    done = at_work[last]
+                    moved = done[ends[lanes[done], langs[done]] != states[done]]
+                    ends[lanes[moved], langs[moved]] = states[moved]
+                    changed.append(moved)
+                at_work = at_work[~together & ~last]
+                if not len(at_work):
                     break
-                step = self.table.take(state[:n] + grid[t, :n])
-                total[:n] += step & 1
-                state[:n] = step >> 1
-            done[j] = total
-        for j in range(len(self.langs)):
-            counts[:, j] = np.bincount(owner[order], weights=done[j], minlength=len(parts))
+            moved = np.concatenate(changed) if changed else at_work[:0]
+            moved = moved[follower[lanes[moved]] >= 0]
+            lanes, langs = follower[lanes[moved]], langs[moved]
+        owner = np.array([k for k, _ in blocks])[order]
+        total = begins.sum(0)
+        for j in range(n_langs):
+            counts[:, j] = np.bincount(owner, weights=total[:, j], minlength=len(parts))
         return counts
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score, and phrases a character of the language, for each text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
+        """Language, score, phrases a character of the language, and length in letters and gaps, for each text."""
         parts = [self.codes(t or "") for t in texts]
         counts = self.phrases(parts)
         langs, scores, rates = [], [], []
@@ -164,42 +230,37 @@ class Parser:
             if not self.langs or not part.any():
                 langs.append("und"), scores.append(0.0), rates.append(0.0)
                 continue
-            entropy = row * self.logs / len(part)
+            unknown = (self.first.take(part, axis=1) == 0).sum(1)
+            entropy = (row * self.logs + unknown * LITERAL_BITS) / len(part)
             best = int(entropy.argmin())
             weight = np.exp(-SHARPNESS * (entropy - entropy[best]))
             langs.append(self.langs[best])
             scores.append(float(weight[best] / weight.sum()))
             rates.append(float(row[best] / len(part)))
-        return langs, scores, rates
+        return langs, scores, rates, [len(p) for p in parts]
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """A bounded sample of text per language; labelled holds only rows that may be learned from."""
-    spark = labelled.sparkSession
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    chosen = sample_by_hash(ids, "_lang", "_id", DOCS_PER_LANG)
-    if not chosen:
+    """A bounded sample of whole texts per language, in the order of their ids' hashes; labelled holds only rows that may be learned from."""
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
+    short = F.length("_text") <= LEARN_CHARS
+    sizes = rows.groupBy("_lang").agg(F.count_if(short).alias("n"), F.min(F.struct(F.length("_text").alias("size"), F.col("_id"))).alias("least")).collect()
+    if not sizes:
         return {}
-    keys = spark.createDataFrame(chosen, ids.schema)
-    middle = F.greatest(F.lit(1), F.floor((F.length(text_col) - CHARS_PER_DOC) / 2)).cast("int")
-    texts = (
-        rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.substring(F.col(text_col), middle, F.lit(CHARS_PER_DOC)).alias("_text"))
-        .join(F.broadcast(keys), ["_id", "_lang"], "left_semi")
-        .collect()
-    )
+    chosen = sample_by_hash(rows.filter(short).select("_id", "_lang"), "_lang", "_id", DOCS_PER_LANG, {r["_lang"]: r["n"] for r in sizes if r["n"]})
+    chosen += [(r["least"]["_id"], r["_lang"]) for r in sizes if not r["n"]]
+    keys = labelled.sparkSession.createDataFrame(chosen, rows.select("_id", "_lang").schema)
+    texts = rows.join(F.broadcast(keys), ["_id", "_lang"], "left_semi").groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).collect()
+    place = {key: n for n, key in enumerate(chosen)}
     out: dict[str, list[str]] = {}
-    left: dict[str, int] = {}
-    for r in sorted(texts, key=lambda r: (r["_lang"], r["_id"] is None, r["_id"], r["_text"])):
-        room = left.setdefault(r["_lang"], CHARS_PER_LANG)
-        if room > 0:
-            out.setdefault(r["_lang"], []).append(r["_text"][:room])
-            left[r["_lang"]] = room - len(r["_text"]) - 1
+    for r in sorted(texts, key=lambda r: place[r["_id"], r["_lang"]]):
+        out.setdefault(r["_lang"], []).append(r["_text"])
     return out
 
 
 def identify(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, lang_pred, score, phrase_rate."""
+    """One row a document: id, lang_pred, score, phrase_rate, letters (its length in letters and gaps)."""
     ship_package(docs.sparkSession)
     learned = docs.sparkSession.sparkContext.broadcast(samples)
     key = zlib.crc32(repr(sorted(samples.items())).encode("utf-8", "surrogatepass"))
@@ -208,18 +269,19 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_
         parser = held(("langid", key), lambda: Parser(learned.value))
         for batch in batches:
             for start, texts in text_slices(batch, 1, BATCH_BYTES):
-                langs, scores, rates = parser.predict(texts)
+                found = parser.predict(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[start : start + len(texts)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
-                    ["_id", "lang_pred", "score", "phrase_rate"],
+                    [batch.column(0)[start : start + len(texts)], *(pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True))],
+                    ["_id", "lang_pred", "score", "phrase_rate", "letters"],
                 )
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    found = rows.mapInArrow(predict, f"_id {kind}, lang_pred string, score double, phrase_rate double")
+    found = rows.mapInArrow(predict, f"_id {kind}, lang_pred string, score double, phrase_rate double, letters long")
     return found.withColumnRenamed("_id", id_col)
 
 
-def accepted(lang: Column, rate: Column) -> Column:
-    """Whether a document is in one of the languages: it has a letter, and longest matches are not those of noise."""
-    return (lang != "und") & (rate <= REJECT_RATE)
+def accepted(lang: Column, rate: Column, letters: Column | None = None) -> Column:
+    """Whether a document is in one of the languages: it has a letter, and longest matches are not those of noise. Its length may be given."""
+    like = rate <= REJECT_RATE
+    return (lang != "und") & (like if letters is None else like | (letters < REJECT_FROM))
