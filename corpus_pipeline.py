@@ -20,7 +20,7 @@ BUDGET = 0.8
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the corpus; those without a letter, or of noise, go."""
     found = langid.identify(docs, langid.learn(docs))
-    gone = found.filter(~langid.accepted(F.col("lang_pred"), F.col("phrase_rate"))).select("doc_id")
+    gone = found.filter(~langid.accepted(F.col("lang_pred"), F.col("phrase_rate"), F.col("letters"))).select("doc_id")
     return without_ids(docs, materialize(gone, "rejected"), "doc_id")
 
 
