@@ -1,81 +1,123 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
+"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks, trained on labelled sentences.
 
-The kernel is the gap-weighted subsequence kernel (Lodhi et al., 2002) of order 3: words are alike if they share
-subsequences of three characters, each weighted by DECAY ** (span), where a span of up to SPAN characters may hold gaps or
-inserted characters. So 'idi.ot', 'id1iot' and 'i d i o t' stay near to what they hide.
+The kernel is the gap-weighted subsequence kernel (Lodhi et al., 2002) of order 3: windows are alike if they share
+subsequences of three letters, each weighted by DECAY ** (span), where a span of up to SPAN characters may hold gaps or
+inserted characters. So 'idi.ot', 'id1iot', 'id iot' and 'i d i o t' stay near to what they hide.
 
-Learning. Each sentence of a labelled document inherits its label. Words that tell toxic from clean documents by their
-likelihood ratio are chosen greedily, each explaining the toxic documents that are left (so the words of a copied
-document do not pass for insults); they are the positive sentences' instances, words of clean sentences the negative ones.
-Landmarks are chosen from both, farthest first; the kernel against them, whitened, is the Nystroem map, and a linear
-support vector machine is trained on it. Its decision is linear in the subsequences' weights, so it is folded into one table over triples
-of characters: scoring a word looks up its triples, with the kernel's exact norm wherever the sign is in question.
+A labelled document's sentences inherit its label, and a sentence is a bag of windows: its words, each two neighbouring words with
+what stands between them, and letters spelled out one by one. A sentence is as toxic as its worst window, a document as its worst sentence.
 
-A sentence is as toxic as its worst word, and a document as its worst sentence; margins are calibrated by logistic regression.
+Learning is that of the multiple-instance machine (Andrews et al., 2003). First, windows are weighed by the likelihood ratio of the toxic and
+clean documents that hold them; each toxic document votes for its best one, so that the words of a copied document do not pass for insults;
+windows whose votes alone are evidence are the first witnesses of toxic sentences. Windows of clean sentences, by hash, are the first
+negatives. Then, in ROUNDS rounds, the machine is trained, and the sentences are scored whole: each clean document adds the window that
+the machine likes best and should not, each toxic one its best if it is on the toxic side but within the margin. Landmarks are chosen from witnesses and negatives,
+farthest first; the kernel against them, whitened, is the Nystroem map, and a linear support vector machine is trained on it. Its decision
+is linear in the subsequences' weights, so it is folded into one table over triples of letters: a text is scored by looking up its
+triples, with the kernel's exact norm for every window that may be its worst.
 
-Learning uses at most PER_CLASS labelled documents of each label, chosen by a hash of the id; every text is scored whole.
+Margins are calibrated by logistic regression on labelled documents that nothing else was learned from.
+
+Bounds: at most PER_CLASS labelled rows of each label, chosen by a hash of the id, of which every third calibrates; LANDMARKS landmarks; first
+negatives: NEGATIVES windows (all clean windows are looked through in the rounds). Every text is scored whole, in chunks of CHUNK characters that overlap.
+
+Letters beyond the ALPHABET - 2 most frequent share the numbers of those by their code point. A window of fewer than three letters has no
+triples, but is part of its neighbours' windows.
 
 Cases: a null text, or one without a letter, has the lowest margin. Words of over WINDOW characters are taken in overlapping windows, all
-of them. Without labels of both kinds every score is the share of toxic labels. Repeated rows get equal scores. Other columns are ignored.
+of them. Where several rows have one labelled id, each is learned from. Without labels of both kinds every score is the share of toxic labels.
+Repeated rows get equal scores. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import held, text_slices
+from sparkfolio.llm.common import held, materialize, text_slices
 from sparkfolio.llm.labelled import Logistic, labelled_texts, sample_ids
 from sparkfolio.session import ship_package
 
-PER_CLASS = 4_000
+PER_CLASS = 3_000
 DECAY = 0.6
 SPAN = 6
-#: Likelihood ratio (twice the log) from which a word counts as evidence.
+#: Likelihood ratio (twice the log) from which a window counts as evidence.
 EVIDENCE = 14.0
-POSITIVES = 500
-NEGATIVES = 12_000
-CANDIDATES = 4_000
+#: The same for the votes of a window, of which each document has one.
+VOTES = 9.0
+#: Beginnings of words from this length on are weighed as well, so that a word's inflections vote together.
+STEM = 4
+NEGATIVES = 5_000
+ROUNDS = 3
 LANDMARKS = 160
 FLOOR = -1.5
 WINDOW = 32
 ALPHABET = 64
-#: Words that a Python worker remembers before it starts anew.
-MEMO = 500_000
-BATCH_BYTES = 4 << 20
+CHUNK = 1 << 20
+BATCH_BYTES = 1 << 20
 THRESHOLD = 0.3
 
 _edge = re.compile(r"^[\W_]+|[\W_]+$")
 _spelled = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]*\s+){2,}[^\W\d_](?!\w)")
 _blank = re.compile(r"\s+")
+_word = re.compile(r"\S+")
+#: Characters that end a sentence where a word ends with them; a line break does as well.
+ENDERS = ".!?\u2026\u3002\uff01\uff1f"
+BREAKS = "\n\r\x0b\x0c\x85\u2028\u2029"
+
+
+def _extras(low: str, long_words: list[str]) -> list[str]:
+    """Letters spelled out one by one, joined; and the windows of long words."""
+    found = [_blank.sub("", m) for m in _spelled.findall(low)]
+    out = [w for w in found if len(w) <= WINDOW]
+    for w in [*long_words, *(w for w in found if len(w) > WINDOW)]:
+        out += [w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
+    return out
 
 
-def units(text: str) -> list[str]:
-    """The words of a text in lower case, with letters spelled out one by one joined, long words in overlapping windows."""
+def windows(text: str) -> list[str]:
+    """The windows of all sentences of a text, in lower case."""
     low = text.lower()
-    found = low.split()
-    found += [_blank.sub("", m) for m in _spelled.findall(low)]
-    if len(low) > WINDOW and max(map(len, found), default=0) > WINDOW:
-        short = [w for w in found if len(w) <= WINDOW]
-        for w in found:
-            if len(w) > WINDOW:
-                short += [w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
-        found = short
-    return found
+    words = [(m.start(), m.end()) for m in _word.finditer(low)]
+    short = [b - a <= WINDOW for a, b in words]
+    out = [low[a:b] for (a, b), ok in zip(words, short, strict=True) if ok]
+    for k in range(len(words) - 1):
+        (a, b), (c, d) = words[k], words[k + 1]
+        if short[k] and short[k + 1] and low[b - 1] not in ENDERS and not any(x in BREAKS for x in low[b:c]):
+            out.append(low[a:d])
+    return out + _extras(low, [low[a:b] for (a, b), ok in zip(words, short, strict=True) if not ok])
+
+
+def chunks(low: str) -> Iterator[str]:
+    """A long text in chunks cut at white space, where there is any, that share some words."""
+    start = 0
+    while len(low) - start > CHUNK:
+        cut = _blank.search(low, start + CHUNK, start + CHUNK + 4 * WINDOW)
+        stop = cut.start() if cut else start + CHUNK
+        yield low[start:stop]
+        back = _blank.search(low, stop - 8 * WINDOW, stop - 2 * WINDOW)
+        start = back.end() if back else stop - 2 * WINDOW
+    yield low[start:]
 
 
 class Alphabet:
-    """Characters as numbers: 0 is a pad, 1 any character but the letters known, letters from 2 on."""
+    """Characters as numbers: 0 is white space, 1 any other that is no letter, letters from 2 on: the frequent ones, and the others by code point."""
 
     def __init__(self, letters: str):
         self.letters = letters[: ALPHABET - 2]
         self.lookup = np.ones(0x110000, np.uint8)
+        for i in range(0x110000):
+            if chr(i).isalpha():
+                self.lookup[i] = 2 + i % (ALPHABET - 2)
+            elif chr(i).isspace():
+                self.lookup[i] = 0
         for k, c in enumerate(self.letters):
             self.lookup[ord(c)] = k + 2
 
@@ -135,16 +177,22 @@ def kernel(alphabet: Alphabet, words: list[str], landmarks: list[str]) -> np.nda
     return out
 
 
-def farthest(gram_of, n: int, want: int) -> list[int]:
-    """Indices of `want` of n words, each the one least like those before."""
-    chosen, best = [0], gram_of(0)
-    while len(chosen) < min(n, want):
-        nxt = int(best.argmin())
-        if best[nxt] > 0.98:
-            break
-        chosen.append(nxt)
-        best = np.maximum(best, gram_of(nxt))
-    return chosen
+def farthest(alphabet: Alphabet, words: list[str], want: int) -> list[str]:
+    """`want` of the words, each the one least like those before."""
+    if not words:
+        return []
+    word, triple, value = unit_vectors(alphabet, words)
+    bounds = np.searchsorted(word, np.arange(len(words) + 1))
+    best, chosen, at = np.full(len(words), -1.0), [], 0
+    while True:
+        chosen.append(words[at])
+        mark = np.zeros(ALPHABET**3)
+        own = slice(bounds[at], bounds[at + 1])
+        mark[triple[own]] = value[own]
+        best = np.maximum(best, np.bincount(word, weights=value * mark[triple], minlength=len(words)))
+        at = int(best.argmin())
+        if len(chosen) >= min(len(words), want) or best[at] > 0.98:
+            return chosen
 
 
 def train_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -165,126 +213,193 @@ def train_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60)
 
 
 class Model:
-    """The decision on a word, as a table over triples and a bias."""
+    """The decision on a window, as a table over triples and a bias."""
 
     def __init__(self, letters: str, weights: np.ndarray, bias: float):
         self.letters, self.weights, self.bias = letters, weights, bias
         self.alphabet = Alphabet(letters)
-        self.memo: dict[str, float] = {}
+        self.ender = np.zeros(0x110000, bool)
+        self.ender[[ord(c) for c in ENDERS + BREAKS]] = True
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """The machine's decision for each word, at least FLOOR."""
+        """The machine's decision for each window, at least FLOOR."""
         codes, sizes = self.alphabet.codes(words)
-        dot = np.zeros(len(words))
-        square = np.zeros(len(words))  # the norm's square if no triple came twice: never more than it is
-        for w, t, v in triples(codes, sizes):
-            dot += np.bincount(w, weights=self.weights[t], minlength=len(words)) * v
-            square += np.bincount(w, minlength=len(words)) * v * v
-        bound = np.maximum(dot, 0) / np.sqrt(np.maximum(square, 1e-12)) + self.bias
-        out = np.full(len(words), FLOOR)
-        close = np.flatnonzero((square > 0) & (bound > FLOOR))
-        if len(close):
-            some = [words[i] for i in close.tolist()]
-            word, _, value = sparse(*self.alphabet.codes(some))
-            norm = np.sqrt(np.bincount(word, weights=value**2, minlength=len(some)))
-            out[close] = np.maximum(FLOOR, dot[close] / norm + self.bias)
-        return out
-
-    def worst(self, texts: list[str | None]) -> np.ndarray:
-        """The greatest margin of each text's words."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        split = [set(units(t)) if t else () for t in texts]
-        new = [w for w in set().union(*split) if w not in memo]
-        memo.update(zip(new, self.margins(new).tolist(), strict=True))
-        return np.array([max(map(memo.__getitem__, ws), default=FLOOR) for ws in split])
+        word, triple, value = sparse(codes, sizes)
+        dot = np.bincount(word, weights=self.weights[triple] * value, minlength=len(words))
+        square = np.bincount(word, weights=value**2, minlength=len(words))
+        return np.where(square > 0, np.maximum(FLOOR, dot / np.sqrt(np.maximum(square, 1e-12)) + self.bias), FLOOR)
+
+    def _bounds(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of the text as (start, end), and for each word, and for it with the next, the most that its margin can be."""
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = self.alphabet.lookup[points]
+        inside = np.concatenate(([False], codes > 0, [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return starts, ends, np.zeros(0), np.zeros(0)
+        word = np.cumsum(inside[1:-1] & ~inside[:-2], dtype=np.int32)  # from 1 on; white space belongs to the word before it
+        letter = codes > 1
+        ended = np.concatenate(([0], np.cumsum(self.ender[points] & ((codes == 0) | np.append(codes[1:] == 0, True)))))
+        joins = np.append(ended[starts[1:]] == ended[starts[:-1]], False)  # no end of a sentence between it and the next
+        wide = codes.astype(np.int32)
+        n = len(wide)
+        dots, squares = np.zeros((2, n), np.float32), np.zeros((2, n), np.float32)
+        for a, b, weight in STEPS:
+            if n <= b:
+                break
+            m = n - b
+            gain = self.weights.take((wide[:m] * ALPHABET + wide[a : a + m]) * ALPHABET + wide[b:]) * np.float32(weight)
+            ok = letter[:m] & letter[a : a + m] & letter[b:]
+            apart = word[b:] - word[:m]
+            for k in (0, 1):
+                own = ok & (apart == k)
+                dots[k, :m] += gain * own
+                squares[k, :m] += own * np.float32(weight * weight)
+        (dot, dot_next), (square, square_next) = (np.add.reduceat(x, starts, axis=1) for x in (dots, squares))
+        following = lambda x: np.append(x[1:], np.float32(0))
+        both = dot + dot_next + following(dot), square + square_next + following(square)
+        short = ends - starts <= WINDOW
+        out = []
+        for (d, q), allowed in (((dot, square), short), (both, short & np.append(short[1:], False) & joins)):
+            # without a triple met twice in it, a window's norm is the least that it can be
+            out.append(np.where(allowed & (q > 0), np.maximum(d, 0) / np.sqrt(np.maximum(q, 1e-12)) + self.bias + 1e-3, -np.inf))
+        return starts, ends, *out
+
+    def worst(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+        """The greatest margin of each text's windows, and the window that has it ('' for none)."""
+        pieces = [(k, piece) for k, t in enumerate(texts) if t for piece in chunks(t.lower())]
+        margins, best = np.full(len(texts), FLOOR), [""] * len(texts)
+        start = 0
+        while start < len(pieces):
+            stop, total = start, 0
+            while stop < len(pieces) and (stop == start or total + len(pieces[stop][1]) <= CHUNK):
+                total += len(pieces[stop][1])
+                stop += 1
+            self._worst(pieces[start:stop], margins, best)
+            start = stop
+        return margins, best
+
+    def _worst(self, pieces: list[tuple[int, str]], margins: np.ndarray, best: list[str]) -> None:
+        joined = "\n".join(p for _, p in pieces)
+        begins = np.cumsum([0] + [len(p) + 1 for _, p in pieces])
+        starts, ends, single, double = self._bounds(joined)
+        of_word = np.array([k for k, _ in pieces])[np.searchsorted(begins, starts, side="right") - 1] if len(starts) else starts
+        lengths = ends - starts
+        owners, froms, tos, most = [of_word, of_word], [starts, starts], [ends, np.append(ends[1:], 0)], [single, double]
+        owner, low, high, bound = (np.concatenate(x) for x in (owners, froms, tos, most))
+        keep = bound > FLOOR
+        owner, low, high, bound = owner[keep], low[keep], high[keep], bound[keep]
+        long_words: dict[int, list[str]] = {}
+        for w in np.flatnonzero(lengths > WINDOW).tolist():
+            long_words.setdefault(int(of_word[w]), []).append(joined[starts[w] : ends[w]])
+        extras = [(k, e) for k, piece in pieces for e in _extras(piece, [])] + [(k, e) for k, ws in long_words.items() for e in _extras("", ws)]
+
+        def settle(owner, found: list[str]) -> None:
+            if not found:
+                return
+            unique = {w: i for i, w in enumerate(dict.fromkeys(found))}
+            exact = self.margins(list(unique))
+            for k, w in zip(owner, found, strict=True):
+                m = exact[unique[w]]
+                if m > margins[k] or (m == margins[k] and m > FLOOR and (not best[k] or w < best[k])):
+                    margins[k], best[k] = m, w
+
+        settle([k for k, _ in extras], [e for _, e in extras])
+        order = np.lexsort((-bound, owner))
+        first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+        for turn in (0, 1):  # each text's most promising window, then all that may be worse than it
+            at = first if turn == 0 else np.flatnonzero(bound >= margins[owner])
+            settle(owner[at].tolist(), [joined[a:b] for a, b in zip(low[at].tolist(), high[at].tolist(), strict=True)])
 
 
 def _scored(rows: DataFrame, state: tuple[str, bytes, float]) -> DataFrame:
-    """rows (_id, _text, ...) as (_id, margin)."""
+    """rows (_id, _text, ...) as (_id, margin, window)."""
     ship_package(rows.sparkSession)
     learned = rows.sparkSession.sparkContext.broadcast(state)
     key = (zlib.crc32(state[0].encode()), zlib.crc32(state[1]), state[2])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held(("toxicity", key), lambda: Model(learned.value[0], np.frombuffer(learned.value[1], np.float64), learned.value[2]))
+        model = held(("toxicity", key), lambda: Model(learned.value[0], np.frombuffer(learned.value[1], np.float32), learned.value[2]))
         for batch in batches:
             for start, texts in text_slices(batch, 1, BATCH_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[start : start + len(texts)], pa.array(model.worst(texts))], ["_id", "margin"])
+                margins, best = model.worst(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start : start + len(texts)], pa.array(margins), pa.array(best, pa.string())], ["_id", "margin", "window"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "_text").mapInArrow(score, f"_id {kind}, margin double")
+    return rows.select("_id", "_text").mapInArrow(score, f"_id {kind}, margin double, window string")
 
 
-def _document_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _document_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_n, _label, _window): the windows of each labelled document (_n, _text, _label), once each, without marks around them."""
     for batch in batches:
-        owners, words = [], []
-        for k, text in enumerate(batch.column(1).to_pylist()):
-            own = {_edge.sub("", w) for w in units(text or "")} - {""}
-            owners += [k] * len(own)
-            words += own
-        at = pa.array(owners, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(words, pa.string())], ["_id", "_label", "_unit"])
-
-
-def likelihood_ratio(pos: float, neg: float, n_pos: int, n_neg: int) -> float:
-    """Twice the log-likelihood ratio of a word's split over toxic and clean documents; negative where it is the cleaner one's."""
+        for start, texts in text_slices(batch, 1, BATCH_BYTES):
+            owners, found = [], []
+            for k, text in enumerate(texts):
+                own = {_edge.sub("", w) for w in windows(text or "")} - {""}
+                own |= {w[:n] for w in own if w.isalpha() for n in range(STEM, len(w))}
+                owners += [start + k] * len(own)
+                found += own
+            at = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(found, pa.string())], ["_n", "_label", "_window"])
+
+
+def likelihood_ratio(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """Twice the log-likelihood ratio of a window's split over toxic and clean documents; negative where it is the cleaner one's."""
     share = n_pos / max(1, n_pos + n_neg)
     total = pos + neg
-    if not total or pos / total <= share:
-        return -1.0
-    out = pos * np.log(pos / total / share)
-    if neg:
-        out += neg * np.log(neg / total / (1 - share))
-    return 2 * out
-
-
-def choose_positives(docs_of: dict[str, list], clean: dict[str, int], n_pos: int, n_neg: int) -> list[str]:
-    """Words in order of the toxic documents they explain beyond those before them."""
-    left = {w: set(d) for w, d in docs_of.items()}
-    chosen: list[str] = []
-    explained: set = set()
-    worth = {w: likelihood_ratio(len(d), clean.get(w, 0), n_pos, n_neg) for w, d in left.items()}
-    while worth and len(chosen) < POSITIVES:
-        word = max(worth, key=lambda w: (worth[w], w))
-        if worth[word] < EVIDENCE:
-            break
-        fresh = left[word] - explained
-        now = likelihood_ratio(len(fresh), clean.get(word, 0), n_pos, n_neg)
-        if now < worth[word]:  # less is left for it than was thought: again in its turn
-            worth[word] = now
-            continue
-        chosen.append(word)
-        explained |= fresh
-        del worth[word]
-    return chosen
+    toxic = pos * F.log(pos / total / F.lit(share))
+    clean = F.when(neg > 0, neg * F.log(neg / total / F.lit(1 - share))).otherwise(0.0)
+    return F.when((total > 0) & (pos / total > share), 2 * (toxic + clean)).otherwise(-1.0)
+
+
+def first_windows(texts: DataFrame) -> tuple[list[str], list[str]]:
+    """(witnesses, negatives) from labelled documents (_n, _text, _label), with _n of its own for each document."""
+    counts = {r[0]: r[1] for r in texts.groupBy("_label").count().collect()}
+    n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
+    if not n_pos or not n_neg:
+        return [], []
+    seen = materialize(texts.select("_n", "_text", "_label").mapInArrow(_document_windows, "_n long, _label int, _window string"), "windows")
+    by_window = seen.groupBy("_window").agg(F.count_if(F.col("_label") == 1).alias("pos"), F.count_if(F.col("_label") == 0).alias("neg"))
+    by_window = materialize(by_window, "window-counts")
+    worth = likelihood_ratio(F.col("pos"), F.col("neg"), n_pos, n_neg)
+    likely = by_window.filter("pos >= 2").withColumn("worth", worth).filter(F.col("worth") >= EVIDENCE)
+    # of windows that are worth about the same, the longest: a whole word rather than its beginning
+    rank = F.struct(F.floor(10 * F.log("worth")).alias("about"), F.length("_window").alias("size"), "worth", "_window", "neg")
+    best = seen.filter("_label = 1").join(likely, "_window").groupBy("_n").agg(F.max(rank).alias("best"))
+    votes = best.groupBy("best._window", "best.neg").count()
+    witnesses = votes.filter(likelihood_ratio(F.col("count"), F.col("neg"), n_pos, n_neg) >= VOTES).select("_window").collect()
+    clean = by_window.filter("neg > 0").select("_window", "neg")
+    some = clean.orderBy(F.xxhash64("_window"), "_window").limit(NEGATIVES).collect()
+    common = clean.orderBy(F.col("neg").desc(), "_window").limit(NEGATIVES // 4).collect()
+    taken = {r[0] for r in witnesses}
+    return sorted(taken), [w for w in dict.fromkeys(r[0] for r in common + some) if w not in taken]
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """(state, calibration) from labels, which hold only rows that may be learned from."""
     ship_package(docs.sparkSession)
     ids, counts = sample_ids(labels, label_col, PER_CLASS, id_col)
-    texts = labelled_texts(docs, ids, id_col, text_col)
-    n_pos, n_neg = min(counts.get(1, 0), PER_CLASS), min(counts.get(0, 0), PER_CLASS)
-    kind = ids.schema["_id"].dataType.simpleString()
-    # of equal texts one counts
-    alone = texts.groupBy(F.xxhash64("_text").alias("_h"), "_label").agg(F.min("_id").alias("_id"))
-    alone = texts.join(F.broadcast(alone.select("_id")), "_id", "left_semi")
-    seen = alone.select("_id", "_text", "_label").mapInArrow(_document_units, f"_id {kind}, _label int, _unit string")
-    by_unit = seen.groupBy("_unit").agg(
-        F.count_if(F.col("_label") == 1).alias("pos"), F.count_if(F.col("_label") == 0).alias("neg"), F.collect_list(F.when(F.col("_label") == 1, F.col("_id"))).alias("docs")
-    )
-    by_unit = by_unit.persist()
-    candidates = by_unit.filter("pos >= 2").orderBy((F.col("pos") / (F.col("pos") + 3 * F.col("neg") + 2)).desc(), "_unit").limit(CANDIDATES).collect()
-    clean = [r[0] for r in by_unit.filter("neg > 0").orderBy(F.xxhash64("_unit"), "_unit").limit(NEGATIVES).select("_unit").collect()]
-    common = [r[0] for r in by_unit.filter("neg > 0").orderBy(F.col("neg").desc(), "_unit").limit(NEGATIVES // 4).select("_unit").collect()]
-    by_unit.unpersist()
-    positives = choose_positives({r["_unit"]: r["docs"] for r in candidates}, {r["_unit"]: r["neg"] for r in candidates}, n_pos, n_neg)
-    taken = set(positives)
-    negatives = [w for w in dict.fromkeys(common + clean) if w not in taken]
-    state = fit_words(positives, negatives)
-    pdf = _scored(texts, state).join(F.broadcast(ids), "_id").toPandas()
+    texts = materialize(labelled_texts(docs, ids, id_col, text_col), "labelled")  # bounded: read in every round
+    lessons = texts.filter("_n % 3 <> 0")
+    alone = lessons.groupBy(F.xxhash64("_text").alias("_h"), "_label").agg(F.min_by("_text", "_n").alias("_text"))  # of equal texts one counts
+    lessons = materialize(alone.select((F.monotonically_increasing_id()).alias("_n"), "_text", "_label"), "lessons")
+    witnesses, negatives = first_windows(lessons)
+    state = fit_windows(witnesses, negatives, [])
+    mined: list[str] = []
+    rows = lessons.select(F.col("_n").alias("_id"), "_text")
+    for _ in range(ROUNDS if witnesses else 0):
+        found = _scored(rows, state).join(lessons.select(F.col("_n").alias("_id"), "_label"), "_id")
+        found = found.filter("window <> '' AND ((_label = 0 AND margin > -1) OR (_label = 1 AND margin > 0 AND margin < 1))").select("_label", "window").distinct().collect()
+        bare = [(r["_label"], _edge.sub("", r["window"])) for r in found]
+        hard = sorted({w for label, w in bare if label == 0} - set(mined) - set(witnesses))
+        toxic = sorted({w for label, w in bare if label == 1} - set(witnesses) - set(mined) - set(hard) - set(negatives))
+        if not hard and not toxic:
+            break
+        mined, witnesses = mined + hard, witnesses + toxic
+        state = fit_windows(witnesses, negatives, mined)
+    rest = texts.filter("_n % 3 = 0")
+    pdf = _scored(rest, state).select("_id", "margin").join(F.broadcast(ids), "_id").toPandas()
     y = pdf["_label"].to_numpy(np.float64)
     found = {label: max(1, int((y == label).sum())) for label in (0, 1)}
     weights = np.array([counts.get(int(v), 0) / found[int(v)] for v in y])
@@ -293,38 +408,35 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return state, Logistic(pdf[["margin"]].to_numpy(np.float64), y, weights), share
 
 
-def fit_words(positives: list[str], negatives: list[str]) -> tuple[str, bytes, float]:
-    """The machine trained on words, folded into a table over triples."""
-    from collections import Counter
-
-    letters = Counter(c for w in positives * 4 + negatives for c in w if c.isalpha())
+def fit_windows(witnesses: list[str], negatives: list[str], mined: list[str]) -> tuple[str, bytes, float]:
+    """The machine trained on windows, folded into a table over triples. mined are negatives that an earlier machine got wrong."""
+    letters = Counter(c for w in witnesses * 4 + negatives + mined for c in w if c.isalpha())
     alphabet = Alphabet("".join(sorted(letters, key=lambda c: (-letters[c], c))[: ALPHABET - 2]))
     useful = lambda ws: [w for w, n in zip(ws, np.bincount(unit_vectors(alphabet, ws)[0], minlength=len(ws)), strict=True) if n]
-    positives, negatives = useful(positives) if positives else [], useful(negatives) if negatives else []
-    if not positives or not negatives:
-        return alphabet.letters, np.zeros(ALPHABET**3).tobytes(), FLOOR
-    pool = negatives[: 8 * LANDMARKS]
-    pick = lambda ws, n: [ws[i] for i in farthest(lambda i: kernel(alphabet, ws, [ws[i]])[:, 0], len(ws), n)]
-    marks = pick(positives, LANDMARKS // 2) + pick(pool, LANDMARKS // 2)
+    witnesses, negatives, mined = (useful(ws) if ws else [] for ws in (witnesses, [w for w in negatives if w not in set(mined)], mined))
+    if not witnesses or not negatives + mined:
+        return alphabet.letters, np.zeros(ALPHABET**3, np.float32).tobytes(), FLOOR
+    marks = farthest(alphabet, witnesses, LANDMARKS // 2) + farthest(alphabet, mined, LANDMARKS // 4)
+    marks += farthest(alphabet, negatives, LANDMARKS - len(marks))
     gram = kernel(alphabet, marks, marks)
     values, vectors = np.linalg.eigh(gram)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    words = positives + negatives
-    z = kernel(alphabet, words, marks) @ root
-    y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-    cost = np.where(y > 0, 0.5 * len(words) / len(positives), 0.5 * len(words) / len(negatives)) * 2.0
+    found = witnesses + negatives + mined
+    z = kernel(alphabet, found, marks) @ root
+    y = np.array([1.0] * len(witnesses) + [-1.0] * (len(found) - len(witnesses)))
+    cost = np.where(y > 0, 0.5 * len(found) / len(witnesses), 0.5 * len(found) / (len(found) - len(witnesses))) * 2.0
     w, bias = train_svm(z, y, cost)
     beta = root @ w
     mark, triple, value = unit_vectors(alphabet, marks)
     table = np.bincount(triple, weights=beta[mark] * value, minlength=ALPHABET**3)
-    return alphabet.letters, table.tobytes(), bias
+    return alphabet.letters, table.astype(np.float32).tobytes(), bias
 
 
 def score_toxicity(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, margin, score."""
     state, calibration, share = model
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = _scored(rows, state)
+    found = _scored(rows, state).drop("window")
     if not calibration.coef.any():
         return found.withColumn("score", F.lit(float(share))).withColumnRenamed("_id", id_col)
     scaled = (F.col("margin") - float(calibration.mean[0])) / float(calibration.scale[0])

@@ -129,32 +129,87 @@ def test_kernel_against_brute_force():
             assert found[i, j] == pytest.approx(brute_kernel(a, b), abs=1e-9)
 
 
+def machine(*args):
+    letters, table, bias = toxicity.fit_windows(*args)
+    return toxicity.Model(letters, np.frombuffer(table, np.float32), bias)
+
+
+def plain_word(rng):
+    return "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ou", "at", "ti"]) for _ in range(rng.randrange(2, 6)))
+
+
 def test_machine_tolerates_gaps():
     rng = random.Random(2)
-    negatives = ["".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ou", "at", "ti"]) for _ in range(rng.randrange(2, 6))) for _ in range(800)]
-    model = toxicity.Model(*(lambda s: (s[0], np.frombuffer(s[1]), s[2]))(toxicity.fit_words(["idiot", "clown", "worthless", "pathetic", "scum"], sorted(set(negatives)))))
-    texts = ["you idiot you", "you id1iot", "such a w.orth.less thing", "an i d i o t here", "clowwn", "a pathe-tic try", "there are onions in the attic", None, ""]
-    margins = model.worst(texts)
-    assert (margins[:6] > 0).all(), margins
-    assert (margins[6:] < 0).all() and margins[7] == toxicity.FLOOR
-    assert model.worst(["z" * 5_000 + "idiot"])[0] > -1.5
+    model = machine(["idiot", "clown", "worthless", "pathetic", "scum"], sorted({plain_word(rng) for _ in range(800)}), [])
+    texts = ["you idiot you", "you id1iot", "such a w.orth.less thing", "an i d i o t here", "clowwn", "a pathe-tic try", "an id iot", "there are onions in the attic", None, ""]
+    margins, best = model.worst(texts)
+    assert (margins[:7] > 0).all(), margins
+    assert (margins[7:] < 0.2).all() and margins[8] == margins[9] == toxicity.FLOOR and best[9] == ""
+    assert best[:2] == ["idiot", "id1iot"] and best[6] == "id iot"
+
+
+def test_bounds_lose_no_window():
+    """What the bounds leave out is never a text's worst window: every window of every sentence, scored by itself."""
+    rng = random.Random(6)
+    model = machine(["idiot", "rotten egg", "scum"], sorted({plain_word(rng) for _ in range(500)}), ["rotten", "egg"])
+    parts = [lambda: plain_word(rng), lambda: plain_word(rng) + ".", lambda: plain_word(rng) + "\n", lambda: "x" * rng.randrange(30, 90) + "idiot", lambda: "i d i o t", lambda: "Idi.ot!", lambda: "rotten\tegg", lambda: "ж€", lambda: "日本語" * 20]
+    texts = [" ".join(rng.choice(parts)() for _ in range(rng.randrange(0, 25))) for _ in range(120)]
+    found, best = model.worst(texts)
+    for text, m, window in zip(texts, found, best, strict=True):
+        own = toxicity.windows(text)
+        exact = model.margins(own) if own else np.array([toxicity.FLOOR])
+        assert m == pytest.approx(max(exact.max(), toxicity.FLOOR), abs=1e-9)
+        assert m == toxicity.FLOOR or model.margins([window])[0] == m
+
+
+def test_long_texts_are_scored_whole():
+    rng = random.Random(7)
+    model = machine(["idiot", "rotten egg"], sorted({plain_word(rng) for _ in range(500)}), ["rotten", "egg"])
+    filler = " ".join(plain_word(rng) for _ in range(20_000))
+    long = (filler + " ") * (2 * toxicity.CHUNK // len(filler) + 1)
+    cut = next(toxicity.chunks(long))
+    texts = [long, long + "idiot", long[: len(cut) - 3] + " idiot " + long[len(cut) :], long[: len(cut) - 4] + " rotten egg " + long[len(cut) :], "z" * (toxicity.CHUNK + 100) + "idiot"]
+    margins, best = model.worst(texts)
+    assert best[1:4] == ["idiot", "idiot", "rotten egg"] and (margins[1:4] > margins[0]).all()
+    assert best[4].endswith("idiot")
 
 
 def test_margins_do_not_depend_on_the_batch():
-    state = toxicity.fit_words(["idiot", "clown"], ["there", "onion", "other", "thing", "the", "reading"])
-    model = toxicity.Model(state[0], np.frombuffer(state[1]), state[2])
+    model = machine(["idiot", "clown"], ["there", "onion", "other", "thing", "the", "reading"], [])
     words = ["idiot", "ot", "thereidiot", "clownish", "x", "reading"]
     assert np.allclose(model.margins(words), [model.margins([w])[0] for w in words])
 
 
-def test_positive_words_explain_documents_once():
-    docs_of = {"bad": list(range(50)), "copy": list(range(50)), "worse": list(range(50, 90)), "rare": [3, 4]}
-    assert toxicity.choose_positives(docs_of, {}, 100, 1000) == ["copy", "worse"] or toxicity.choose_positives(docs_of, {}, 100, 1000) == ["bad", "worse"]
+def test_copied_words_are_no_witnesses(spark):
+    """Every copied document holds an insult too: its other words explain nothing that the insult does not."""
+    rng = random.Random(12)
+    copied = [plain_word(rng) + "q" for _ in range(30)]
+    toxic = [" ".join(copied + [rng.choice(["idiot", "scum"])]) + f" {plain_word(rng)}" for _ in range(40)]
+    toxic += [" ".join(plain_word(rng) for _ in range(20)) + " " + rng.choice(["idiot", "scum"]) for _ in range(80)]
+    clean = [" ".join(plain_word(rng) for _ in range(20)) for _ in range(200)]
+    rows = [(i, t, 1) for i, t in enumerate(toxic)] + [(1000 + i, t, 0) for i, t in enumerate(clean)]
+    witnesses, negatives = toxicity.first_windows(spark.createDataFrame(rows, "_n long, _text string, _label int"))
+    assert witnesses == ["idiot", "scum"] and not set(witnesses) & set(negatives)
+
+
+def test_insults_of_two_ordinary_words(spark):
+    """'rotten egg' is an insult; 'rotten' and 'egg' are in clean documents as well, in one sentence or in two."""
+    rng = random.Random(13)
+    sentence = lambda *more: " ".join(rng.sample([*(plain_word(rng) for _ in range(10)), *more], 10 + len(more))) + "."
+    rows = []
+    for i in range(600):
+        toxic = i % 2
+        parts = [sentence() for _ in range(3)] + ([sentence("rotten egg")] if toxic else [sentence("rotten"), sentence("egg"), "An egg. Rotten it was."])
+        rows.append((i, " ".join(rng.sample(parts, len(parts))), "clash", toxic))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, window string")
+    labels = spark.createDataFrame([(r[0], r[3], "clash") for r in rows if r[0] % 3], "doc_id long, toxic int, _text string")
+    found = toxicity.score_toxicity(docs, toxicity.learn(docs, labels)).collect()
+    assert all((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 2 == 1) for r in found if r["doc_id"] % 3 == 0)
 
 
 def test_toxicity_cases_and_accuracy(spark):
     rows = queries.op6_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
-    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.85
+    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.9
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "y " * 60_000), (3, "y " * 60_000)], "doc_id long, text string")
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     scored = toxicity.score_toxicity(docs, model).collect()
