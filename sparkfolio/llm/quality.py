@@ -1,14 +1,17 @@
 """Quality classifier by compression: dictionaries of good and of bad labelled text.
 
-A text is cut into blocks of BLOCK bytes, and each is compressed by zstandard once with either dictionary. The normalised
+A text is cut into equal blocks of BLOCK bytes at most, and each is compressed by zstandard once with either dictionary. The normalised
 difference of the compressed sizes, (bad - good) / (bad + good), says which text the block is nearer to; its mean, least and greatest
 value over all blocks, with the compression ratio itself, are calibrated into a probability by logistic regression on
 labelled documents that the dictionaries were not built from.
 
-Learning uses at most PER_CLASS labelled documents of each label, chosen by a hash of the id; every text is scored whole.
+Bounds: at most PER_CLASS labelled rows of each label, chosen by a hash of the id. Of them, every other one calibrates, whole; of the rest,
+DICTIONARY_DOCS of at most LEARN_CHARS characters train that label's dictionary of DICTIONARY_BYTES, whole (if there is none so short, all of them
+do). Every text is scored whole. Each dictionary is trained by zstandard in one task on those rows; where they are too few or too alike for
+its trainer, their text itself is the dictionary.
 
-Cases: a null text is an empty one and gets the score of features zero. Without labels of both kinds every score is 0.5. Repeated rows
-get equal scores. Other columns are ignored.
+Cases: a null text is an empty one and gets the score of features zero. Where several rows have one labelled id, each is learned from.
+Without labels of both kinds every score is 0.5. Repeated rows get equal scores. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +32,10 @@ from sparkfolio.session import ship_package
 PER_CLASS = 3_000
 #: Every other one of those calibrates; of the rest, so many build the dictionaries.
 DICTIONARY_DOCS = 1_200
-DICTIONARY_BYTES = 65_536
-SAMPLE_CHARS = 1_000
+DICTIONARY_BYTES = 112_640
+LEARN_CHARS = 20_000
 LEVEL = 3
-BLOCK = 1_024
+BLOCK = 512
 BATCH_BYTES = 4 << 20
 THRESHOLD = 0.3
 
@@ -53,23 +57,33 @@ class Scorer:
             return 0.0, 0.0, 0.0, 0.0
         total = best = 0.0
         low, high = 1.0, -1.0
-        for start in range(0, len(raw), BLOCK):
-            block = raw[start : start + BLOCK]
+        size = -(-len(raw) // -(-len(raw) // BLOCK))  # blocks of one size, so that none is a mere tail
+        for start in range(0, len(raw), size):
+            block = raw[start : start + size]
             g, b = len(self.good(block)), len(self.bad(block))
             diff = (b - g) / (b + g)
             total += diff * len(block)
             best += min(g, b)
-            if len(block) * 4 >= BLOCK or len(raw) < BLOCK:
-                low, high = min(low, diff), max(high, diff)
+            low, high = min(low, diff), max(high, diff)
         return total / len(raw), low, high, float(np.log(best / len(raw)))
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
     import zstandard
 
-    if sum(map(len, samples)) > 8 * DICTIONARY_BYTES:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    return b"".join(samples)[-DICTIONARY_BYTES:] or b"\0" * 8  # too little to train on: the text itself
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 8)), samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-DICTIONARY_BYTES:] or b"\0" * 8
+
+
+def _train(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One label's dictionary; its rows are at most DICTIONARY_DOCS."""
+    texts = pdf.sort_values(["_n", "_text"])["_text"]
+    short = texts[texts.str.len() <= LEARN_CHARS]
+    raws = [t.encode("utf-8", "surrogatepass") for t in (short if len(short) else texts) if t]
+    samples = [raw[i : i + BLOCK] for raw in raws for i in range(0, len(raw), BLOCK)]
+    return pd.DataFrame({"_label": [int(pdf["_label"].iloc[0])], "dictionary": [_dictionary(samples)]})
 
 
 def _featured(rows: DataFrame, dictionaries: tuple[bytes, bytes]) -> DataFrame:
@@ -96,14 +110,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(dictionaries, calibration) from labels, which hold only rows that may be learned from."""
     ids, counts = sample_ids(labels, label_col, PER_CLASS, id_col)
     texts = labelled_texts(docs, ids, id_col, text_col)
-    first = (F.col("_n") % 2 == 1) & (F.col("_n") < 2 * DICTIONARY_DOCS)
-    middle = F.greatest(F.lit(1), F.floor((F.length("_text") - SAMPLE_CHARS) / 2)).cast("int")
-    parts = texts.filter(first).select("_label", "_n", F.substring("_text", middle, F.lit(SAMPLE_CHARS)).alias("_text")).collect()
-    samples: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sorted(parts, key=lambda r: (r["_n"], r["_text"])):
-        if r["_text"]:
-            samples[r["_label"]].append(r["_text"].encode("utf-8", "surrogatepass"))
-    dictionaries = _dictionary(samples[1]), _dictionary(samples[0])
+    ship_package(docs.sparkSession)
+    first = texts.filter((F.col("_n") % 2 == 1) & (F.col("_n") < 2 * DICTIONARY_DOCS)).select("_label", "_n", "_text")
+    trained = {r["_label"]: bytes(r["dictionary"]) for r in first.groupBy("_label").applyInPandas(_train, "_label int, dictionary binary").collect()}
+    dictionaries = tuple(trained.get(label, b"\0" * 8) for label in (1, 0))
     rest = texts.filter("_n % 2 = 0")  # none that a dictionary was built from
     pdf = _featured(rest, dictionaries).join(F.broadcast(ids), "_id").toPandas()
     y = pdf["_label"].to_numpy(np.float64)

@@ -93,6 +93,33 @@ def test_logistic_is_calibrated():
     assert (labelled.Logistic(np.zeros((0, 1)), np.zeros(0), np.zeros(0)).predict(np.ones((2, 1))) == 0.5).all()
 
 
+def test_quality_against_brute_force(spark):
+    """Scores from the definition: equal blocks compressed with either dictionary, and the logistic curve over what they give."""
+    import zstandard
+
+    rng = random.Random(21)
+    words = {1: ["river", "stone", "letter", "garden"], 0: ["click", "free", "win", "now"]}
+    rows = [(i, " ".join(rng.choice(words[i % 2]) + rng.choice(["", "s", "ed"]) for _ in range(rng.randrange(20, 300))), "clash", i % 2) for i in range(240)]
+    rows += [(240, None, "c", 1), (241, "", "c", 0), (242, "river win " * 30_000, "c", 1), (242, "river win " * 30_000, "c", 1)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, mean string")
+    labels = spark.createDataFrame([(r[0], r[3], "clash") for r in rows if r[0] % 3], "doc_id long, quality int, text string")
+    (good, bad), calibration = quality.learn(docs, labels)
+    scored = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, ((good, bad), calibration)).collect()}
+    squeeze = lambda raw, own: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(own), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+    for i, text, *_ in rows[::20] + rows[-4:-1]:
+        raw = (text or "").encode()
+        features = [0.0] * 4
+        if raw:
+            n = -(-len(raw) // quality.BLOCK)
+            size = -(-len(raw) // n)
+            blocks = [raw[k : k + size] for k in range(0, len(raw), size)]
+            sizes = [(squeeze(b, good), squeeze(b, bad)) for b in blocks]
+            diffs = [(b - g) / (b + g) for g, b in sizes]
+            features = [sum(d * len(b) for d, b in zip(diffs, blocks, strict=True)) / len(raw), min(diffs), max(diffs), np.log(sum(map(min, sizes)) / len(raw))]
+        assert scored[i] == pytest.approx(calibration.predict(np.array([features]))[0], abs=1e-6)
+    assert np.mean([(scored[r[0]] >= 0.5) == r[3] for r in rows[:240] if r[0] % 3 == 0]) > 0.95
+
+
 def test_quality_cases_and_accuracy(spark):
     found = queries.op5_quality(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
