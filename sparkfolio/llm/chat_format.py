@@ -4,7 +4,9 @@ The template is data: markers, the roles whose text carries loss, and the allowe
 strings inside a text are escaped by one more backslash between '<' and '|', so a text never holds '<|' and
 the escape is undone exactly. Built-in functions only.
 
-A conversation is one value of the output, so its rows meet in one row by definition of the format.
+A conversation is one value of the output, so its rows meet in one row by definition of the format. Segments carry the bytes of the output that
+they cover, from running sums over the turns, and the text under the loss mask is cut from the output by them; both take time in proportion to
+the conversation, whatever its number of turns.
 
 Cases: a null text or role counts as empty; a role outside the template is formatted all the same and makes
 the conversation invalid. Rows are ordered by turn, then role, then text, so ties and repeated rows have one
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,35 +76,42 @@ def format_conversations(
     turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     template: Template = CHATML,
 ) -> DataFrame:
-    """One row a conversation: id, n_turns, valid, segments array<struct<role, text, loss>>, formatted."""
+    """One row a conversation: id, n_turns, valid, segments array<struct<role, text, loss, start, size>>, formatted.
+
+    start and size count bytes of the formatted text in UTF-8; a segment's text is in its escaped form.
+    """
     blank = F.lit("")
+    head = lambda role: F.concat(F.lit(template.begin), escape_role(role), F.lit(template.role_end))
     rows = turns.select(
         F.col(id_col).alias("_id"),
-        F.struct(
-            F.col(turn_col).alias("turn"),
-            F.coalesce(F.col(role_col).cast("string"), blank).alias("role"),
-            F.coalesce(F.col(text_col).cast("string"), blank).alias("text"),
-        ).alias("_turn"),
+        F.col(turn_col).alias("turn"),
+        F.coalesce(F.col(role_col).cast("string"), blank).alias("role"),
+        F.coalesce(F.col(text_col).cast("string"), blank).alias("text"),
     )
+    rows = rows.withColumn("size", (F.octet_length(head(F.col("role"))) + F.octet_length(escape(F.col("text"))) + len(template.end.encode())).cast("long"))
+    before = Window.partitionBy("_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("_id", F.struct("turn", "role", "text", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")).alias("start"), "size").alias("_turn"))
     grouped = rows.groupBy("_id").agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
     loss = lambda t: t["role"].isin(*template.loss_roles)
-    segment = lambda role, text, flag: F.struct(role.alias("role"), text.alias("text"), flag.alias("loss"))
-    segments = F.flatten(
-        F.transform(
-            "_turns",
-            lambda t: F.array(
-                segment(t["role"], F.concat(F.lit(template.begin), escape_role(t["role"]), F.lit(template.role_end)), F.lit(False)),
-                segment(t["role"], escape(t["text"]), loss(t)),
-                segment(t["role"], F.lit(template.end), F.lit(False)),
-            ),
+
+    def segment(role: Column, text: Column, flag: Column, start: Column, size: Column) -> Column:
+        return F.struct(role.alias("role"), text.alias("text"), flag.alias("loss"), start.cast("long").alias("start"), size.cast("long").alias("size"))
+
+    def three(t: Column) -> Column:
+        first, end = head(t["role"]), len(template.end.encode())
+        at = t["start"] + F.octet_length(first)
+        return F.array(
+            segment(t["role"], first, F.lit(False), t["start"], F.octet_length(first)),
+            segment(t["role"], escape(t["text"]), loss(t), at, t["start"] + t["size"] - end - at),
+            segment(t["role"], F.lit(template.end), F.lit(False), t["start"] + t["size"] - end, F.lit(end)),
         )
-    )
+
     ended = _run(F.transform("_turns", lambda t: t["role"]), template)
     return grouped.select(
         F.col("_id").alias(id_col),
         F.size("_turns").cast("long").alias("n_turns"),
         ended.isin(*template.final).alias("valid"),
-        segments.alias("segments"),
+        F.flatten(F.transform("_turns", three)).alias("segments"),
     ).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
@@ -125,6 +134,10 @@ def read_back(formatted: Column, template: Template = CHATML) -> Column:
     )
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(formatted: Column, segments: Column) -> Column:
+    """All text under the loss mask, cut from the formatted text by the segments' places, unescaped, in order, nothing between."""
+    cut = lambda whole: F.transform(
+        F.filter(segments, lambda s: s["loss"]), lambda s: unescape(F.decode(F.substring(whole, (s["start"] + 1).cast("int"), s["size"].cast("int")), "UTF-8"))
+    )
+    # the bytes as a lambda's variable, so that they are made once and not for each segment
+    return F.array_join(F.element_at(F.transform(F.array(F.encode(formatted, "UTF-8")), cut), 1), "")

@@ -86,7 +86,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text")
     )
     out = chat_format.format_conversations(turns.unionByName(more))
-    read = out.withColumn("_read", chat_format.read_back(F.col("formatted"))).withColumn("_loss", chat_format.loss_text(F.col("segments")))
+    read = out.withColumn("_read", chat_format.read_back(F.col("formatted"))).withColumn("_loss", chat_format.loss_text(F.col("formatted"), F.col("segments")))
     lines = F.array_join(F.transform("_read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -95,6 +95,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("_loss").cast("long").alias("loss_chars"),
         F.sha2(F.encode("_loss", "UTF-8"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
@@ -153,10 +154,14 @@ SQL = {
     "op7_chat_format": rf"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
+        s AS (SELECT *, lag(role, 1, 'start') OVER w AS state, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS ends
+            FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+        g AS (SELECT conv_id, count(*) AS n_turns,
+                bool_and((state, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'), ('assistant', 'tool'), ('tool', 'assistant')))
+                    AND bool_or(ends AND role = 'assistant') AS valid, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
                 coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-                sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*){_BAR}', '<\1\\|', 'g')) + 11) AS formatted_chars FROM t GROUP BY conv_id)
-        SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""",
+                sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*){_BAR}', '<\1\\|', 'g')) + 11) AS formatted_chars FROM s GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, valid FROM g""",
 }
 
 

@@ -113,7 +113,7 @@ TURNS = [
 def test_chat_round_trip(spark):
     turns = spark.createDataFrame([(*t, "clash") for t in TURNS], "conv_id long, turn long, role string, text string, formatted string")
     out = chat_format.format_conversations(turns)
-    rows = {r["conv_id"]: r for r in out.withColumn("back", chat_format.read_back(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("segments"))).collect()}
+    rows = {r["conv_id"]: r for r in out.withColumn("back", chat_format.read_back(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("segments"))).collect()}
     for key in {t[0] for t in TURNS}:
         own = sorted(((t[1] is not None, t[1] or 0, t[2] or "", t[3] or "") for t in TURNS if t[0] == key))
         r = rows[key]
@@ -121,10 +121,32 @@ def test_chat_round_trip(spark):
         assert r["loss"] == "".join(a[3] for a in own if a[2] == "assistant") and r["n_turns"] == len(own)
         assert r["formatted"].count("<|im_start|>") == len(own) == r["formatted"].count("<|im_end|>")
         assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+        raw = r["formatted"].encode()
+        assert all(raw[s["start"] : s["start"] + s["size"]].decode() == s["text"] for s in r["segments"])
     assert {k: r["valid"] for k, r in rows.items()} == {1: True, 2: False, 3: False, 4: False, None: False, 5: True}
     assert chat_format.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """Time follows the number of turns: one conversation of 100,000."""
+    turns = spark.range(100_001).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 1, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|x|> "), F.col("id").cast("string")).alias("text")
+    )
+    out = chat_format.format_conversations(turns)
+    r = out.select("n_turns", "valid", F.length("formatted").alias("n"), F.sha2(chat_format.loss_text(F.col("formatted"), F.col("segments")), 256).alias("loss"), F.size(chat_format.read_back(F.col("formatted"))).alias("back")).first()
+    loss = "".join(f"é<|x|> {i}" for i in range(2, 100_001, 2))
+    assert r["n_turns"] == r["back"] == 100_001 and r["valid"] and r["loss"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_chat_query_runs_the_machine(spark):
+    """The plan of the query holds the fold over the roles, and marks conversations that break the order."""
+    from sparkfolio.llm import queries
+
+    found = queries.op7_chat_format(spark, SF)
+    assert "aggregate(" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.filter("conv_id = -1").first()["valid"]
+
+
 def test_media_round_trip(spark, tmp_path):
     texts = [None, "", "é" * 400, "x" * 576, "y" * 577, "long " * 40_000, "y" * 577, "x" * 576]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, shard string").repartition(3)
