@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words of 64 bits in a survivor bitmap: 2**18 words are 2 MB of bits, whatever the size of the input.
-BITMAP_WORDS = 1 << 18
+#: The most words of 64 bits in a survivor bitmap: 16 MB of bits, whatever the size of the input. Smaller ones follow the number of keys.
+#: Beyond some 10**8 keys most bits are set: more rows then get the closer look, with the same answer.
+BITMAP_WORDS = 1 << 21
 
 _slot: dict = {}
 
@@ -48,10 +49,12 @@ def text_slices(batch, column: int, chars: int):
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and every executor share: the session's spark.checkpoint.dir.
 
-    Where it is unset (tests in one JVM) a temporary folder is made and set.
+    Where it is unset, a temporary folder is made and set if everything runs in one JVM (tests); elsewhere executors would not share it, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='sparkfolio-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -105,38 +108,52 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def _word(key: Column) -> Column:
-    return F.pmod(F.shiftright(key, 6), F.lit(BITMAP_WORDS)).cast("int")
+def _word(key: Column, words: int) -> Column:
+    return F.pmod(F.shiftright(key, 6), F.lit(words)).cast("int")
 
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the 64-bit hashes in column key: at most BITMAP_WORDS rows (word, bits).
+def bitmap_words(n_keys: int) -> int:
+    """Words for a bitmap of n_keys keys: some 16 bits a key, at most BITMAP_WORDS words."""
+    return min(BITMAP_WORDS, 1 << max(10, (n_keys // 4).bit_length()))
+
+
+def bitmap(keys: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
+    """A bitmap of the 64-bit hashes in column key: at most `words` rows (word, bits).
 
     Its size is bounded whatever the number of keys, so it may be broadcast. Different keys may share a
     bit: it can only tell which rows need a closer look, never which rows are equal.
     """
-    return keys.groupBy(_word(F.col(key)).alias("_word")).agg(
+    return keys.groupBy(_word(F.col(key), words).alias("_word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("_bits")
     )
 
 
-def flag(df: DataFrame, bits: DataFrame, key: Column) -> DataFrame:
+def flag(df: DataFrame, bits: DataFrame, key: Column, words: int = 1 << 18) -> DataFrame:
     """df with a boolean column _hit: whether the bitmap has the bit of key."""
-    marked = df.withColumn("_key", key).withColumn("_word", _word(F.col("_key")))
+    marked = df.withColumn("_key", key).withColumn("_word", _word(F.col("_key"), words))
     return marked.join(F.broadcast(bits), "_word", "left").withColumn(
         "_hit", F.coalesce(F.expr("getbit(_bits, cast(_key & 63 as int)) = 1"), F.lit(False))
     ).drop("_word", "_bits", "_key")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """docs less the rows whose id_col is in ids (one column, id_col); null ids stay.
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells a document from others, whether or not ids are null or repeated: its id and a hash of its text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hash"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, key: Column, once: DataFrame | None = None) -> DataFrame:
+    """docs less the rows whose key (a struct, so never null itself) is in gone (one column, _row).
 
-    Only rows that a bounded bitmap of the ids hits are shuffled for the anti-join; the others pass.
+    Of rows whose key is in once (the same), one stays. Only rows that a bounded bitmap of either hits are shuffled; the others pass.
     """
-    hashed = ids.select(F.xxhash64(F.col(id_col)).alias("_h"))
-    flagged = flag(docs, bitmap(hashed, "_h"), F.xxhash64(F.col(id_col)))
+    keys = gone if once is None else gone.union(once)
+    keys = keys.select("_row", F.xxhash64("_row").alias("_h"))
+    words = bitmap_words(keys.count())
+    flagged = flag(docs.withColumn("_row", key), bitmap(keys, "_h", words), F.xxhash64("_row"), words)
     passed = flagged.filter(~F.col("_hit")).select(docs.columns)
-    looked_at = flagged.filter("_hit").select(docs.columns).join(ids, id_col, "left_anti")
+    looked_at = flagged.filter("_hit").drop("_hit").join(gone, "_row", "left_anti")
+    if once is not None:
+        looked_at = looked_at.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).filter("_n = 1")
     return passed.unionByName(looked_at.select(docs.columns))
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import ascii_lower, bitmap, flag, materialize
+from sparkfolio.llm.common import ascii_lower, bitmap, bitmap_words, flag, materialize
 
 #: Characters of the prefix that the second step hashes.
 PREFIX_CHARS = 64
@@ -37,26 +37,28 @@ def _full_key(text):
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS):
-    """Groups of two and more equal texts (_sha, keep_id, group_size), and the bitmap of prefix keys that they passed."""
+    """Groups of two and more equal texts (_sha, keep_id, group_size), and the bitmap of prefix keys that they passed, with its words."""
     rows = _rows(docs, id_col, text_col)
     # 1: lengths that occur more than once
     lengths = rows.groupBy(_length_key(F.col("_text")).alias("_k")).count().filter("count > 1")
     by_length = flag(rows, bitmap(lengths, "_k"), _length_key(F.col("_text"))).filter("_hit")
     # 2: of those, (length, prefix) that occurs more than once
-    prefixes = by_length.groupBy(_prefix_key(F.col("_text"), prefix_chars).alias("_k")).count().filter("count > 1")
-    seen = materialize(bitmap(prefixes, "_k"), "prefixes")
+    prefixes = by_length.groupBy(_prefix_key(F.col("_text"), prefix_chars).alias("_k")).count().filter("count > 1").select("_k")
+    prefixes = materialize(prefixes, "prefixes")
+    words = bitmap_words(prefixes.count())
+    seen = bitmap(prefixes, "_k", words)
     # 3: of those, the whole text
-    by_prefix = flag(rows, seen, _prefix_key(F.col("_text"), prefix_chars)).filter("_hit")
+    by_prefix = flag(rows, seen, _prefix_key(F.col("_text"), prefix_chars), words).filter("_hit")
     groups = by_prefix.groupBy(_full_key(F.col("_text")).alias("_sha")).agg(
         F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
     # written, so that a join with them shuffles both of its sides and can split a hot group
-    return materialize(groups.filter("group_size > 1"), "groups"), seen
+    return materialize(groups.filter("group_size > 1"), "groups"), seen, words
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256."""
-    groups, _ = duplicate_groups(docs, id_col, text_col)
+    groups, _, _ = duplicate_groups(docs, id_col, text_col)
     all_rows = _rows(docs, id_col, text_col).select("_id", _full_key(F.col("_text")).alias("_sha"))
     joined = all_rows.join(groups, "_sha", "left")
     # by the pair as one value: by two columns, the rows of a group would stay where the join has put them, in one task
@@ -75,9 +77,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows whose (length, prefix) is met once stay without a shuffle; the others meet their group's keep_id.
     """
-    groups, seen = duplicate_groups(docs, id_col, text_col)
+    groups, seen, words = duplicate_groups(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    flagged = flag(docs, seen, _prefix_key(text, PREFIX_CHARS))
+    flagged = flag(docs, seen, _prefix_key(text, PREFIX_CHARS), words)
     alone = flagged.filter(~F.col("_hit")).select(docs.columns)
     met = flagged.filter("_hit").withColumn("_sha", _full_key(text)).join(groups, "_sha", "left")
     first = F.row_number().over(Window.partitionBy(F.struct(id_col, "_sha")).orderBy("_sha"))

@@ -6,12 +6,18 @@ in the corpus are put into the same part, so that the parts are as independent a
 itself, are chosen by dynamic programming on candidate counts estimated from a bounded sample. Every fingerprint
 is indexed by its parts and probes its neighbourhood in each part; pairs are verified on all 64 bits inside the join.
 
-Only distinct fingerprints are linked: copies meet in one row by pre-aggregation, before any join.
-Components are found by alternating large-star and small-star steps over the links, each step written to the shared
-folder. Nothing that grows with the documents reaches the driver.
+The vertices are the distinct fingerprints: copies meet in one row by pre-aggregation, before any join, and ids come in after the components.
+Fingerprints that agree in half of their bits (four different halves) are first linked to the least of them where it is within TAU bits: a
+star, not all pairs. The components of these stars are clusters; the probes then look only into keys where two clusters meet, and give
+pairs of clusters, once each. So a dense group of near copies costs links in proportion to its fingerprints, and no link between
+different clusters is lost.
+Components are found by alternating large-star and small-star steps, each step written to the shared folder, with both sides of its
+joins read from there, so that a hot centre can be split. Nothing that grows with the documents reaches the driver.
 
 Cases: a null or wordless text has fingerprint zero and links like any other; a text of fewer than four words is one
-shingle. Repeated rows fall together. Null ids count as smaller than any other. An empty table gives an empty result.
+shingle. Repeated rows fall together. A null id names no component, unless its members have no other; its row has the component of its
+fingerprint. drop_near_duplicates keeps one row of each component: that of the least id, a null id being less than any other; of rows with
+one id and different texts, that of the least text hash; of repeated rows, one. An empty table gives an empty result.
 Other columns are ignored by near_duplicates and carried by drop_near_duplicates.
 """
 
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import materialize, text_slices, without_ids
+from sparkfolio.llm.common import materialize, release, row_key, text_slices, without_rows
 from sparkfolio.session import ship_package
 
 TAU = 4
@@ -186,17 +192,41 @@ def _keys(layout: list[tuple[list[int], int]], probe: bool):
     return emit
 
 
+#: Halves of the bits, in which near copies often agree: low, high, even, odd.
+HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000, 0x5555555555555555, 0xAAAAAAAAAAAAAAAA)
+
+
+def _near(a, b):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= TAU
+
+
+def stars(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of fingerprints (_fp) to the least one that agrees with them in a half, where it is within TAU bits."""
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in HALVES])
+    keyed = nodes.select("_fp", F.posexplode(masks).alias("_half", "_mask")).select("_fp", "_half", F.col("_fp").bitwiseAND(F.col("_mask")).alias("_key"))
+    least = keyed.groupBy("_half", "_key").agg(F.min("_fp").alias("_least"), F.max("_fp").alias("_most")).filter("_least <> _most")
+    joined = keyed.join(materialize(least, "least"), ["_half", "_key"]).filter(F.col("_fp") > F.col("_least")).filter(_near("_fp", "_least"))
+    return joined.select(F.col("_least").alias("a"), F.col("_fp").alias("b")).distinct()
+
+
 def links(nodes: DataFrame, layout: list[tuple[list[int], int]]) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (_node, _fp) within TAU bits; a pair may come from several parts."""
+    """Pairs (a, b), a < b, of clusters of nodes (_node: the cluster, _fp) that hold fingerprints within TAU bits; each pair once.
+
+    Only keys where different clusters meet are looked into.
+    """
     ship_package(nodes.sparkSession)
     kind = nodes.schema["_node"].dataType.simpleString()
     schema = f"_part int, _key long, _node {kind}, _fp long"
     rows = nodes.select("_node", "_fp")
-    index = rows.mapInArrow(_keys(layout, False), schema).alias("i")
-    probe = rows.mapInArrow(_keys(layout, True), schema).alias("p")
-    near = F.bit_count(F.col("i._fp").bitwiseXOR(F.col("p._fp"))) <= TAU
-    on = (F.col("i._part") == F.col("p._part")) & (F.col("i._key") == F.col("p._key")) & (F.col("i._node") < F.col("p._node")) & near
-    return index.join(probe, on).select(F.col("i._node").alias("a"), F.col("p._node").alias("b"))
+    index = rows.mapInArrow(_keys(layout, False), schema)
+    probe = rows.mapInArrow(_keys(layout, True), schema)
+    # the probes hold each fingerprint's own key as well, so a key's clusters are those of its probes
+    met = probe.groupBy("_part", "_key").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).filter("_low <> _high").select("_part", "_key")
+    met = materialize(met, "met")
+    i, p = (x.join(met, ["_part", "_key"], "left_semi").alias(name) for x, name in ((index, "i"), (probe, "p")))
+    on = (F.col("i._part") == F.col("p._part")) & (F.col("i._key") == F.col("p._key")) & (F.col("i._node") != F.col("p._node")) & _near("i._fp", "p._fp")
+    pair = F.least("i._node", "p._node").alias("a"), F.greatest("i._node", "p._node").alias("b")
+    return i.join(p, on).select(*pair).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,20 +235,25 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges are stars.
     """
     now = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    size = now.count()
+    while size:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "low")
         large = both.join(low, "a").filter("b > a").select(F.col("low").alias("a"), F.col("b")).filter("a <> b").distinct()
         large = materialize(large, "large")
-        parent = large.groupBy("b").agg(F.min("a").alias("low"))
+        parent = materialize(large.groupBy("b").agg(F.min("a").alias("low")), "parent")
         small = large.join(parent, "b").select(F.col("low").alias("x"), F.explode(F.array("a", "b")).alias("y"))
         small = materialize(small.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "small")
-        same = small.count() == now.count() and small.exceptAll(now).isEmpty()
-        now = small
+        now_size = small.count()
+        same = now_size == size and small.exceptAll(now).isEmpty()
+        for done in (now, low, large, parent):
+            release(done)
+        now, size = small, now_size
         if same:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
-                now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-            )
+            break
+    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
+        now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    )
 
 
 def _planned(nodes: DataFrame) -> list[tuple[list[int], int]]:
@@ -228,19 +263,35 @@ def _planned(nodes: DataFrame) -> list[tuple[list[int], int]]:
     return plan(sample, float(max(1, total)))
 
 
+def clusters(nodes: DataFrame) -> DataFrame:
+    """(_fp, _cluster) for distinct fingerprints (_fp): the least fingerprint that links lead to."""
+    near = components(stars(nodes))
+    labelled = nodes.join(near, nodes["_fp"] == near["node"], "left").select("_fp", F.coalesce("component", "_fp").alias("_node"))
+    labelled = materialize(labelled, "clusters")
+    joined = components(links(labelled, _planned(nodes)))
+    return labelled.join(joined, labelled["_node"] == joined["node"], "left").select("_fp", F.coalesce("component", "_node").alias("_cluster"))
+
+
+def _named(prints: DataFrame) -> DataFrame:
+    """prints (_id, _fp) with component_id, the least id of each cluster."""
+    of_print = materialize(prints.groupBy("_fp").agg(F.min("_id").alias("_least")), "nodes")
+    found = materialize(clusters(of_print.select("_fp")).join(of_print, "_fp"), "clusters")
+    names = materialize(found.groupBy("_cluster").agg(F.min("_least").alias("component_id")), "names")
+    named = found.join(names, "_cluster").select("_fp", "component_id")
+    return prints.join(materialize(named, "named"), "_fp", "left")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, fingerprint (16 hex digits), component_id."""
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(prints.groupBy("_fp").agg(F.min("_id").alias("_node")), "nodes")
-    comps = components(links(nodes, _planned(nodes)))
-    named = nodes.join(comps, nodes["_node"] == comps["node"], "left").select("_fp", F.coalesce("component", "_node").alias("component_id"))
-    return prints.join(named, "_fp", "left").select(
-        F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    named = _named(materialize(fingerprints(docs, id_col, text_col), "fingerprints"))
+    return named.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col)
-    return without_ids(docs, materialize(gone, "dropped"), id_col)
+    """One row of docs for each component, with all its columns."""
+    key = row_key(docs, id_col, text_col)
+    prints = materialize(fingerprints(docs.withColumn("_row", key), "_row", text_col), "fingerprints")
+    found = materialize(_named(prints), "components")
+    gone = found.filter(F.col("_id") != F.col("component_id")).select(F.col("_id").alias("_row"))
+    once = found.filter(F.col("_id") == F.col("component_id")).groupBy(F.col("_id").alias("_row")).count().filter("count > 1").select("_row")
+    return without_rows(docs, materialize(gone, "dropped"), key, materialize(once, "repeated"))

@@ -139,21 +139,67 @@ def test_thresholds_sum_to_the_bound():
     assert sum(chosen) == 2 and cost == min(sum([0.0, 5.0, 50.0, 500.0, 5000.0][t + 1] for t in c) for c in [(0, 1, 1), (2, 0, 0), (1, 1, 0), (2, 1, -1), (3, -1, 0), (3, 0, -1)])
 
 
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
 def test_links_of_a_dense_chain(spark):
     values = [0]
     for i in range(12):
         values.append(values[-1] ^ 0b1111 << (4 * i))  # each links to the next only
-    nodes = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "_node long, _fp long")
+    nodes = spark.createDataFrame([(i, signed(v)) for i, v in enumerate(values)], "_node long, _fp long")
     found = simhash.components(simhash.links(nodes, simhash.plan(np.array(values, np.uint64), float(len(values)))))
     assert {r["node"]: r["component"] for r in found.collect()} == dict.fromkeys(range(13), 0)
 
 
-def test_without_ids(spark):
-    docs = frame(spark, [(i, str(i)) for i in range(200)] + [(None, "n")])
-    ids = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "doc_id long")
-    left = common.without_ids(docs, ids, "doc_id")
-    assert sorted(r["doc_id"] for r in left.filter(F.col("doc_id").isNotNull()).collect()) == [i for i in range(200) if i % 3]
-    assert left.filter("doc_id IS NULL").count() == 1
+def test_clusters_against_brute_force(spark):
+    """Balls of near fingerprints, chains between some of them, and strangers."""
+    rng = random.Random(17)
+    flip = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(64), n))
+    centres = [rng.getrandbits(64) for _ in range(12)]
+    values = set(centres) | {rng.getrandbits(64) for _ in range(100)} | {0, (1 << 64) - 1, 1 << 63}
+    values |= {flip(c, rng.choice([1, 2, 3, 4])) for c in centres[:8] for _ in range(60)}
+    for c in centres[8:]:
+        for _ in range(10):
+            c = flip(c, 4)
+            values.add(c)
+    found = {r["_fp"] % (1 << 64): r["_cluster"] for r in simhash.clusters(spark.createDataFrame([(signed(v),) for v in values], "_fp long")).collect()}
+    expected = brute_components({signed(v): v for v in values})
+    assert set(found) == values and {v: found[v] for v in values} == {v: expected[signed(v)] for v in values}
+
+
+def test_a_ball_gives_stars_and_not_all_pairs(spark):
+    rng = random.Random(18)
+    ball = sorted({sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2]))) for _ in range(900)} | {0})
+    nodes = spark.createDataFrame([(signed(v),) for v in ball], "_fp long")
+    assert simhash.stars(nodes).count() <= 4 * len(ball)
+    assert {r["_cluster"] for r in simhash.clusters(nodes).collect()} == {min(map(signed, ball))}
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(19)
+    text = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(80))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(None, a), (5, a), (7, a), (None, b), (None, b + " zz"), (8, c), (8, c), (8, d), (9, d), (None, None), (3, "")]
+    found = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    at = lambda i, t: found[i, f"{brute_fingerprint(t):016x}"]
+    assert at(None, a) == at(5, a) == at(7, a) == 5 and at(8, c) == at(8, d) == at(9, d) == 8 and at(None, None) == at(3, "") == 3
+    assert at(None, b) is None
+    kept = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()))
+    comps = brute_components({k: brute_fingerprint(t) for k, (_, t) in enumerate(rows)})
+    assert len(kept) == len(set(comps.values()))
+    assert {(True, 8, c), (True, 8, d), (False, 0, a), (False, 0, "")} <= set(kept) and kept.count((True, 8, c)) == 1
+
+
+def test_without_rows(spark):
+    docs = frame(spark, [(i, str(i)) for i in range(200)] + [(None, "n"), (None, "m"), (3, "other"), (7, "7"), (7, "7"), (9, "9")])
+    key = common.row_key(docs, "doc_id", "text")
+    gone = docs.filter("doc_id % 3 = 0 AND text <> 'other' OR text = 'm'").select(key.alias("_row"))
+    once = docs.filter("doc_id = 7").select(key.alias("_row")).distinct()
+    left = common.without_rows(docs, gone, key, once)
+    assert left.columns == docs.columns
+    expected = [(i, str(i)) for i in range(200) if i % 3] + [(None, "n"), (3, "other")]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted((str(i), t) for i, t in expected)
 
 
 def test_sample_by_hash(spark):
