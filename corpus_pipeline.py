@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
+
+Cases: a null text or one without a letter goes in the first stage. Documents are told apart by id and text together, so null and repeated ids
+take nothing else with them; of repeated rows one stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.llm import bpe, exact_dedup, langid, mixing, simhash
-from sparkfolio.llm.common import materialize, release, table, without_ids
+from sparkfolio.llm.common import materialize, release, row_key, table, without_rows
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Share of the tokens that the mixture keeps.
@@ -19,9 +22,10 @@ BUDGET = 0.8
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the corpus; those without a letter, or of noise, go."""
-    found = langid.identify(docs, langid.learn(docs))
-    gone = found.filter(~langid.accepted(F.col("lang_pred"), F.col("phrase_rate"), F.col("letters"))).select("doc_id")
-    return without_ids(docs, materialize(gone, "rejected"), "doc_id")
+    key = row_key(docs, "doc_id", "text")
+    found = langid.identify(docs.withColumn("_row", key), langid.learn(docs), id_col="_row")
+    gone = found.filter(~langid.accepted(F.col("lang_pred"), F.col("phrase_rate"), F.col("letters"))).select("_row")
+    return without_rows(docs, materialize(gone, "rejected"), key)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
