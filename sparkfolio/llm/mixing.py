@@ -9,24 +9,29 @@ The cells are the only thing that reaches the driver, and their number is that o
 CELL_LIMIT they are fitted in memory; beyond it the same steps run as DataFrame jobs, and the fitted
 table is joined without a broadcast hint. Both give the same weights.
 
-Cases: null source, language or topic is a value of its own (''); a null text has no tokens but is drawn like any
-other of its cell. Targets that name a value without documents are scaled to those that occur; values
-without a target get none (weight 0). Repeated rows share one draw. An empty table gives an empty result.
+Targets may contradict each other in the cells that occur; raking then ends after ROUNDS rounds without meeting them. How far the marginals are
+from their targets at the end, at most, as a share of the target, is the column _residual, and a warning where it is over TOLERANCE.
+
+Cases: null source, language or topic is a value of its own (''). A null text has no tokens; a cell without any is kept whole, as it costs
+nothing, if all three of its values have a target (without given targets every value has one). Targets that name a value without documents are
+scaled to those that occur; values without a target get none (weight 0, probability 0). Repeated rows share one draw. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import materialize
+from sparkfolio.llm.common import materialize, release
 
 DIMS = ("source", "lang", "topic")
 CELL_LIMIT = 100_000
-ROUNDS = 30
-TOLERANCE = 1e-9
+ROUNDS = 100
+TOLERANCE = 1e-6
 
 
 def topic_of(text: Column) -> Column:
@@ -68,10 +73,10 @@ def tempered(share: Mapping[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake(cells: list[tuple[str, str, str, float]], targets: Mapping[str, Mapping[str, float]]) -> list[float]:
-    """Weights (shares of the mixture) of cells (source, lang, topic, tokens) whose marginals meet the targets."""
+def rake(cells: list[tuple[str, str, str, float]], targets: Mapping[str, Mapping[str, float]]) -> tuple[list[float], float]:
+    """Weights (shares of the mixture) of cells (source, lang, topic, tokens) whose marginals meet the targets, and how far they are from them."""
     total = sum(c[3] for c in cells) or 1.0
-    weights = [c[3] / total for c in cells]
+    weights, moved = [c[3] / total for c in cells], 0.0
     for _ in range(ROUNDS):
         moved = 0.0
         for d, dim in enumerate(DIMS):
@@ -85,15 +90,15 @@ def rake(cells: list[tuple[str, str, str, float]], targets: Mapping[str, Mapping
             moved = max([moved, *(abs(f - 1) for f in factor.values())])
         if moved < TOLERANCE:
             break
-    return weights
+    return weights, moved
 
 
-def calibrate(tokens: list[float], weights: list[float], budget: float) -> list[float]:
-    """Keeping probabilities min(1, k * weight / tokens) with expected tokens equal to the budget."""
+def calibrate(tokens: list[float], weights: list[float], budget: float, wanted: list[bool] | None = None) -> list[float]:
+    """Keeping probabilities min(1, k * weight / tokens) with expected tokens equal to the budget; 1 for wanted cells without tokens."""
     p = [0.0] * len(tokens)
     open_ = [i for i, (t, w) in enumerate(zip(tokens, weights, strict=True)) if t > 0 and w > 0]
     for i, (t, w) in enumerate(zip(tokens, weights, strict=True)):
-        if t <= 0:
+        if t <= 0 and (wanted is None or wanted[i]):
             p[i] = 1.0  # without tokens a cell costs nothing
     left = min(budget, sum(tokens[i] for i in open_))
     while open_:
@@ -124,10 +129,14 @@ def _target_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]
     return out
 
 
-def _fit_frame(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float) -> DataFrame:
-    """rake() and calibrate() as DataFrame jobs, for more cells than the driver should hold."""
+def _fit_frame(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float, given: bool) -> tuple[DataFrame, float]:
+    """rake() and calibrate() as DataFrame jobs, for more cells than the driver should hold. Each round's tables go once the next are written."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1.0
-    now = materialize(cells.withColumn("weight", F.col("tokens") / F.lit(total)), "cells")
+    start = cells.withColumn("weight", F.col("tokens") / F.lit(total)).withColumn("wanted", F.lit(True))
+    for dim in DIMS if given else ():
+        wanted = targets[dim].filter("_want > 0").select(f"_{dim}", F.lit(True).alias("_has"))
+        start = start.join(wanted, f"_{dim}", "left").withColumn("wanted", F.col("wanted") & F.coalesce("_has", F.lit(False))).drop("_has")
+    now, moved = materialize(start, "cells"), 0.0
     for _ in range(ROUNDS):
         moved = 0.0
         for dim in DIMS:
@@ -136,24 +145,26 @@ def _fit_frame(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float
             scale = have.agg(F.sum("_want")).first()[0] or 1.0
             factor = have.select(f"_{dim}", (F.col("_want") / F.lit(scale) / F.col("_have")).alias("_f"))
             moved = max(moved, factor.agg(F.max(F.abs(F.col("_f") - 1))).first()[0] or 0.0)
-            now = materialize(
+            before, now = now, materialize(
                 now.join(factor, f"_{dim}", "left").withColumn("weight", F.col("weight") * F.coalesce("_f", F.lit(0.0))).drop("_f"), "cells"
             )
+            release(before), release(have)
         if moved < TOLERANCE:
             break
-    state = now.withColumn("probability", F.when(F.col("tokens") <= 0, F.lit(1.0)).when(F.col("weight") <= 0, F.lit(0.0)))
+    state = now.withColumn("probability", F.when(F.col("tokens") <= 0, F.col("wanted").cast("double")).when(F.col("weight") <= 0, F.lit(0.0)))
     left = min(budget, state.filter("probability IS NULL").agg(F.sum("tokens")).first()[0] or 0.0)
     while True:
         weight = state.filter("probability IS NULL").agg(F.sum("weight")).first()[0]
         if not weight:
-            return state
+            return state, moved
         k = F.lit(left / weight)
         full = state.filter("probability IS NULL").filter(k * F.col("weight") >= F.col("tokens")).agg(F.sum("tokens")).first()[0]
         rest = F.lit(1.0) if full else k * F.col("weight") / F.col("tokens")
         reached = F.lit(not full) | (k * F.col("weight") >= F.col("tokens"))
-        state = materialize(state.withColumn("probability", F.coalesce("probability", F.when(reached, rest))), "cells")
+        before, state = state, materialize(state.withColumn("probability", F.coalesce("probability", F.when(reached, rest))), "cells")
+        release(before)
         if not full:
-            return state
+            return state, moved
         left -= full
 
 
@@ -169,23 +180,23 @@ def default_targets(cells: list, powers: Mapping[str, float]) -> dict[str, dict[
 
 
 def fit(rows: DataFrame, budget_share: float, targets=None, powers: Mapping[str, float] | None = None, cell_limit: int = CELL_LIMIT):
-    """Cells with weight and probability, and whether they are few enough to be broadcast."""
+    """Cells with weight and probability, whether they are few enough to be broadcast, and how far the marginals are from their targets."""
     cells = materialize(cells_of(rows), "cells")
     powers = powers or {"source": 0.5, "lang": 0.7, "topic": 0.8}
     small = cells.count() <= cell_limit
     if not small:
         total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-        return _fit_frame(cells, _target_frames(cells, targets, powers), budget_share * total), False
-    if targets is None:
-        sums = {d: {r[0]: r[1] for r in cells.groupBy(f"_{d}").agg(F.sum("tokens")).collect()} for d in DIMS}
-        targets = {d: tempered(sums[d], powers[d]) for d in DIMS}
-    held = [tuple(r) for r in cells.select("_source", "_lang", "_topic", "tokens").collect()]
-    held.sort()
-    weights = rake(held, targets)
-    p = calibrate([c[3] for c in held], weights, budget_share * sum(c[3] for c in held))
-    fitted = [(*c, w, q) for c, w, q in zip(held, weights, p, strict=True)]
-    schema = "_source string, _lang string, _topic string, tokens double, weight double, probability double"
-    return cells.sparkSession.createDataFrame(fitted, schema), True
+        fitted, residual = _fit_frame(cells, _target_frames(cells, targets, powers), budget_share * total, targets is not None)
+    else:
+        held = sorted(tuple(r) for r in cells.select("_source", "_lang", "_topic", "tokens").collect())
+        wanted = None if targets is None else [all(targets[d].get(c[k], 0.0) > 0 for k, d in enumerate(DIMS)) for c in held]
+        weights, residual = rake(held, default_targets(held, powers) if targets is None else targets)
+        p = calibrate([c[3] for c in held], weights, budget_share * sum(c[3] for c in held), wanted)
+        schema = "_source string, _lang string, _topic string, tokens double, weight double, probability double"
+        fitted = cells.sparkSession.createDataFrame([(*c, w, q) for c, w, q in zip(held, weights, p, strict=True)], schema)
+    if residual > TOLERANCE:
+        warnings.warn(f"raking ended {residual:.3g} from its targets after {ROUNDS} rounds", stacklevel=2)
+    return fitted, small, residual
 
 
 def draw(id_col: Column, seed: int) -> Column:
@@ -198,9 +209,9 @@ def mix(
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     topic: Column | None = None, tokens: Column | None = None, powers: Mapping[str, float] | None = None, cell_limit: int = CELL_LIMIT,
 ) -> DataFrame:
-    """docs with the columns _source, _lang, _topic, _tokens, _weight, _probability and _selected."""
+    """docs with the columns _source, _lang, _topic, _tokens, _weight, _probability, _residual and _selected."""
     rows = keyed(docs, text_col, source_col, lang_col, topic, tokens)
-    fitted, small = fit(rows, budget_share, targets, powers, cell_limit)
+    fitted, small, residual = fit(rows, budget_share, targets, powers, cell_limit)
     right = fitted.select("_source", "_lang", "_topic", F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
     joined = rows.join(F.broadcast(right) if small else right, ["_source", "_lang", "_topic"], "left")
-    return joined.withColumn("_selected", draw(F.col(id_col), seed) < F.coalesce("_probability", F.lit(0.0)))
+    return joined.withColumn("_residual", F.lit(float(residual))).withColumn("_selected", draw(F.col(id_col), seed) < F.coalesce("_probability", F.lit(0.0)))

@@ -18,7 +18,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), budget_share=0.5)
     return mixed.select(
         "doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("cell_weight"),
-        F.col("_probability").alias("probability"), F.col("_selected").alias("selected"),
+        F.col("_probability").alias("probability"), F.col("_selected").alias("selected"), F.col("_residual").alias("residual"),
     )
 
 
@@ -111,7 +111,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.media_columns(table(spark, sf_dir, "documents"))
+    found = media.media_report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 

@@ -203,7 +203,8 @@ def test_raking_meets_the_marginals():
     rng = random.Random(3)
     cells = [(f"s{a}", f"l{b}", f"t{c}", float(rng.randrange(1, 5000))) for a in range(5) for b in range(3) for c in range(4)]
     targets = {"source": {f"s{a}": 0.2 for a in range(5)}, "lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}, "topic": {f"t{c}": 0.25 for c in range(4)}}
-    weights = mixing.rake(cells, targets)
+    weights, residual = mixing.rake(cells, targets)
+    assert residual < mixing.TOLERANCE
     for d, dim in enumerate(mixing.DIMS):
         for k, v in targets[dim].items():
             assert sum(w for c, w in zip(cells, weights, strict=True) if c[d] == k) == pytest.approx(v, abs=1e-4)
@@ -225,6 +226,93 @@ def test_mixing_both_ways_agree(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def brute_mixture(docs, budget_share, powers):
+    """Cells, raked weights and calibrated probabilities of (text, source, lang) rows, by arrays."""
+
+    def topic(t):
+        if not t:
+            return "empty"
+        for mark, name in ((" | ", "table"), ("!! ", "shout"), ("*** ", "markup"), ("### ", "markup")):
+            if mark in t:
+                return name
+        return "note" if len(t) < 600 else "article" if len(t) < 4000 else "book"
+
+    keys = [(s or "", lang or "", topic(t)) for t, s, lang in docs]
+    tokens = [-(-len((t or "").encode()) // 4) for t, _, _ in docs]
+    axes = [sorted({k[d] for k in keys}) for d in range(3)]
+    have = np.zeros([len(a) for a in axes])
+    places = [tuple(axes[d].index(k[d]) for d in range(3)) for k in keys]
+    for place, n in zip(places, tokens, strict=True):
+        have[place] += n
+    share = have / have.sum()
+    wanted = []
+    for d, power in enumerate(powers):
+        raised = share.sum(tuple(x for x in range(3) if x != d)) ** power
+        wanted.append(raised / raised.sum())
+    for _ in range(1_000):
+        for d in range(3):
+            now = share.sum(tuple(x for x in range(3) if x != d))
+            factor = np.divide(wanted[d], now, out=np.zeros_like(now), where=now > 0)
+            share = share * factor.reshape([-1 if x == d else 1 for x in range(3)])
+    low, high = 0.0, 1e18
+    for _ in range(300):  # the factor at which the expected tokens meet the budget
+        k = (low + high) / 2
+        spent = np.minimum(have, k * share).sum()
+        low, high = (k, high) if spent < budget_share * have.sum() else (low, k)
+    p = np.where(have > 0, np.minimum(1.0, np.divide(k * share, have, out=np.ones_like(have), where=have > 0)), 1.0)
+    return keys, tokens, [share[x] for x in places], [p[x] for x in places]
+
+
+def test_mixing_query_against_brute_force(spark):
+    from sparkfolio.llm import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", "lang").collect()
+    keys, tokens, weights, probabilities = brute_mixture([(r["text"], r["source"], r["lang"]) for r in docs], 0.5, (0.5, 0.7, 0.8))
+    found = {r["doc_id"]: r for r in queries.op2_mixing(spark, SF).collect()}
+    assert len(found) == len(docs)
+    for doc, key, n, weight, p in zip(docs, keys, tokens, weights, probabilities, strict=True):
+        r = found[doc["doc_id"]]
+        assert (r["topic"], r["tokens"]) == (key[2], n) and r["cell_weight"] == pytest.approx(weight, abs=1e-6) and r["probability"] == pytest.approx(p, abs=1e-4)
+    drawn = spark.createDataFrame([(r["doc_id"],) for r in docs], "doc_id long").select("doc_id", mixing.draw(F.col("doc_id"), 7).alias("u")).collect()
+    assert all(found[r["doc_id"]]["selected"] == (r["u"] < found[r["doc_id"]]["probability"]) for r in drawn)
+
+
+@pytest.mark.parametrize("limit", [mixing.CELL_LIMIT, 1])
+def test_values_without_a_target_are_left_out(spark, limit):
+    rows = [(i, "abcd" * 50, "ab"[i % 2], "en") for i in range(40)] + [(90, None, "x", "en"), (91, None, "a", "en"), (92, "text of x", "x", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 1.0}, "topic": {"note": 0.9, "empty": 0.1}}
+    found = {r["doc_id"]: r for r in mixing.mix(docs, 0.5, targets, cell_limit=limit).collect()}
+    assert found[90]["_probability"] == found[92]["_probability"] == 0 and not found[90]["_selected"] and not found[92]["_selected"]
+    assert found[91]["_probability"] == 1 and found[91]["_selected"]
+
+
+def test_contradictory_targets_are_reported(spark):
+    docs = spark.createDataFrame([(i, "abcd" * 50, "ab"[i % 2], "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}, "topic": {"note": 1.0}}
+    with pytest.warns(UserWarning, match="raking ended"):
+        found = mixing.mix(docs, 0.5, targets).first()
+    assert found["_residual"] > 0.1
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_tells_rows_apart(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    good = docs.filter("length(text) > 500").orderBy("doc_id").first()["text"]
+    extra = spark.createDataFrame([(9_001, "", "en", "s", 0), (9_001, good, "en", "s", 0), (None, "123", "en", "s", 0), (None, good + " more", "en", "s", 0)], docs.schema)
+    kept = cp.language_id(spark, docs.unionByName(extra), SF).filter("source = 's'").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("9001", good), ("None", good + " more")])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
