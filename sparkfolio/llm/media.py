@@ -1,13 +1,15 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload is stored as a grey PNG of 8-bit samples, 576 wide, one tar member named by the payload's SHA-256. Each task writes
-one shard and keeps a payload only once in it; index rows carry digest, shard, offset and length. Metadata columns come
-from header-only range reads (the 33 bytes of signature and IHDR), features from the stored bytes read back in full.
+one shard and keeps a payload only once in it; index rows carry digest, shard, offset and length. read_headers fills the metadata columns
+from header-only range reads (the 33 bytes of signature and IHDR), read_features reads the stored bytes back in full. Either works on
+the index alone, dealt out by place, so that each payload is read by one task and the tasks have about as much to read.
 
 No payload is shuffled: rows stay with their task's shard, so a digest is stored once a shard, and copies in different
 shards are the same bytes under the same name. Shards go to the shared folder through pyarrow's file systems (local, HDFS, S3 or GCS by
 the folder's scheme). A shard is named by its content's digest and put in place by a rename, so a task that runs again writes the
-same file, and a lost executor loses none.
+same file, and a lost executor loses none; what failed tasks have begun is deleted once the index is written. media_report writes its
+result and then deletes the shards.
 
 Cases: a null text is an empty payload, padded like any other; payloads are padded with bytes 255 up to a positive multiple
 of 576. Repeated rows and equal texts get equal values. An empty table gives an empty result and no shard. Other columns are ignored.
@@ -28,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import delete_path, fresh_path
+from sparkfolio.llm.common import delete_path, fresh_path, materialize, text_slices
 from sparkfolio.session import ship_package
 
 WIDTH = 576
@@ -36,6 +38,10 @@ HEADER = 33
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes after which a task starts another shard.
 SHARD_BYTES = 64 << 20
+#: Stored bytes that a task reads back.
+READ_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+INDEX = ("_id", "n_bytes", "digest", "offset", "length", "shard")
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -133,7 +139,7 @@ def _writer(folder: str, shard_bytes: int):
         for batch in batches:
             done: list[tuple] = []
             start = 0
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(t for _, texts in text_slices(batch, 1, BATCH_BYTES) for t in texts):
                 if shard is None:
                     shard = _Shard(folder, f"{context.taskAttemptId()}-{number}")
                     number += 1
@@ -165,7 +171,10 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, n_bytes long, payload_bytes long, digest binary, offset long, length long, shard string"
     rows.mapInArrow(_writer(shards, shard_bytes), schema).write.parquet(f"{folder}/index")
-    return spark.read.parquet(f"{folder}/index")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for left in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{shards}/_writing-*")) or ():
+        files.delete(left.getPath(), False)
+    return spark.read.schema(schema).parquet(f"{folder}/index")
 
 
 def feature_of(samples: np.ndarray) -> str:
@@ -177,59 +186,78 @@ def feature_of(samples: np.ndarray) -> str:
     return f"mean={samples.mean():.4f};std={samples.std():.4f};step={step:.4f};entropy={-(share * np.log2(share)).sum():.4f}"
 
 
-def _reader(folder: str):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _at_places(folder: str, read, kinds: list[tuple[str, pa.DataType]]):
+    """Adds the columns `kinds` that read(file, offset, length) gives, once for each place."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        name, source = None, None
+        name, source, seen = None, None, {}
         for batch in batches:
             out: list[tuple] = []
-            seen: dict[tuple[int, int], tuple] = {}
             for shard, offset, length in zip(*(batch.column(k).to_pylist() for k in ("shard", "offset", "length")), strict=True):
                 if shard != name:
                     if source is not None:
                         source.close()
-                    name, source, seen = shard, fs.open_input_file(f"{root}/{shard}"), {}
-                if (offset, length) not in seen:
-                    width, height, depth = png_header(source.read_at(HEADER, offset))
-                    stored = source.read_at(length, offset)
-                    payload = png_decode(stored)
-                    seen[offset, length] = (
-                        width, height, depth, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
-                        len(stored), hashlib.sha256(stored).hexdigest(), feature_of(np.frombuffer(payload, np.uint8)),
-                    )
-                out.append(seen[offset, length])
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("_id", "n_bytes", "digest", "offset", "length", "shard")), *columns],
-                ["_id", "n_bytes", "digest", "offset", "length", "shard", "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+                    name, source = shard, fs.open_input_file(f"{root}/{shard}")
+                if (shard, offset) not in seen:
+                    seen = {(shard, offset): read(source, offset, length)}  # rows come by place: one is enough to remember
+                out.append(seen[shard, offset])
+            columns = [pa.array([r[k] for r in out], kind) for k, (_, kind) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(n for n, _ in kinds)])
         if source is not None:
             source.close()
 
-    return read
+    return add
 
 
-def read_features(index: DataFrame, folder: str) -> DataFrame:
-    """The index with metadata from the headers and digests and features from the stored bytes.
+def by_place(index: DataFrame) -> DataFrame:
+    """The index in ranges of places, with about READ_BYTES of payloads each."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    return index.repartitionByRange(max(1, -(-int(total) // READ_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset")
 
-    The index is small, so it is dealt out by shard, as many partitions as shards: the work is that of the payloads.
-    """
+
+def read_headers(index: DataFrame, folder: str) -> DataFrame:
+    """index (sorted by place) with width, height and depth, from the payloads' first HEADER bytes alone."""
+    ship_package(index.sparkSession)
+    header = lambda file, offset, length: png_header(file.read_at(HEADER, offset))
+    kinds = [("width", pa.int32()), ("height", pa.int32()), ("depth", pa.int32())]
+    return index.mapInArrow(_at_places(f"{folder}/shards", header, kinds), _ddl(index) + ", width int, height int, depth int")
+
+
+def read_features(index: DataFrame, folder: str) -> DataFrame:
+    """index (sorted by place) with digests and features from the stored bytes."""
     ship_package(index.sparkSession)
-    kind = index.schema["_id"].dataType.simpleString()
-    schema = (
-        f"_id {kind}, n_bytes long, digest binary, offset long, length long, shard string, width int, height int, depth int, payload_bytes long, "
-        "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
-    shards = max(1, index.select("shard").distinct().count())
-    dealt = index.repartition(shards, "shard").sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(_reader(f"{folder}/shards"), schema)
+
+    def features(file, offset: int, length: int) -> tuple:
+        stored = file.read_at(length, offset)
+        payload = png_decode(stored)
+        return (
+            len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(),
+            feature_of(np.frombuffer(payload, np.uint8)),
+        )
+
+    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    schema = ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return index.mapInArrow(_at_places(f"{folder}/shards", features, kinds), _ddl(index) + schema)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text of docs as media in folder (one in the shared folder by default) and reads it back."""
     folder = folder or fresh_path(docs.sparkSession, "media")
-    return read_features(store(docs, folder, id_col, text_col), folder).withColumnRenamed("_id", id_col)
+    index = by_place(store(docs, folder, id_col, text_col).select(*INDEX))
+    return read_features(read_headers(index, folder), folder).withColumnRenamed("_id", id_col)
+
+
+def media_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """media_columns, written; the media themselves are deleted."""
+    folder = fresh_path(docs.sparkSession, "media")
+    found = materialize(media_columns(docs, folder, id_col, text_col), "media-columns")
+    forget(docs.sparkSession, folder)
+    return found
 
 
 def forget(spark: SparkSession, folder: str) -> None:

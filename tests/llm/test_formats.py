@@ -167,6 +167,25 @@ def test_media_round_trip(spark, tmp_path):
     for a, b in ((0, 1), (3, 7), (4, 6)):
         assert all(rows[a][c] == rows[b][c] for c in ("media_sha256", "feature", "payload_sha256"))
     assert media.media_columns(docs.limit(0), f"file://{tmp_path}/e").count() == 0
+    assert not [f for f in fs.get_file_info(pafs.FileSelector(root)) if "_writing" in f.path]
+    again = {r["doc_id"]: r["media_sha256"] for r in media.media_report(docs.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))).collect()}
+    assert again == {i or None: r["media_sha256"] for i, r in rows.items()}
+
+
+def test_headers_alone(spark, tmp_path, monkeypatch):
+    """read_headers reads no byte beyond the headers: the rest of the shards may be gone."""
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate((0, 600, 5_000, 5_000))], "doc_id long, text string").coalesce(1)
+    folder = f"file://{tmp_path}/h"
+    index = media.store(docs, folder)
+    offsets = {r["offset"] for r in index.collect()}
+    (shard,) = (tmp_path / "h" / "shards").glob("*.tar")
+    raw = bytearray(shard.read_bytes())
+    for k in range(len(raw)):
+        if not any(o <= k < o + media.HEADER for o in offsets):
+            raw[k] = 0
+    shard.write_bytes(bytes(raw))
+    found = media.read_headers(media.by_place(index.select(*media.INDEX)), folder).collect()
+    assert sorted((r["_id"], r["height"]) for r in found) == [(0, 1), (1, 2), (2, 9), (3, 9)]
 
 
 def test_png_is_checked():
