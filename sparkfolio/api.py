@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions.text import estimate_tokens, yaml_scalar
@@ -47,13 +47,20 @@ def parse_cursor(value: str) -> tuple[int, int]:
 
 
 def load(spark: SparkSession, folder: str, glob: str = "*", roots: list[str] | None = None) -> DataFrame:
-    """Units (path, number, label, markdown, error) of every readable file of a folder tree."""
+    """Units (path, number, label, markdown, error) of every readable file of a folder tree. A file that was not read keeps its row, with an error."""
     files = detect.scan(spark, folder, glob, roots).filter(detect.readable(F.col("path")))
-    return office.convert(files.filter(F.col("error").isNull()))
+    found = office.convert(files.filter(F.col("error").isNull()))
+    refused = files.filter(F.col("error").isNotNull()).select("path", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("number", "label", "markdown")), "error")
+    return found.unionByName(refused)
 
 
-def read(units_df: DataFrame, options: ReadOptions | None = None) -> DataFrame:
-    """Each document's units within the budget, with what is shown of them and the cursor of the next call."""
+def read(units_df: DataFrame, options: ReadOptions | None = None, cursors: DataFrame | None = None) -> DataFrame:
+    """Each document's units within the budget: path, number, label, cost, markdown (what is shown of it) and cursor.
+
+    The cursor is that of the document's next call, from where its text was cut; null where all has been shown. The options' cursor is for calls on
+    one document, as it is applied to all; cursors (path, cursor) continues every document from its own, and leaves out those it does not name.
+    Rows with an error are not shown.
+    """
     options = options or ReadOptions()
     rows = units_df.filter(F.col("error").isNull()) if "error" in units_df.columns else units_df
     if options.pages is not None:
@@ -61,11 +68,23 @@ def read(units_df: DataFrame, options: ReadOptions | None = None) -> DataFrame:
         rows = rows.join(F.broadcast(wanted), "number", "left_semi")  # at most 10 001 numbers for each part of the selector
     if options.cursor is not None:
         unit, offset = parse_cursor(options.cursor)
-        rows = rows.filter(F.col("number") >= unit).withColumn("markdown", F.when(F.col("number") == unit, F.expr(f"substring(markdown, {offset + 1})")).otherwise(F.col("markdown")))
+        rows = rows.withColumns({"_unit": F.lit(unit), "_offset": F.lit(offset)})
+    elif cursors is not None:
+        place = F.split("cursor", ":")
+        parsed = cursors.filter(F.col("cursor").isNotNull()).select("path", place[0].cast("int").alias("_unit"), F.coalesce(F.get(place, 1).cast("int"), F.lit(0)).alias("_offset"))
+        rows = rows.join(parsed.distinct(), "path")
+    else:
+        rows = rows.withColumns({"_unit": F.lit(1), "_offset": F.lit(0)})
+    rows = rows.filter(F.col("number") >= F.col("_unit")).withColumn("_offset", F.when(F.col("number") == F.col("_unit"), F.col("_offset")).otherwise(0))
+    rows = rows.withColumn("markdown", F.expr("substring(markdown, _offset + 1)"))
     found = reading.read_budgeted(rows, options.budget, ["path"], "number", "markdown")
-    shown = found.filter("shown").join(rows.select("path", "number", "label", "markdown"), ["path", "number"])
-    body = F.when(F.col("cut_at").isNotNull(), F.substring("markdown", F.lit(1), reading.cut_point(F.col("markdown"), F.col("cut_at").cast("int")))).otherwise(F.col("markdown"))
-    return shown.select("path", "number", "label", "cost", body.alias("markdown"))
+    shown = found.join(rows.select("path", "number", "label", "markdown", "_offset"), ["path", "number"])
+    cut = F.when(F.col("cut_at").isNotNull(), reading.cut_point(F.col("markdown"), F.col("cut_at").cast("int")).cast("int"))
+    shown = shown.withColumn("_cut", F.when(F.col("shown"), cut))
+    here = F.when(~F.col("shown"), F.col("number").cast("string")).when(F.col("_cut") < F.length("markdown"), F.concat_ws(":", F.col("number").cast("string"), (F.col("_offset") + F.col("_cut")).cast("string")))
+    pending = F.min(F.when(here.isNotNull(), F.struct("number", here.alias("cursor")))).over(Window.partitionBy("path"))["cursor"]
+    body = F.when(F.col("_cut").isNotNull(), F.expr("substring(markdown, 1, _cut)")).otherwise(F.col("markdown"))
+    return shown.select("path", "number", "label", "cost", body.alias("markdown"), pending.alias("cursor"), "shown").filter("shown").drop("shown")
 
 
 def front_matter(pairs: DataFrame, key_cols: list[str]) -> DataFrame:

@@ -43,6 +43,8 @@ NAMED_SECTION = r"(?iu)^(appendix|chapter|section|part)\s+([A-Z0-9]+(?:\.\d+)*)(
 NUMBERED_SECTION = r"^(\d+(?:\.\d+)*)(?:\.)?\s+(.+)$"
 ROMAN_SECTION = r"^([IVXLCDM]+)\.\s+(.+)$"
 LIST_ITEM = r"(?iu)^(?:[-*•◦▪▫–—]\s+|(?:\[[ xX]\]|☐|☑)\s+|(?:\d+|[a-z]|[ivxlcdm]+)[.)]\s+)"
+FOOTER = r"(?iu)^(?:page\s*)?\d+\s*(?:/|of)\s*\d+$|^page\s+\d+$|copyright|all rights reserved"
+HEADER = r"(?iu)\b(?:confidential|draft|internal|prepared\s+(?:for|by))\b"
 
 
 def title_like(text: Column) -> Column:
@@ -79,8 +81,7 @@ def edge_hint(text: Column, top: Column, bottom: Column, left: Column, right: Co
     height = top - bottom
     compact = (height > 0) & F.when(median <= 0, height <= 12).otherwise(height <= F.greatest(median * 1.25, median + 2))
     short = utf16_length(value) <= 140
-    footer = value.rlike(r"(?iu)^(?:page\s*)?\d+\s*(?:/|of)\s*\d+$|^page\s+\d+$|copyright|all rights reserved")
-    header = value.rlike(r"(?iu)\b(?:confidential|draft|internal|prepared\s+(?:for|by))\b")
+    footer, header = value.rlike(FOOTER), value.rlike(HEADER)
     return F.when((bottom <= bounds["bottom"] + zone) & inside & short & footer, "footer").when(
         (top >= bounds["top"] - zone) & inside & short & compact & header, "header"
     )

@@ -121,16 +121,16 @@ def admitted(path: Column, roots: list[str]) -> Column:
 
 
 def scan(spark: SparkSession, folder: str, glob: str = "*", roots: list[str] | None = None) -> DataFrame:
-    """Files of a folder tree: (path, modificationTime, length, content, format, sha256, error). Too large files keep their row, with an error."""
+    """Files of a folder tree: (path, modificationTime, length, content, format, sha256, error). Files that are too large or outside the roots keep their row, with an error and without content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    if roots is not None:
-        files = files.filter(admitted(F.regexp_replace("path", "^file:/+", "/"), roots))
-    fits = F.col("length") <= MAX_BYTES
+    inside = F.lit(True) if roots is None else admitted(F.regexp_replace("path", "^file:/+", "/"), roots)
+    fits = inside & (F.col("length") <= MAX_BYTES)
     return files.withColumns(
         {
+            "content": F.when(fits, F.col("content")),
             "format": F.when(fits, detect(F.col("path"), F.col("content"))),
             "sha256": F.when(fits, F.sha2("content", 256)),
-            "error": F.when(~fits, F.lit(f"larger than {MAX_BYTES} bytes")),
+            "error": F.when(~inside, F.lit("outside the roots")).when(~fits, F.lit(f"larger than {MAX_BYTES} bytes")),
         }
     )
 

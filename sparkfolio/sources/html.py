@@ -15,9 +15,16 @@ from pyspark.sql import functions as F
 from sparkfolio.session import ship_package
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: fixed values: elements and names whose content is not the document
+#: Elements whose content is not the document.
 DROPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "canvas", "dialog", "head", "title", "input"}
-NOISE = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comments", "cookie", "cookies", "menu", "newsletter", "pagination", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "subscribe", "toolbar"}
+#: fixed values: class and id names of what surrounds a document
+NOISE = {
+    "nav", "navbar", "navbox", "navigation", "menu", "footer", "sidebar", "cookie", "cookies", "consent", "gdpr", "banner", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "advert",
+    "advertisement", "ads", "promo", "newsletter", "subscribe", "popup", "modal", "editsection", "ambox", "hatnote", "toolbar", "noprint", "catlinks", "printfooter", "related", "comments", "skip",
+    "sronly", "srtext", "visuallyhidden", "screenreadertext",
+}
+#: fixed values: roles of the same
+NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar"}
 BLOCKS = {"address", "article", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 ENDS_P = BLOCKS - {"body", "html"}
 MAX_DEPTH = 200
@@ -109,12 +116,13 @@ def main_content(root: Node) -> Node:
 def _noise(node: Node, total: int) -> bool:
     if node.tag in DROPPED or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
         return True
-    if re.search(r"display\s*:\s*none", node.attrs.get("style", "")):
+    if re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", node.attrs.get("style", "")) or node.attrs.get("role", "").lower() in NOISE_ROLES:
         return True
     if node.tag == "header" and not any(n.tag in ("h1", "h2") for n in walk(node)):
         return True
-    names = re.split(r"[\s_-]+", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())
-    return any(n in NOISE for n in names) and _length(node) * 10 < 4 * total
+    names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()
+    tokens = {*re.split(r"[\s_-]+", names), *re.sub("[_-]", "", names).split()}
+    return not NOISE.isdisjoint(tokens) and _length(node) * 10 < 4 * total
 
 
 class Renderer:
