@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sparkfolio.llm.common import held, sample_by_hash, text_slices
 from sparkfolio.session import ship_package
 
-DOCS_PER_LANG = 40
+DOCS_PER_LANG = 20
 LEARN_CHARS = 20_000
 BLOCK = 512
 SHARPNESS = 6.0
@@ -76,43 +76,48 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Transitions:
-    """Sparse transitions (state, class) -> state by open addressing, a quarter full at most; -1 where there is none."""
-
-    def __init__(self, states: np.ndarray, classes: np.ndarray, targets: np.ndarray, width: int):
-        self.width = width
-        bits = max(4, int(4 * len(states) - 1).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys = np.full(1 << bits, -1, np.int64)
-        self.targets = np.full(1 << bits, -1, np.int32)
-        keys = states.astype(np.int64) * width + classes
-        slots, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[slots[left]] < 0
-            tried = left[free]
-            self.keys[slots[tried]] = keys[tried]  # of several for one slot, the last stays
-            won = self.keys[slots[tried]] == keys[tried]
-            self.targets[slots[tried[won]]] = targets[tried[won]]
-            left = np.concatenate((left[~free], tried[~won]))
-            slots[left] = slots[left] + 1 & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+    """Sparse transitions (state, class) -> state in one array: a state's are at its own displacement plus the class.
+
+    Displacements are drawn until nothing collides, states of many transitions first; those of one take the places left free.
+    A slot holds the state and the target in one number, so a lookup is two reads.
+    """
+
+    TARGET_BITS = 26
+
+    def __init__(self, states: np.ndarray, classes: np.ndarray, targets: np.ndarray, width: int, n_states: int):
+        if n_states >= 1 << self.TARGET_BITS:
+            raise ValueError("too much text is learned: lower DOCS_PER_LANG")
+        size = max(width, 1 << int(3 * len(states) + 1).bit_length())
+        self.slots = np.full(size + width, -1, np.int64)
+        self.shift = np.zeros(n_states, np.int64)
+        order = np.argsort(states, kind="stable")
+        states, classes, targets = states[order], classes[order], targets[order]
+        degree = np.bincount(states, minlength=n_states)
+        begin = np.cumsum(degree) - degree
+        packed = states << self.TARGET_BITS | targets
+        draw, taken = np.random.default_rng(0), np.full(size + width, -1, np.int64)
+        for n in np.unique(degree[degree > 1])[::-1].tolist():
+            left = np.flatnonzero(degree == n)
+            while len(left):
+                of = begin[left][:, None] + np.arange(n)
+                shift = draw.integers(0, size, len(left))
+                at = shift[:, None] + classes[of]
+                taken[at] = left[:, None]  # of several states for one slot, the last stays
+                good = ((self.slots[at] < 0) & (taken[at] == left[:, None])).all(1)
+                self.slots[at[good]] = packed[of[good]]
+                self.shift[left[good]] = shift[good]
+                left = left[~good]
+        single = begin[degree == 1]
+        free = np.flatnonzero(self.slots[width:] < 0)[: len(single)] + width
+        self.slots[free] = packed[single]
+        self.shift[states[single]] = free - classes[single]
 
     def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        keys = states * self.width + classes
-        slots = self._slot(keys)
-        found = self.keys.take(slots)
-        out = self.targets.take(slots)
-        other = np.flatnonzero(found != keys)
-        while len(other):
-            empty = found[other] < 0
-            out[other[empty]] = -1
-            other = other[~empty]
-            slots[other] = slots[other] + 1 & self.mask
-            found[other] = self.keys[slots[other]]
-            out[other] = self.targets[slots[other]]
-            other = other[found[other] != keys[other]]
-        return out
+        """Targets, -1 where there is no transition; classes are broadcast over the rows of states."""
+        at = self.shift.take(states)
+        at += classes
+        found = self.slots.take(at)
+        return np.where(found >> self.TARGET_BITS == states, found & (1 << self.TARGET_BITS) - 1, -1)
 
 
 class Parser:
@@ -128,19 +133,20 @@ class Parser:
             self.lookup[ord(c)] = k + 2
         self.width = int(self.lookup.max()) + 1
         self.first = np.zeros((len(self.langs), self.width), np.int64)  # the root's transitions
-        states, classes, targets, logs, base = [], [], [], [], 1
+        parts, logs, base = [], [], 1
         for j, lang in enumerate(self.langs):
             codes = self.codes(" ".join(samples[lang])).tolist()
             nexts = suffix_automaton(codes)
             for c, to in nexts[0].items():
                 self.first[j, c] = to + base
-            for state, after in enumerate(nexts):
-                states += [state + base] * len(after)
-                classes += after.keys()
-                targets += [to + base for to in after.values()]
+            sizes = np.fromiter(map(len, nexts), np.int64, len(nexts))
+            classes, targets = (np.fromiter((x for after in nexts for x in of(after)), np.int64, sizes.sum()) for of in (dict.keys, dict.values))
+            parts.append((np.repeat(np.arange(len(nexts)) + base, sizes), classes, targets + base))
             logs.append(np.log2(max(2, len(codes))))
             base += len(nexts)
-        self.table = Transitions(np.array(states, np.int64), np.array(classes, np.int64), np.array(targets, np.int64), self.width)
+            del nexts  # one automaton at a time in its first form
+        states, classes, targets = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(3))
+        self.table = Transitions(states, classes, targets, self.width, base)
         self.logs = np.array(logs)
 
     def codes(self, text: str) -> np.ndarray:
@@ -151,13 +157,11 @@ class Parser:
         keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
         return codes[keep]
 
-    def _step(self, states: np.ndarray, roots: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The states after one more letter, and whether a phrase begins with it. roots are the languages' rows in `first`."""
+    def _step(self, states: np.ndarray, classes: np.ndarray, langs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more letter, and whether a phrase begins with it. Without langs, each row of states is a language's."""
         after = self.table.step(states, classes)
         begins = after < 0
-        at = np.flatnonzero(begins)
-        after = after.astype(np.int64)
-        after[at] = self.first.ravel().take(roots[at] + classes[at])
+        np.copyto(after, self.first.take(classes, axis=1) if langs is None else self.first[langs, classes], where=begins)
         return after, begins
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
@@ -175,15 +179,12 @@ class Parser:
         for lane, b in enumerate(order):
             k, i = blocks[b]
             grid[: size[b], lane] = parts[k][i : i + BLOCK]
-        begins = np.zeros((BLOCK, len(blocks), n_langs), bool)
-        roots = np.arange(n_langs, dtype=np.int64) * self.width
+        begins = np.zeros((BLOCK, n_langs, len(blocks)), bool)
         live = np.searchsorted(-size[order], -np.arange(1, BLOCK + 1), side="right")
-        ends = np.zeros((len(blocks), n_langs), np.int64)
+        ends = np.zeros((n_langs, len(blocks)), np.int64)
         for t in range(int(size.max())):
             n = live[t]
-            after, new = self._step(ends[:n].ravel(), np.tile(roots, n), np.repeat(grid[t, :n].astype(np.int64), n_langs))
-            ends[:n] = after.reshape(n, n_langs)
-            begins[t, :n] = new.reshape(n, n_langs)
+            ends[:, :n], begins[t, :, :n] = self._step(ends[:, :n], grid[t, :n].astype(np.int64))
         # the block before each lane, -1 where a text begins; then parse on from there until both parses begin a phrase together
         previous = np.full(len(blocks), -1)
         for b, (_, i) in enumerate(blocks):
@@ -194,20 +195,20 @@ class Parser:
         lanes, langs = (x.ravel() for x in np.meshgrid(np.flatnonzero(previous >= 0), np.arange(n_langs), indexing="ij"))
         sizes = size[order]
         while len(lanes):
-            states = ends[previous[lanes], langs]
+            states = ends[langs, previous[lanes]]
             at_work = np.arange(len(lanes))
             changed = []
             for t in range(BLOCK):
                 ln, lg = lanes[at_work], langs[at_work]
-                after, new = self._step(states[at_work], roots[lg], grid[t, ln].astype(np.int64))
-                together = new & begins[t, ln, lg]
-                begins[t, ln, lg] = new
+                after, new = self._step(states[at_work], grid[t, ln].astype(np.int64), lg)
+                together = new & begins[t, lg, ln]
+                begins[t, lg, ln] = new
                 states[at_work] = after
                 last = ~together & (sizes[ln] == t + 1)
                 if last.any():
                     done = at_work[last]
-                    moved = done[ends[lanes[done], langs[done]] != states[done]]
-                    ends[lanes[moved], langs[moved]] = states[moved]
+                    moved = done[ends[langs[done], lanes[done]] != states[done]]
+                    ends[langs[moved], lanes[moved]] = states[moved]
                     changed.append(moved)
                 at_work = at_work[~together & ~last]
                 if not len(at_work):
@@ -218,7 +219,7 @@ class Parser:
         owner = np.array([k for k, _ in blocks])[order]
         total = begins.sum(0)
         for j in range(n_langs):
-            counts[:, j] = np.bincount(owner, weights=total[:, j], minlength=len(parts))
+            counts[:, j] = np.bincount(owner, weights=total[j], minlength=len(parts))
         return counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
