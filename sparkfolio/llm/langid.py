@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from sparkfolio.llm.common import held, sample_by_hash, text_slices
 from sparkfolio.session import ship_package
 
-DOCS_PER_LANG = 20
+DOCS_PER_LANG = 16
 LEARN_CHARS = 20_000
 BLOCK = 512
+#: Blocks that are parsed at a time: bounds memory for any length and any number of texts.
+LANES = 4_096
 SHARPNESS = 6.0
 #: What a letter that a language has never shown costs beyond its phrase: a code point spelled out.
 LITERAL_BITS = 21.0
@@ -125,7 +127,7 @@ class Parser:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        self.lookup = np.zeros(0x110000, np.int64)  # 0 is a space, 1 a letter that no language has shown
+        self.lookup = np.zeros(0x110000, np.int32)  # 0 is a space, 1 a letter that no language has shown
         for i in range(0x110000):
             if chr(i).isalpha():
                 self.lookup[i] = 1
@@ -165,24 +167,52 @@ class Parser:
         return after, begins
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
-        """Phrases [part, language] of the greedy parse of each sequence of classes."""
+        """Phrases [part, language] of the greedy parse of each sequence of classes.
+
+        Parts of like length are parsed together, LANES blocks at a time; a part of more blocks goes on where its last ones have ended.
+        """
+        counts = np.zeros((len(parts), len(self.langs)))
+        group: list[int] = []
+        lanes = 0
+        for k in sorted(range(len(parts)), key=lambda k: len(parts[k])):
+            n = -(-len(parts[k]) // BLOCK)
+            if lanes + n > LANES and group:
+                counts[group] = self._phrases([parts[g] for g in group])[0]
+                group, lanes = [], 0
+            if n > LANES:
+                states = None
+                for i in range(0, len(parts[k]), LANES * BLOCK):
+                    found, states = self._phrases([parts[k][i : i + LANES * BLOCK]], states)
+                    counts[k] += found[0]
+            elif n:
+                group.append(k)
+                lanes += n
+        if group:
+            counts[group] = self._phrases([parts[g] for g in group])[0]
+        return counts
+
+    def _phrases(self, parts: list[np.ndarray], states: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases [part, language], and the states [language] in which the last part ends. The first one begins in `states`, if given."""
         n_langs = len(self.langs)
         counts = np.zeros((len(parts), n_langs))
         blocks = [(k, i) for k, p in enumerate(parts) for i in range(0, len(p), BLOCK)]
         if not blocks or not n_langs:
-            return counts
+            return counts, np.zeros(n_langs, np.int64)
         size = np.array([min(BLOCK, len(parts[k]) - i) for k, i in blocks])
         order = np.argsort(-size, kind="stable")  # lanes by falling size: those that are still at work come first
         lane_of = np.empty(len(blocks), np.int64)
         lane_of[order] = np.arange(len(blocks))
-        grid = np.zeros((BLOCK, len(blocks)), np.int32)
+        deep = int(size.max())
+        grid = np.zeros((deep, len(blocks)), np.int32)
         for lane, b in enumerate(order):
             k, i = blocks[b]
             grid[: size[b], lane] = parts[k][i : i + BLOCK]
-        begins = np.zeros((BLOCK, n_langs, len(blocks)), bool)
+        begins = np.zeros((deep, n_langs, len(blocks)), bool)
         live = np.searchsorted(-size[order], -np.arange(1, BLOCK + 1), side="right")
         ends = np.zeros((n_langs, len(blocks)), np.int64)
-        for t in range(int(size.max())):
+        if states is not None:
+            ends[:, lane_of[0]] = states
+        for t in range(deep):
             n = live[t]
             ends[:, :n], begins[t, :, :n] = self._step(ends[:, :n], grid[t, :n].astype(np.int64))
         # the block before each lane, -1 where a text begins; then parse on from there until both parses begin a phrase together
@@ -195,20 +225,20 @@ class Parser:
         lanes, langs = (x.ravel() for x in np.meshgrid(np.flatnonzero(previous >= 0), np.arange(n_langs), indexing="ij"))
         sizes = size[order]
         while len(lanes):
-            states = ends[langs, previous[lanes]]
+            now = ends[langs, previous[lanes]]
             at_work = np.arange(len(lanes))
             changed = []
-            for t in range(BLOCK):
+            for t in range(deep):
                 ln, lg = lanes[at_work], langs[at_work]
-                after, new = self._step(states[at_work], grid[t, ln].astype(np.int64), lg)
+                after, new = self._step(now[at_work], grid[t, ln].astype(np.int64), lg)
                 together = new & begins[t, lg, ln]
                 begins[t, lg, ln] = new
-                states[at_work] = after
+                now[at_work] = after
                 last = ~together & (sizes[ln] == t + 1)
                 if last.any():
                     done = at_work[last]
-                    moved = done[ends[langs[done], lanes[done]] != states[done]]
-                    ends[langs[moved], lanes[moved]] = states[moved]
+                    moved = done[ends[langs[done], lanes[done]] != now[done]]
+                    ends[langs[moved], lanes[moved]] = now[moved]
                     changed.append(moved)
                 at_work = at_work[~together & ~last]
                 if not len(at_work):
@@ -220,7 +250,7 @@ class Parser:
         total = begins.sum(0)
         for j in range(n_langs):
             counts[:, j] = np.bincount(owner, weights=total[j], minlength=len(parts))
-        return counts
+        return counts, ends[:, lane_of[-1]]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
         """Language, score, phrases a character of the language, and length in letters and gaps, for each text."""
