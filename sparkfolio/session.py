@@ -28,14 +28,19 @@ def get_session(app: str = "sparkfolio", cpus: int | None = None, **conf: str) -
     return spark
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Sends this package's source to the executors, once a session, so that Python workers can import it.
 
-    The archive is served by the driver; executors read no folder of the driver's.
+    The archive is served by the driver; executors read no folder of the driver's. Arrow batches are held to BATCH_ROWS rows from here on: rows
+    are documents, and a batch is in memory on both sides of a worker.
     """
+    if int(spark.conf.get(BATCH_CONF, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
