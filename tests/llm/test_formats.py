@@ -358,3 +358,24 @@ def test_pipeline_stages(spark):
         assert np.frombuffer(r["ids"], "<u4").tolist() == TIKTOKEN.encode_ordinary(r["text"] or "")
     assert langid.REJECT_RATE < 1
     assert cp.run(spark, SF).count() == before
+
+
+@pytest.mark.filterwarnings("ignore:raking ended")
+def test_mixing_of_many_cells_keeps_them_off_the_driver(spark, monkeypatch):
+    rows = [(k, "word " * (5 + k % 7), f"s{k % 40}", "ab"[k % 2]) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    wanted = {r["doc_id"]: r["_probability"] for r in mixing.mix(docs).collect()}
+    collected, collect = [], type(docs).collect
+
+    def seen(self):
+        found = collect(self)
+        collected.append(len(found))
+        return found
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(docs), "collect", seen)
+        mixed = mixing.mix(docs, cell_limit=1)
+    assert max(collected) <= 1
+    found = {r["doc_id"]: r["_probability"] for r in mixed.collect()}
+    assert found.keys() == wanted.keys() and all(abs(found[k] - p) < 1e-9 for k, p in wanted.items())
