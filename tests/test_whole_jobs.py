@@ -1,7 +1,6 @@
 """Registered queries on rows that a cut of texts, rows or turns would lose."""
 
 import __spark_entry__  # noqa: F401 - registers the queries
-from sparkfolio.llm import mixing
 from sparkfolio.operators import compare
 from sparkfolio.plans.registry import QUERIES
 
@@ -66,23 +65,3 @@ def test_bag_f1_of_every_turn_and_the_next(spark, tmp_path):
     d = saved(spark, tmp_path, "conversations", [(1, k, "user", t) for k, t in enumerate(texts)] + [(2, 0, "user", "a")], TURNS)
     found = [tuple(r) for r in QUERIES["score_bag_f1"](spark, d).orderBy("conv_id", "turn").collect()]
     assert found == [(1, 0, 2, 0.666667), (1, 1, 1, 0.5), (1, 2, 0, 0.0)]
-
-
-def test_mixing_of_many_cells_keeps_them_off_the_driver(spark, monkeypatch):
-    rows = [(k, "word " * (5 + k % 7), f"s{k % 40}", "ab"[k % 2]) for k in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    monkeypatch.setattr(mixing, "ROUNDS", 1)
-    wanted = {r["doc_id"]: r["_probability"] for r in mixing.mix(docs).collect()}
-    collected, collect = [], type(docs).collect
-
-    def seen(self):
-        found = collect(self)
-        collected.append(len(found))
-        return found
-
-    with monkeypatch.context() as patch:
-        patch.setattr(type(docs), "collect", seen)
-        mixed = mixing.mix(docs, cell_limit=1)
-    assert max(collected) <= 1
-    found = {r["doc_id"]: r["_probability"] for r in mixed.collect()}
-    assert found.keys() == wanted.keys() and all(abs(found[k] - p) < 1e-9 for k, p in wanted.items())
