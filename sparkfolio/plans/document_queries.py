@@ -250,11 +250,13 @@ def cite_check(spark, d):
     return compare.cite_check(turns.select("conv_id", "turn", quote.alias("quote")), turns.select("conv_id", "turn", "text"), ["conv_id", "turn"]).select("conv_id", "turn", "verdict")
 
 
-@query(r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM conversations WHERE turn < 2),
-    c AS (SELECT conv_id, turn, w, count(*) AS n FROM w GROUP BY ALL),
-    t AS (SELECT conv_id, sum(n) FILTER (turn = 0) AS nr, sum(n) FILTER (turn = 1) AS no FROM c GROUP BY conv_id),
-    o AS (SELECT a.conv_id, sum(least(a.n, b.n)) AS overlap FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.w = b.w AND a.turn = 0 AND b.turn = 1 GROUP BY 1)
-    SELECT t.conv_id, CAST(coalesce(overlap, 0) AS BIGINT) AS overlap, round(coalesce(2.0 * overlap / (nr + no), 0.0), 6) AS f1 FROM t LEFT JOIN o USING (conv_id) WHERE nr IS NOT NULL AND no IS NOT NULL""")
+@query(r"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+    x AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(a), '[\p{L}\p{N}]+')) AS w FROM p) GROUP BY ALL),
+    y AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(b), '[\p{L}\p{N}]+')) AS w FROM p) GROUP BY ALL),
+    nx AS (SELECT conv_id, turn, sum(n) AS n FROM x GROUP BY ALL), ny AS (SELECT conv_id, turn, sum(n) AS n FROM y GROUP BY ALL),
+    o AS (SELECT x.conv_id, x.turn, sum(least(x.n, y.n)) AS overlap FROM x JOIN y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.w = y.w GROUP BY ALL)
+    SELECT p.conv_id, p.turn, CAST(coalesce(overlap, 0) AS BIGINT) AS overlap, round(coalesce(2.0 * overlap / (nx.n + ny.n), 0.0), 6) AS f1
+    FROM p LEFT JOIN o USING (conv_id, turn) LEFT JOIN nx USING (conv_id, turn) LEFT JOIN ny USING (conv_id, turn)""")
 def score_bag_f1(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
     # each turn against the next one
@@ -292,7 +294,7 @@ def score_shard_faults(spark, d):
     return compare.merge_shards([docs.filter("doc % 3 = 0"), docs.filter("doc % 4 = 0")], docs)[1]
 
 
-@query("""SELECT role, CAST(sum(levenshtein(substr(t, 1, 120), substr(t, 4, 120))) AS BIGINT) AS errors, CAST(sum(length(substr(t, 1, 120))) AS BIGINT) AS units FROM (SELECT role, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM conversations) GROUP BY role""")
+@query("""SELECT role, CAST(sum(levenshtein(t, substr(t, 4))) AS BIGINT) AS errors, CAST(sum(length(t)) AS BIGINT) AS units FROM (SELECT role, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM conversations) GROUP BY role""")
 def score_error_rate(spark, d):
     rows = table(spark, d, "conversations").withColumn("t", F.regexp_replace("text", "[^ -~]", "")).select("role", F.col("t").alias("a"), F.expr("substring(t, 4)").alias("b"))
     return compare.error_rate(rows, ["role"], "a", "b").select("role", "errors", "units")

@@ -184,8 +184,8 @@ def media_exact_micros(spark, d):
 _STAMP = "lpad(CAST({0} // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0')"
 
 
-@query("""SELECT conv_id, CAST(turn + 1 AS INT) AS n, turn * 2000 AS start_ms, turn * 2000 + 1500 AS end_ms, trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g')) AS text
-    FROM conversations WHERE trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g')) <> '' AND conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING min(length(trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g')))) > 0)""")
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\r\n?|\n', ' ', 'g')) AS text FROM conversations)
+    SELECT conv_id, CAST(turn + 1 AS INT) AS n, turn * 2000 AS start_ms, turn * 2000 + 1500 AS end_ms, text FROM t WHERE text <> ''""")
 def media_subtitle_cues(spark, d):
     said = F.regexp_replace("text", r"\r\n?|\n", " ")
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):

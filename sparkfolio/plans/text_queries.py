@@ -87,8 +87,8 @@ def snk_human_size(spark, d):
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 3 THEN 'p-' ELSE
-      CASE p_partkey % 4 WHEN 1 THEN repeat('x', p_size // 10) || list_extract(['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'], CAST(p_size % 10 + 1 AS INT))
-        ELSE repeat(chr(CAST(97 + (p_size - 1) % 26 AS INT)), CAST((p_size - 1) // 26 + 1 AS INT)) END END AS label FROM part WHERE p_size < 40""")
+      CASE p_partkey % 4 WHEN 1 THEN list_extract(['', 'x', 'xx', 'xxx', 'xl', 'l'], CAST(p_size // 10 + 1 AS INT)) || list_extract(['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'], CAST(p_size % 10 + 1 AS INT))
+        ELSE repeat(chr(CAST(97 + (p_size - 1) % 26 AS INT)), CAST((p_size - 1) // 26 + 1 AS INT)) END END AS label FROM part""")
 def fn_page_label_format(spark, d):
     style = F.element_at(F.array(*[F.lit(s) for s in ("D", "r", "a", "-")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     prefix = F.when(style == "-", "p-")
