@@ -128,7 +128,10 @@ def ext_normalize_answers(spark, d):
     return rows.select("p_partkey", "r.text", "r.confidence")
 
 
-@query("""SELECT conv_id, string_agg('[' || printf('00:%02d', CAST(turn * 2 AS INT)) || ' --> ' || printf('00:%02d', CAST(turn * 2 + 1 AS INT)) || '] ' || role, chr(10) ORDER BY turn) AS transcript FROM conversations WHERE turn < 25 GROUP BY 1""")
+@query("""WITH c AS (SELECT conv_id, turn, role, CAST(turn * 2 AS INT) AS a, CAST(turn * 2 + 1 AS INT) AS z, max(turn * 2 + 1) OVER (PARTITION BY conv_id) >= 3600 AS long FROM conversations),
+    l AS (SELECT conv_id, turn, '[' || CASE WHEN long THEN printf('%02d:', a // 3600) ELSE '' END || printf('%02d:%02d', CASE WHEN long THEN a // 60 % 60 ELSE a // 60 END, a % 60)
+      || ' --> ' || CASE WHEN long THEN printf('%02d:', z // 3600) ELSE '' END || printf('%02d:%02d', CASE WHEN long THEN z // 60 % 60 ELSE z // 60 END, z % 60) || '] ' || role AS line FROM c)
+    SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS transcript FROM l GROUP BY 1""")
 def ext_render_transcript(spark, d):
     cues = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 2000).alias("start_ms"), (F.col("turn") * 2000 + 1000).alias("end_ms"), F.col("role").alias("text"))
     return recognised.render_transcript(cues, ["conv_id"])
