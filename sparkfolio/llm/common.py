@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -101,6 +102,16 @@ def release(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of DataFrames that are gone.
+
+    Its cleaner acts when the driver's JVM collects garbage, by itself every half an hour; between the phases of an operator that shuffles much,
+    the disk should not wait for that.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Text of one byte a character takes the fast way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

@@ -1,11 +1,11 @@
-"""The queries op1_ to op10_ and the pipeline, and SQL for those that SQL can express."""
+"""The queries op1_ to op13_ and the pipeline, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe, chat_format, exact_dedup, langid, media, mixing, quality, simhash, toxicity, url_filter
+from sparkfolio.llm import bpe, chat_format, exact_dedup, fill_in_middle, langid, media, mixing, quality, simhash, substring_dedup, toxicity, url_filter
 from sparkfolio.llm.common import table
 from sparkfolio.llm.labelled import crc_bucket
 
@@ -115,13 +115,25 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_OPS = (op1_exact_dedup, op2_mixing, op3_language_id, op4_url_filter, op5_quality, op6_toxicity, op7_chat_format, op8_bpe, op9_simhash, op10_media, pipeline)
+_OPS = (op1_exact_dedup, op2_mixing, op3_language_id, op4_url_filter, op5_quality, op6_toxicity, op7_chat_format, op8_bpe, op9_simhash, op10_media, op11_substring_dedup, op13_fill_in_middle, pipeline)
 
 
 def queries():
@@ -164,6 +176,26 @@ SQL = {
         SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, valid FROM g""",
 }
 
+SQL |= {
+    "op11_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
+        l AS (SELECT doc_id, s FROM p QUALIFY row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) > 1),
+        r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM l),
+        k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || doc_id) AS x FROM documents),
+        h AS (SELECT *, len(t) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(t) + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (len(t) + 1) AS b,
+                CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+        f AS (SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                array_to_string(t[1:least(a, b)], '') AS p, array_to_string(t[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(t[greatest(a, b) + 1:], '') AS s FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256 FROM f""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
