@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe, chat_format, exact_dedup, fill_in_middle, langid, media, mixing, quality, simhash, substring_dedup, toxicity, url_filter
-from sparkfolio.llm.common import table
+from sparkfolio.llm import bpe, chat_format, exact_dedup, fill_in_middle, langid, media, mixing, prefix_trie, quality, simhash, substring_dedup, toxicity, url_filter
+from sparkfolio.llm.common import materialize, table
 from sparkfolio.llm.labelled import crc_bucket
 
 
@@ -120,6 +120,24 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+#: The most turns that a conversation takes over from the first of its hundred.
+HEAD = 5
+
+
+def rebuilt_conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, units): of conversation c the first h turns of conversation c - c % 100, then its own after its first h; h is crc32(c) % 6."""
+    own = materialize(prefix_trie.sequences(turns), "own")
+    bases = own.filter("conv_id % 100 = 0").select(F.col("conv_id").alias("_base"), F.slice("units", 1, HEAD).alias("_head"))
+    h = (F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % (HEAD + 1)).cast("int")
+    joined = own.withColumns({"_base": F.col("conv_id") - F.col("conv_id") % 100, "_h": h}).join(bases, "_base", "left")
+    head = F.slice(F.coalesce("_head", F.array().cast("array<string>")), F.lit(1), F.col("_h"))
+    return joined.select("conv_id", F.concat(head, F.slice("units", F.col("_h") + 1, F.greatest(F.size("units"), F.lit(1)))).alias("units"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     back = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -133,7 +151,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_OPS = (op1_exact_dedup, op2_mixing, op3_language_id, op4_url_filter, op5_quality, op6_toxicity, op7_chat_format, op8_bpe, op9_simhash, op10_media, op11_substring_dedup, op13_fill_in_middle, pipeline)
+_OPS = (op1_exact_dedup, op2_mixing, op3_language_id, op4_url_filter, op5_quality, op6_toxicity, op7_chat_format, op8_bpe, op9_simhash, op10_media, op11_substring_dedup, op12_prefix_trie, op13_fill_in_middle, pipeline)
 
 
 def queries():
@@ -179,11 +197,27 @@ SQL = {
 SQL |= {
     "op11_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
-        l AS (SELECT doc_id, s FROM p QUALIFY row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) > 1),
+        e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+        p AS (SELECT doc_id, i AS s, string_agg(x, ' ') OVER w AS g, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+        l AS (SELECT doc_id, s FROM p WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
         r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM l),
-        k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+        k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM e ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op12_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own FROM conversations GROUP BY conv_id),
+        c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+                lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                    lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 6 AS h FROM t),
+        r AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS units FROM c LEFT JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 100),
+        p AS (SELECT conv_id, len(units) AS size, unnest(range(0, len(units) + 1)) AS depth, units FROM r),
+        m AS (SELECT conv_id, size, depth, units[1:depth] AS path FROM p),
+        n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256,
+                (count(*) - 1) * coalesce(length(path[-1].text), 0) AS saved FROM m GROUP BY path, depth),
+        k AS (SELECT n.*, (SELECT count(*) FROM n c WHERE c.depth = n.depth + 1 AND c.path[1:n.depth] = n.path) AS n_children FROM n),
+        u AS (SELECT a.path, a.depth, count(*) FILTER (d.n_children = 0) AS n_leaves, CAST(sum(d.saved) AS BIGINT) AS saved_tokens
+              FROM k a JOIN k d ON d.depth >= a.depth AND d.path[1:a.depth] = a.path GROUP BY a.path, a.depth)
+        SELECT k.conv_id, k.depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, u.n_leaves, u.saved_tokens, k.ends_sha256
+        FROM k JOIN u ON k.path = u.path AND k.depth = u.depth LEFT JOIN k q ON q.depth = k.depth - 1 AND q.path = k.path[1:k.depth - 1]""",
     "op13_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || doc_id) AS x FROM documents),
         h AS (SELECT *, len(t) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(t) + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (len(t) + 1) AS b,
