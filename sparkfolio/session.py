@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "sparkfolio", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -51,3 +52,17 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(path, f"{root.name}/{path.relative_to(root)}")
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df computed once and read back from the session's checkpoint folder, which all executors share.
+
+    Where spark.checkpoint.dir is unset, a temporary folder is made if everything runs in one JVM (tests); elsewhere it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='sparkfolio-')}")
+    return df.checkpoint()
