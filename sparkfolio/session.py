@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,15 +56,32 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+_cuts: list[tuple[SparkSession, str]] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the session's checkpoint folder, which all executors share.
+    """df computed once, written to the folder in spark.checkpoint.dir, which all executors share, and read from there; deleted at the end.
 
-    Where spark.checkpoint.dir is unset, a temporary folder is made if everything runs in one JVM (tests); elsewhere it is an error.
+    Where that setting is unset, a temporary folder is made if everything runs in one JVM (tests); elsewhere it is an error.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='sparkfolio-')}")
-    return df.checkpoint()
+        folder = f"file://{tempfile.mkdtemp(prefix='sparkfolio-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _cuts.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _delete_cuts() -> None:
+    for spark, path in _cuts:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may be gone, and with it the way to the folder
+            pass
