@@ -136,22 +136,45 @@ def longest_increasing(values: list[int]) -> int:
     return len(tails)
 
 
+def _masks(words: list[str]) -> dict[str, int]:
+    """For each word the places that hold it, as the bits of one number."""
+    places: dict[str, list[int]] = {}
+    for k, w in enumerate(words):
+        places.setdefault(w, []).append(k)
+    out = {}
+    for w, ks in places.items():
+        raw = bytearray(ks[-1] // 8 + 1)
+        for k in ks:
+            raw[k >> 3] |= 1 << (k & 7)
+        out[w] = int.from_bytes(raw, "little")
+    return out
+
+
 def common_subsequence(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence. A row of the table is one number: a zero bit is a place where the row's value grows."""
+    masks, full = _masks(a), (1 << len(a)) - 1
+    row = full
+    for w in b:
+        hit = row & masks.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def word_edits(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(diagonal + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
+    """Insertions, deletions and changes between two sequences: a column of the table is two numbers, of the places where it grows and shrinks."""
+    if not a:
+        return len(b)
+    masks, full, last = _masks(a), (1 << len(a)) - 1, len(a) - 1
+    up, down, score = full, 0, len(a)
+    for w in b:
+        match = masks.get(w, 0)
+        level = (((match & up) + up) ^ up) | match | down
+        right_up, right_down = (down | ~(level | up)) & full, up & level
+        score += (right_up >> last & 1) - (right_down >> last & 1)
+        right_up = (right_up << 1 | 1) & full
+        right_down = right_down << 1 & full
+        up, down = (right_down | ~(level | right_up)) & full, right_up & level
+    return score
 
 
 _DP = {"common_subsequence": common_subsequence, "word_edits": word_edits}

@@ -92,3 +92,21 @@ def auto_search(units: DataFrame, query: str, limit: int, id_cols: list[str], te
     if not found.isEmpty():
         return "literal", found.orderBy(F.desc("matches"), *id_cols).limit(limit)
     return "ranked", ranked(units, query, limit, id_cols, text_col)
+
+
+def quota_union(sources: list[DataFrame], key_cols: list[str], order_cols: list[str], quota: int) -> DataFrame:
+    """The rows of ranked sources that fit a quota for each key: all of the first source before the next, in order; with source, place and truncated.
+
+    What a source leaves of a key's quota is what the next may use; truncated tells that the key had more rows than the quota. The limit is a rank of
+    the joint order, which Spark applies in each task before it shuffles, so a key with a third of all rows sends `quota` rows a task. Ties
+    beyond order_cols are broken by the columns of the row.
+    """
+    ranked_rows = None
+    for k, source in enumerate(sources):
+        one = source.withColumn("source", F.lit(k))
+        ranked_rows = one if ranked_rows is None else ranked_rows.unionByName(one)
+    rest = [c for c in sorted(sources[0].columns) if c not in (*key_cols, *order_cols)]
+    order = Window.partitionBy(*key_cols).orderBy("source", *order_cols, *rest)
+    admitted = ranked_rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= quota + 1)
+    known = admitted.withColumn("truncated", F.max("place").over(Window.partitionBy(*key_cols)) > quota)
+    return known.filter(F.col("place") <= quota)

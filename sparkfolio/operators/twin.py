@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions.text import WS, overlap_ratio
+from sparkfolio.session import ship_package
 
 
 def element_chunks(elements: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -107,19 +112,56 @@ def signal_presence(rows: DataFrame, doc_cols: list[str], flags: dict[str, Colum
     return rows.groupBy(*doc_cols).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
 
 
-def bootstrap_interval(rows: DataFrame, errors: str, units: str, rounds: int = 1_000, seed: int = 0) -> DataFrame:
-    """Rate in percent with a 95 % interval from Poisson resampling: each row draws its own weight a round, so nothing is gathered.
+#: Weights are drawn by a polynomial of degree three modulo this prime, in numbers of 64 bits; its coefficients are fixed.
+PRIME = (1 << 31) - 1
+COEFFICIENTS = (1_640_531_527, 69_069, 1_812_433_253 % PRIME, 1_103_515_245)
+#: The distribution function of Poisson(1), in the prime's units.
+POISSON = tuple(int(p * PRIME) for p in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941))
+_ROWS = 256  # rows whose weights are drawn at a time
+
+
+def poisson_weights(ids: np.ndarray, rounds: int) -> np.ndarray:
+    """How often each row (id) is drawn in each round, rows by rounds: the same for a row wherever it is."""
+    x = (ids.astype(np.int64)[:, None] % PRIME * 7_919 + np.arange(1, rounds + 1)[None, :] * 104_729) % PRIME
+    u = np.full_like(x, COEFFICIENTS[0])
+    for c in COEFFICIENTS[1:]:
+        u = (u * x + c) % PRIME
+    return np.searchsorted(np.array(POISSON), u, "right")
+
+
+def bootstrap_interval(rows: DataFrame, errors: str, units: str, rounds: int = 1_000, id_col: str = "id") -> DataFrame:
+    """Rate in percent, and its 95 % interval by Poisson resampling: (rate, low, high); each row draws a weight of its own in each round.
 
-    One aggregate with map-side combine: rounds sums a task, whatever the number of rows.
+    A task adds up all rounds in one pair of arrays and gives one row; those meet in one task, which adds array to array. Null errors and units count
+    as 0, ids are whole numbers. Without rows there is no row.
     """
-    u = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.col("round"), F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
-    steps = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)  # the distribution function of Poisson(1)
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + F.when(u >= s, 1).otherwise(0)
-    drawn = rows.select("id", errors, units, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("_w", weight)
-    rates = drawn.groupBy("round").agg((F.sum(F.col(errors) * F.col("_w")) * 100.0 / F.greatest(F.sum(F.col(units) * F.col("_w")), F.lit(1))).alias("rate"))
-    return rates.agg(F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975))).alias("interval"))
+    ship_package(rows.sparkSession)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, rounds + 1), np.int64)
+        seen = False
+        for batch in batches:
+            ids, *values = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            seen |= len(ids) > 0
+            for low in range(0, len(ids), _ROWS):
+                weights = np.pad(poisson_weights(ids[low : low + _ROWS], rounds), ((0, 0), (1, 0)), constant_values=1)  # round 0 has every row once
+                total += np.stack([v[low : low + _ROWS] for v in values]) @ weights
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.int64())) for x in total], ["errors", "units"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total = np.array(pair) if total is None else total + np.array(pair)
+        if total is not None:
+            rate = total[0] * 100.0 / np.maximum(total[1], 1)
+            low, high = np.quantile(rate[1:], [0.025, 0.975])
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in (rate[0], low, high)], ["rate", "low", "high"])
+
+    kept = rows.select(F.col(id_col).cast("long"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"_{k}") for k, c in enumerate((errors, units))])
+    parts = kept.mapInArrow(sums, "errors array<long>, units array<long>")
+    return parts.repartition(1).mapInArrow(merged, "rate double, low double, high double")
 
 
 def multiset_overlap(expected: DataFrame, actual: DataFrame, key_cols: list[str], value_col: str) -> DataFrame:

@@ -19,8 +19,10 @@ def test_words(spark):
 
 def test_bootstrap(spark):
     rows = spark.range(400).select("id", (F.col("id") % 4 == 0).cast("int").alias("e"), F.lit(1).alias("u"))
-    low, high = twin.bootstrap_interval(rows, "e", "u", 200).first()["interval"]
-    assert 18 < low < 25 < high < 32
+    rate, low, high = twin.bootstrap_interval(rows, "e", "u", 200).first()
+    assert rate == 25 and 18 < low < 25 < high < 32
+    assert twin.bootstrap_interval(rows.repartition(7), "e", "u", 200).first() == (rate, low, high)
+    assert twin.bootstrap_interval(rows.limit(0), "e", "u", 200).collect() == []
 
 
 def test_recognised(spark):
