@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
 
-Cases: a null text or one without a letter goes in the first stage. Documents are told apart by id and text together, so null and repeated ids
+Cases: a null text or one without a letter goes in the first stage; one of fewer than langid.REJECT_FROM letters and gaps stays there, as its
+phrases say nothing. Documents are told apart by id and text together, so null and repeated ids
 take nothing else with them; of repeated rows one stays. An empty table gives an empty result.
 """
 
@@ -23,7 +24,7 @@ BUDGET = 0.8
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the corpus; those without a letter, or of noise, go."""
     key = row_key(docs, "doc_id", "text")
-    found = langid.identify(docs.withColumn("_row", key), langid.learn(docs), id_col="_row")
+    found = langid.identify(docs.select(key.alias("_row"), "text"), langid.learn(docs), id_col="_row")
     gone = found.filter(~langid.accepted(F.col("lang_pred"), F.col("phrase_rate"), F.col("letters"))).select("_row")
     return without_rows(docs, materialize(gone, "rejected"), key)
 

@@ -139,8 +139,13 @@ def bitmap(keys: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
     )
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with all its columns in one, _all, and columns beside it: no name of df can clash with them. select("_all.*") unpacks it."""
+    return df.select(F.struct("*").alias("_all"), *[c.alias(name) for name, c in columns.items()])
+
+
 def flag(df: DataFrame, bits: DataFrame, key: Column, words: int = 1 << 18) -> DataFrame:
-    """df with a boolean column _hit: whether the bitmap has the bit of key."""
+    """df, whose columns are the caller's own or packed, with a boolean column _hit: whether the bitmap has the bit of key."""
     marked = df.withColumn("_key", key).withColumn("_word", _word(F.col("_key"), words))
     return marked.join(F.broadcast(bits), "_word", "left").withColumn(
         "_hit", F.coalesce(F.expr("getbit(_bits, cast(_key & 63 as int)) = 1"), F.lit(False))
@@ -160,12 +165,12 @@ def without_rows(docs: DataFrame, gone: DataFrame, key: Column, once: DataFrame
     keys = gone if once is None else gone.union(once)
     keys = keys.select("_row", F.xxhash64("_row").alias("_h"))
     words = bitmap_words(keys.count())
-    flagged = flag(docs.withColumn("_row", key), bitmap(keys, "_h", words), F.xxhash64("_row"), words)
-    passed = flagged.filter(~F.col("_hit")).select(docs.columns)
-    looked_at = flagged.filter("_hit").drop("_hit").join(gone, "_row", "left_anti")
+    flagged = flag(packed(docs, _row=key), bitmap(keys, "_h", words), F.xxhash64("_row"), words)
+    passed = flagged.filter(~F.col("_hit")).select("_all.*")
+    looked_at = flagged.filter("_hit").select("_all", "_row").join(gone, "_row", "left_anti")
     if once is not None:
         looked_at = looked_at.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).filter("_n = 1")
-    return passed.unionByName(looked_at.select(docs.columns))
+    return passed.unionByName(looked_at.select("_all.*"))
 
 
 def sample_by_hash(rows: DataFrame, group: str, key: str, per_group: int, counts: dict | None = None) -> list[tuple]:

@@ -6,7 +6,7 @@ as a bitmap of bounded size, so no text is shuffled to find the groups. Built-in
 Cases: a null text counts as empty, and empty texts are equal to each other. Of equal texts the row with
 the largest id stays; where that row itself is repeated, one of the repeats stays. A null id counts as
 smaller than any other. An empty table gives an empty result. Other columns are ignored by
-exact_duplicates and carried by drop_exact_duplicates.
+exact_duplicates and carried, whatever their names, by drop_exact_duplicates.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import ascii_lower, bitmap, bitmap_words, flag, materialize
+from sparkfolio.llm.common import ascii_lower, bitmap, bitmap_words, flag, materialize, packed
 
 #: Characters of the prefix that the second step hashes.
 PREFIX_CHARS = 64
@@ -78,10 +78,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows whose (length, prefix) is met once stay without a shuffle; the others meet their group's keep_id.
     """
     groups, seen, words = duplicate_groups(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    flagged = flag(docs, seen, _prefix_key(text, PREFIX_CHARS), words)
-    alone = flagged.filter(~F.col("_hit")).select(docs.columns)
-    met = flagged.filter("_hit").withColumn("_sha", _full_key(text)).join(groups, "_sha", "left")
-    first = F.row_number().over(Window.partitionBy(F.struct(id_col, "_sha")).orderBy("_sha"))
-    stay = met.filter(F.col("group_size").isNull() | F.col(id_col).eqNullSafe(F.col("keep_id"))).withColumn("_n", first)
-    return alone.unionByName(stay.filter("_n = 1").select(docs.columns))
+    rows = packed(docs, _id=F.col(id_col), _text=F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    flagged = flag(rows, seen, _prefix_key(F.col("_text"), PREFIX_CHARS), words)
+    alone = flagged.filter(~F.col("_hit")).select("_all.*")
+    met = flagged.filter("_hit").select("_all", "_id", _full_key(F.col("_text")).alias("_sha")).join(groups, "_sha", "left")
+    first = F.row_number().over(Window.partitionBy(F.struct("_id", "_sha")).orderBy("_sha"))
+    stay = met.filter(F.col("group_size").isNull() | F.col("_id").eqNullSafe(F.col("keep_id"))).withColumn("_n", first)
+    return alone.unionByName(stay.filter("_n = 1").select("_all.*"))

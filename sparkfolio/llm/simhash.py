@@ -18,7 +18,7 @@ Cases: a null or wordless text has fingerprint zero and links like any other; a
 shingle. Repeated rows fall together. A null id names no component, unless its members have no other; its row has the component of its
 fingerprint. drop_near_duplicates keeps one row of each component: that of the least id, a null id being less than any other; of rows with
 one id and different texts, that of the least text hash; of repeated rows, one. An empty table gives an empty result.
-Other columns are ignored by near_duplicates and carried by drop_near_duplicates.
+Other columns are ignored by near_duplicates and carried, whatever their names, by drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -223,10 +223,15 @@ def links(nodes: DataFrame, layout: list[tuple[list[int], int]]) -> DataFrame:
     # the probes hold each fingerprint's own key as well, so a key's clusters are those of its probes
     met = probe.groupBy("_part", "_key").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).filter("_low <> _high").select("_part", "_key")
     met = materialize(met, "met")
-    i, p = (x.join(met, ["_part", "_key"], "left_semi").alias(name) for x, name in ((index, "i"), (probe, "p")))
+    # written, so that the join shuffles both sides anew and can split a key where many clusters meet
+    kept = [materialize(x.join(met, ["_part", "_key"], "left_semi"), "sides") for x in (index, probe)]
+    i, p = (x.alias(name) for x, name in zip(kept, "ip", strict=True))
     on = (F.col("i._part") == F.col("p._part")) & (F.col("i._key") == F.col("p._key")) & (F.col("i._node") != F.col("p._node")) & _near("i._fp", "p._fp")
     pair = F.least("i._node", "p._node").alias("a"), F.greatest("i._node", "p._node").alias("b")
-    return i.join(p, on).select(*pair).distinct()
+    found = materialize(i.join(p, on).select(*pair).distinct(), "links")
+    for done in (met, *kept):
+        release(done)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component, with all its columns."""
     key = row_key(docs, id_col, text_col)
-    prints = materialize(fingerprints(docs.withColumn("_row", key), "_row", text_col), "fingerprints")
+    prints = materialize(fingerprints(docs.select(key.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text"), "fingerprints")
     found = materialize(_named(prints), "components")
     gone = found.filter(F.col("_id") != F.col("component_id")).select(F.col("_id").alias("_row"))
     once = found.filter(F.col("_id") == F.col("component_id")).groupBy(F.col("_id").alias("_row")).count().filter("count > 1").select("_row")

@@ -64,7 +64,6 @@ CHUNK = 1 << 20
 BATCH_BYTES = 1 << 20
 THRESHOLD = 0.3
 
-_edge = re.compile(r"^[\W_]+|[\W_]+$")
 _spelled = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]*\s+){2,}[^\W\d_](?!\w)")
 _blank = re.compile(r"\s+")
 _word = re.compile(r"\S+")
@@ -73,6 +72,16 @@ ENDERS = ".!?\u2026\u3002\uff01\uff1f"
 BREAKS = "\n\r\x0b\x0c\x85\u2028\u2029"
 
 
+def bare(window: str) -> str:
+    """A window without the marks around it: all that is no letter or digit, seen from both ends."""
+    start, stop = 0, len(window)
+    while start < stop and not window[start].isalnum():
+        start += 1
+    while stop > start and not window[stop - 1].isalnum():
+        stop -= 1
+    return window[start:stop]
+
+
 def _extras(low: str, long_words: list[str]) -> list[str]:
     """Letters spelled out one by one, joined; and the windows of long words."""
     found = [_blank.sub("", m) for m in _spelled.findall(low)]
@@ -83,14 +92,14 @@ def _extras(low: str, long_words: list[str]) -> list[str]:
 
 
 def windows(text: str) -> list[str]:
-    """The windows of all sentences of a text, in lower case."""
+    """The windows of all sentences of a text, in lower case. Two words make a window if the white space between fits the kernel's span."""
     low = text.lower()
     words = [(m.start(), m.end()) for m in _word.finditer(low)]
     short = [b - a <= WINDOW for a, b in words]
     out = [low[a:b] for (a, b), ok in zip(words, short, strict=True) if ok]
     for k in range(len(words) - 1):
         (a, b), (c, d) = words[k], words[k + 1]
-        if short[k] and short[k + 1] and low[b - 1] not in ENDERS and not any(x in BREAKS for x in low[b:c]):
+        if short[k] and short[k + 1] and c - b < SPAN and low[b - 1] not in ENDERS and not any(x in BREAKS for x in low[b:c]):
             out.append(low[a:d])
     return out + _extras(low, [low[a:b] for (a, b), ok in zip(words, short, strict=True) if not ok])
 
@@ -336,7 +345,7 @@ def _document_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for start, texts in text_slices(batch, 1, BATCH_BYTES):
             owners, found = [], []
             for k, text in enumerate(texts):
-                own = {_edge.sub("", w) for w in windows(text or "")} - {""}
+                own = {bare(w) for w in windows(text or "")} - {""}
                 own |= {w[:n] for w in own if w.isalpha() for n in range(STEM, len(w))}
                 owners += [start + k] * len(own)
                 found += own
@@ -391,9 +400,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for _ in range(ROUNDS if witnesses else 0):
         found = _scored(rows, state).join(lessons.select(F.col("_n").alias("_id"), "_label"), "_id")
         found = found.filter("window <> '' AND ((_label = 0 AND margin > -1) OR (_label = 1 AND margin > 0 AND margin < 1))").select("_label", "window").distinct().collect()
-        bare = [(r["_label"], _edge.sub("", r["window"])) for r in found]
-        hard = sorted({w for label, w in bare if label == 0} - set(mined) - set(witnesses))
-        toxic = sorted({w for label, w in bare if label == 1} - set(witnesses) - set(mined) - set(hard) - set(negatives))
+        told = [(r["_label"], bare(r["window"])) for r in found]
+        hard = sorted({w for label, w in told if label == 0} - set(mined) - set(witnesses))
+        toxic = sorted({w for label, w in told if label == 1} - set(witnesses) - set(mined) - set(hard) - set(negatives))
         if not hard and not toxic:
             break
         mined, witnesses = mined + hard, witnesses + toxic

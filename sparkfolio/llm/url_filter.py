@@ -4,7 +4,7 @@ that is open at their fetch time.
 Entries: list_name, kind ('block' or 'allow'), pattern, action ('add' or 'remove'), effective (timestamp).
 A pattern 'd:example.com' matches that host and all its subdomains; 'u:host/path?query' matches one URL without
 scheme and fragment. Of the patterns that are active, the longest decides; a block beats an allow of equal
-length. An entry holds from its effective time on, up to the next entry of the same list and pattern; at equal
+length. An entry holds from its effective time on, up to the next entry of the same list, kind and pattern; at equal
 times a removal beats an addition. Built-in functions only.
 
 The join is an equality on the pattern with a time condition, at most one interval a capture, list and

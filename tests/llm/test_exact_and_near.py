@@ -207,3 +207,29 @@ def test_sample_by_hash(spark):
     found = common.sample_by_hash(rows, "g", "k", 200)
     assert len(found) == 400 and found == common.sample_by_hash(rows.repartition(7), "g", "k", 200)
     assert len(common.sample_by_hash(rows, "g", "k", 100_000)) == 5000
+
+
+CLASHES = "_key long, _word int, _bits long, _hit int, _row string, _sha string, _id int, _text string, _all string, _n int, _h string, keep_id string, group_size string, kept int, _node string, _fp string, _part string, component_id int"
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates])
+def test_columns_of_any_name_are_carried(spark, drop):
+    docs = [(0, "a b c d e"), (1, "a b c d e"), (2, "another text of some words"), (3, None), (3, None), (None, "no id")]
+    rows = [(i, t, 7, 8, 9, 1, "r", "s", 4, "t", "u", 5, "h", "k", "g", 0, "n", "f", "p", 6) for i, t in docs]
+    out = drop(spark.createDataFrame(rows, f"doc_id long, text string, {CLASHES}"))
+    assert out.dtypes == spark.createDataFrame([], f"doc_id long, text string, {CLASHES}").dtypes
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    stays = [(1 if drop is exact_dedup.drop_exact_duplicates else 0, "a b c d e"), (2, "another text of some words"), (3, None), (None, "no id")]
+    assert got == sorted(((*d, *rows[0][2:]) for d in stays), key=repr)
+
+
+def test_a_key_where_many_clusters_meet_can_be_split(spark):
+    """The last join of the links reads what was written: both of its sides are shuffled for it."""
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    prints = {base ^ (1 << rng.randrange(16)) ^ (1 << rng.randrange(16, 32)) ^ (1 << rng.randrange(32, 48)) ^ (1 << rng.randrange(48, 64)) for _ in range(300)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    nodes = spark.createDataFrame([(p, p) for p in signed], "_node long, _fp long")
+    layout = [(list(range(0, 64, 2)), 2), (list(range(1, 64, 2)), 1)]
+    got = {(r["a"], r["b"]) for r in simhash.links(nodes, layout).collect()}
+    assert got == {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}

@@ -1,6 +1,7 @@
 """Language ID, quality, toxicity: brute force for the method's parts, held-out accuracy for the whole."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -244,3 +245,12 @@ def test_toxicity_cases_and_accuracy(spark):
     scored = toxicity.score_toxicity(docs, model).collect()
     assert len(scored) == 4 and all(0 <= r["score"] <= 1 for r in scored)
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_windows_of_texts_with_long_gaps_take_linear_time():
+    start = time.time()
+    text = "you" + " " * 1_000_000 + "fool" + "\t" * 500_000 + "a" + " " * 500_000 + "b _" + "_" * 500_000
+    found = {toxicity.bare(w) for w in toxicity.windows(text)}
+    assert time.time() - start < 2
+    assert {"you", "fool"} <= found and not any("you" in w and "fool" in w for w in found)
+    assert toxicity.bare("_. hé! ") == "hé" and toxicity.bare("…_ ") == "" and "you fool" in toxicity.windows("You fool")
