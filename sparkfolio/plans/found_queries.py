@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkfolio.operators import findings, located, search, twin
+from sparkfolio.operators import findings, located, search, spans, twin
 from sparkfolio.plans.registry import query, table
 from sparkfolio.sources import ignore
 
@@ -148,3 +149,34 @@ _C = twin.COEFFICIENTS
 def score_bootstrap_interval(spark, d):
     rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_count("text", F.lit("[A-Z]")).alias("e"), F.length("text").alias("u"))
     return twin.bootstrap_interval(rows, "e", "u").select(*[F.round(c, 9).alias(c) for c in ("rate", "low", "high")])
+
+
+_TOKENS = """(SELECT l_orderkey // 4 AS doc, row_number() OVER (PARTITION BY l_orderkey // 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, CASE l_partkey % 9 WHEN 0 THEN 'open' WHEN 1 THEN 'open' WHEN 2 THEN 'close' WHEN 3 THEN 'close' WHEN 4 THEN 'comment' WHEN 5 THEN 'raw' ELSE 'text' END AS kind,
+    CASE l_suppkey % 3 WHEN 0 THEN 'insertion' WHEN 1 THEN 'deletion' ELSE 'highlight' END AS mark, CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS "by", l_returnflag || l_linenumber AS text FROM lineitem)"""
+
+
+@query(f"""WITH t AS {_TOKENS},
+    m AS (SELECT t.*, k.m AS mk, CASE WHEN mark = k.m AND kind = 'open' THEN 1 WHEN mark = k.m AND kind = 'close' THEN -1 ELSE 0 END AS step FROM t, (VALUES ('insertion'), ('deletion'), ('highlight')) k(m)),
+    s AS (SELECT *, sum(step) OVER (PARTITION BY doc, mk ORDER BY pos) AS s FROM m),
+    e AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc, mk ORDER BY pos)) AS open_ FROM s),
+    o AS (SELECT *, last_value(CASE WHEN step = 1 AND open_ = 1 THEN {{'opened': pos, 'mark': mk, 'who': "by"}} END IGNORE NULLS) OVER (PARTITION BY doc, mk ORDER BY pos) AS node FROM e),
+    l AS (SELECT doc, pos, kind, text, coalesce(list(node ORDER BY node.opened) FILTER (open_ > 0), []) AS path FROM o WHERE kind IN ('text', 'raw', 'comment') GROUP BY doc, pos, kind, text),
+    n AS (SELECT doc, pos, kind, path, unnest(range(1, len(path) + 1)) AS k FROM l),
+    c AS (SELECT doc, path[1:k] AS node, bool_or(kind <> 'comment') AS content, max(pos) AS ends FROM n GROUP BY doc, path[1:k]),
+    x AS (SELECT n.doc, n.pos, min_by({{'content': content, 'ends': ends, 'keep': n.k - 1}}, n.k) AS o FROM n JOIN c ON n.doc = c.doc AND n.path[1:n.k] = c.node WHERE kind = 'comment' AND (NOT content OR n.path[n.k].mark = 'highlight') GROUP BY n.doc, n.pos),
+    r AS (SELECT l.doc, l.kind, l.text, l.pos, CASE WHEN o IS NULL THEN path ELSE path[1:o.keep] END AS path, CASE WHEN o.content THEN o.ends ELSE l.pos END AS a, CASE WHEN o.content THEN 1 ELSE 0 END AS b FROM l LEFT JOIN x ON l.doc = x.doc AND l.pos = x.pos),
+    p AS (SELECT doc, kind, text, a, b, pos, array_to_string(list_transform(path, lambda q: q.mark || ':' || coalesce(q.who, '')), '>') AS path FROM r),
+    f AS (SELECT *, CASE WHEN kind = 'text' AND lag(kind) OVER w = 'text' AND path = lag(path) OVER w THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY doc ORDER BY a, b, pos)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY a, b, pos) AS run FROM f)
+    SELECT doc, CAST(run AS BIGINT) AS run, any_value(path) AS path, any_value(kind) AS kind, string_agg(text, '' ORDER BY a, b, pos) AS text FROM g GROUP BY doc, run""")
+def rd_span_runs(spark, d):
+    k = F.col("l_partkey") % 9
+    kind = F.when(k < 2, "open").when(k < 4, "close").when(k == 4, "comment").when(k == 5, "raw").otherwise("text")
+    mark = F.when(F.col("l_suppkey") % 3 == 0, "insertion").when(F.col("l_suppkey") % 3 == 1, "deletion").otherwise("highlight")
+    order = Window.partitionBy(F.expr("l_orderkey div 4")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    tokens = table(spark, d, "lineitem").select(
+        F.expr("l_orderkey div 4").alias("doc"), F.row_number().over(order).alias("pos"), kind.alias("kind"), mark.alias("mark"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).alias("by"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"), F.lit(None).cast("string").alias("format"),
+    )
+    path = F.array_join(F.transform("path", lambda p: F.concat(p["mark"], F.lit(":"), F.coalesce(p["by"], F.lit("")))), ">")
+    return spans.span_runs(tokens, ["doc"]).select("doc", "run", path.alias("path"), "kind", "text")
