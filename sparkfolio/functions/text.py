@@ -23,9 +23,17 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"[{WS}]+", " "), "^ | $", "")
 
 
+TERM = f"[{CJK}]|[{ALNUM}&&[^{CJK}]]+"
+
+
 def terms(text: Column) -> Column:
     """Lower-cased alphanumeric runs; each CJK character is a term of its own."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"[{CJK}]|[{ALNUM}&&[^{CJK}]]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
+def term_count(text: Column) -> Column:
+    """How many terms a text has."""
+    return F.regexp_count(F.lower(text), F.lit(TERM))
 
 
 def term_set(text: Column) -> Column:

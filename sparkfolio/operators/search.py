@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.functions.text import ALNUM, collapse, terms
+from sparkfolio.functions.text import ALNUM, collapse, term_count, terms
+from sparkfolio.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -25,16 +28,18 @@ def _is(word: str):
 def bm25(units: DataFrame, query: str, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Units with a positive BM25 score: id columns, score.
 
-    Term counts are taken inside each row, for the query's terms only: one narrow row a unit. The corpus statistics are one
-    row, from one aggregate with map-side combine, and are joined as that one row.
+    One pass over the texts writes a narrow row a unit, its length and the counts of the query's terms; statistics and scores come from those. Only
+    texts that hold a term as a string are cut into terms, the others are merely counted.
     """
     wanted = query_terms(query)
     if not wanted:
         return units.select(*id_cols, F.lit(0.0).alias("score")).limit(0)
-    found = terms(F.col(text_col))
-    counted = units.select(*id_cols, found.alias("_t")).select(
-        *id_cols, F.size("_t").alias("_len"), *[F.size(F.filter("_t", _is(w))).alias(f"_tf{k}") for k, w in enumerate(wanted)]
-    )
+    low = F.lower(F.col(text_col))
+    holds = reduce(lambda x, y: x | y, [low.contains(w) for w in wanted])
+    cut = units.select(*id_cols, F.when(holds, terms(F.col(text_col))).alias("_t"), F.when(~holds, term_count(F.col(text_col))).alias("_none"))
+    hits = cut.select(*id_cols, F.when(F.col("_t").isNotNull(), F.size("_t")).otherwise(F.col("_none")).alias("_len"), F.filter("_t", lambda t: t.isin(*wanted)).alias("_hits"))
+    counts = [F.coalesce(F.size(F.filter("_hits", _is(w))), F.lit(0)).alias(f"_tf{k}") for k, w in enumerate(wanted)]
+    counted = cut_lineage(hits.select(*id_cols, "_len", *counts))
     stats = counted.agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.avg(F.col("_len").cast("double")).alias("_avg"), *[F.count_if(F.col(f"_tf{k}") > 0).cast("double").alias(f"_df{k}") for k in range(len(wanted))]
     ).first()

@@ -39,9 +39,9 @@ def fn_utf16_length(spark, d):
     return table(spark, d, "documents").select("doc_id", X.utf16_length(T()).alias("utf16"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_discount / l_tax, 2) AS ratio FROM lineitem WHERE l_tax > 0")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN round(l_discount / l_tax, 2) END AS ratio FROM lineitem")
 def fn_round_ratio(spark, d):
-    return table(spark, d, "lineitem").filter("l_tax > 0").select("l_orderkey", "l_linenumber", X.round_ratio(F.col("l_discount") / F.col("l_tax")).alias("ratio"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.round_ratio(F.try_divide("l_discount", "l_tax")).alias("ratio"))
 
 
 @query("SELECT event_id, round(value, 4) + 0.0 AS coordinate FROM events")
