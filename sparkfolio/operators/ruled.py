@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkfolio.operators.borderless import anchored
 from sparkfolio.operators.graph import connected_components
 from sparkfolio.operators.layout import cluster_positions
 from sparkfolio.session import cut_lineage
@@ -33,22 +34,16 @@ def _square(x: Column, side: float) -> Column:
 def merged_rules(rules: DataFrame, keys: list[str]) -> DataFrame:
     """Rules of one orientation at about one position become one line where they overlap or nearly touch: (keys, horizontal, at, start, stop).
 
-    A line takes positions up to SNAP / 2 beyond its first one. Positions further apart than that never share a line, so the sorted positions
-    fall into islands, and only inside an island the first positions are followed up one by one.
+    A line takes positions up to SNAP / 2 beyond its first one, and along them pieces that leave no gap of more than SNAP.
     """
     turned = rules.select(*keys, "horizontal", F.col("at").cast("double"), F.least("start", "stop").cast("double").alias("start"), F.greatest("start", "stop").cast("double").alias("stop"))
     turned = turned.dropna(subset=["horizontal", "at", "start", "stop"])
     side = [*keys, "horizontal"]
-    order = Window.partitionBy(*side).orderBy("at")
-    positions = turned.select(*side, "at").distinct().withColumn("_new", (F.col("at") - F.lag("at").over(order) > SNAP / 2).cast("int"))
-    islands = positions.withColumn("_island", F.sum(F.coalesce("_new", F.lit(0))).over(order)).groupBy(*side, "_island").agg(F.array_sort(F.collect_list("at")).alias("_ats"))
-    firsts = F.aggregate("_ats", F.array().cast("array<double>"), lambda acc, x: F.when(x - F.try_element_at(acc, F.lit(-1)) <= SNAP / 2, acc).otherwise(F.concat(acc, F.array(x))))
-    anchored = islands.select(*side, firsts.alias("_firsts"), F.explode("_ats").alias("at"))
-    anchored = anchored.select(*side, "at", F.array_max(F.filter("_firsts", lambda a: a <= F.col("at"))).alias("_anchor"))
+    places = anchored(turned, side, "at", SNAP / 2).withColumnRenamed("anchor", "_anchor")
     line = Window.partitionBy(*side, "_anchor")
     along = line.orderBy("start", "stop")
     reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    runs = turned.join(anchored, [*side, "at"]).withColumn("_new", (F.col("start") > reach + SNAP).cast("int"))
+    runs = turned.join(places, [*side, "at"]).withColumn("_new", (F.col("start") > reach + SNAP).cast("int"))
     runs = runs.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(along)).groupBy(*side, "_anchor", "_run")
     out = runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("at").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     out = out.withColumn("at", F.sum("_sum").over(line) / F.sum("_n").over(line)).filter(F.col("stop") - F.col("start") >= 2 * SNAP)

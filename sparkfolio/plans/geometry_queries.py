@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkfolio.operators import ruled
+from sparkfolio.operators import borderless, regions, ruled
 from sparkfolio.plans.registry import query, table
 
 #: A page for four orders each; odd line numbers are horizontal rules, even ones vertical.
@@ -76,3 +76,46 @@ def join_points_in_boxes(spark, d):
         (F.col("y") - 30).alias("bottom"), (F.col("y") + F.col("l_tax") * 500 + 5).alias("top"),
     )
     return ruled.points_in_boxes(points, boxes, ["page"]).select("l_orderkey", "l_linenumber", "box_order", "box_line")
+
+
+_WORDS = """(SELECT l_orderkey // 6 AS page, l_returnflag AS text, l_linenumber % 4 * 100 + l_partkey % 3 * 8.0 AS x0, floor(l_quantity / 6) * 12 + l_suppkey % 3 * 1.5 AS y0, l_linenumber % 4 * 100 + l_partkey % 3 * 8.0 + 20 + l_discount * 1000 AS x1 FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE i AS {_WORDS},
+    a AS (SELECT page, max(y0) AS y FROM i GROUP BY page UNION ALL SELECT a.page, max(i.y0) FROM a JOIN i ON i.page = a.page AND i.y0 < a.y - 5 GROUP BY a.page, a.y),
+    p AS (SELECT i.*, (SELECT min(y) FROM a WHERE a.page = i.page AND a.y >= i.y0) AS y FROM i),
+    r AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY page, y) >= 2),
+    s AS (SELECT page, list(x ORDER BY x) AS s FROM (SELECT page, x, lag(x) OVER (PARTITION BY page ORDER BY x) AS before FROM (SELECT DISTINCT page, x0 AS x FROM r)) WHERE before IS NULL OR x - before >= 15 GROUP BY page HAVING count(*) >= 2),
+    l AS (SELECT page, y, count(*) FILTER (len(list_filter(s, lambda b: abs(x0 - b) < 15)) > 0) >= any_value(len(s)) - 1 AS aligned FROM r JOIN s USING (page) GROUP BY page, y),
+    u AS (SELECT *, sum(CASE WHEN aligned THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY y DESC) AS run FROM l),
+    v AS (SELECT * FROM u WHERE aligned QUALIFY count(*) OVER (PARTITION BY page, run) >= 2),
+    t AS (SELECT page, y, dense_rank() OVER (PARTITION BY page ORDER BY run) - 1 AS table_index FROM v),
+    c AS (SELECT page, table_index, y, greatest(0, len(list_filter(s, lambda b: b - 7.5 <= x0)) - 1) AS col, max(x1) AS x1, any_value(s) AS s FROM r JOIN s USING (page) JOIN t USING (page, y) GROUP BY ALL),
+    w AS (SELECT page, table_index, y, count(*) AS filled, count(*) FILTER (col + 1 < len(s) AND x1 >= s[col + 2] - 7.5) AS merged, any_value(len(s)) AS cols FROM c GROUP BY ALL),
+    d AS (SELECT *, abs(y - lag(y) OVER (PARTITION BY page, table_index ORDER BY y DESC)) AS step FROM w),
+    f AS (SELECT page, table_index, count(*) AS n, any_value(cols) AS cols, sum(filled) / any_value(cols) AS shares, sum(filled) AS full_, sum(merged) AS merged,
+        CASE WHEN avg(step) > 0 THEN greatest(0, 1 - stddev_pop(step) / avg(step)) ELSE 0 END AS even FROM d GROUP BY ALL),
+    g AS (SELECT *, least(1, (shares + even) / (n + 1)) AS sure, floor((full_ / (n * cols)) * 100 + 0.5) / 100 AS non_empty, floor((shares / n) * 100 + 0.5) / 100 AS alignment, CASE WHEN n < 3 THEN 1.0 ELSE floor((even) * 100 + 0.5) / 100 END AS spacing, n * cols - full_ AS missing FROM f)
+    SELECT page, CAST(table_index AS INT) AS table_index, n AS row_count, CAST(cols AS INT) AS col_count, floor((sure) * 100 + 0.5) / 100 AS confidence, floor((non_empty * alignment) * 100 + 0.5) / 100 AS completeness, non_empty, alignment, spacing, CAST(missing AS BIGINT) AS missing, CAST(merged AS BIGINT) AS merged,
+        array_to_string(list_filter([CASE WHEN missing = 0 THEN 'complete_grid' ELSE 'missing_cells' END, CASE WHEN merged > 0 THEN 'merged_cell_candidates' END, CASE WHEN missing > 0 THEN 'incomplete_cell_geometry' END,
+            CASE WHEN spacing < 0.75 THEN 'irregular_row_spacing' END, CASE WHEN floor((sure) * 100 + 0.5) / 100 < 0.65 THEN 'low_confidence' END], lambda x: x IS NOT NULL), ',') AS signals FROM g WHERE sure >= 0.3""")
+def win_borderless_tables(spark, d):
+    x = F.col("l_linenumber") % 4 * 100 + F.col("l_partkey") % 3 * 8.0
+    y = F.floor(F.col("l_quantity") / 6) * 12 + F.col("l_suppkey") % 3 * 1.5
+    items = table(spark, d, "lineitem").select(
+        F.expr("l_orderkey div 6").alias("page"), F.col("l_returnflag").alias("text"), x.alias("left"), y.alias("bottom"), (x + 20 + F.col("l_discount") * 1000).alias("right"), (y + 10).alias("top")
+    )
+    return borderless.borderless_tables(items, ["page"]).withColumn("signals", F.array_join("signals", ","))
+
+
+@query()
+def win_reading_regions(spark, d):
+    """Pages of eight orders: short lines in two columns, and every seventh line across both."""
+    wide = F.col("l_linenumber") == 7
+    x = F.when(wide, 40.0).otherwise(F.col("l_linenumber") % 2 * 260 + 40.0 + F.col("l_partkey") % 3)
+    top = 800.0 - F.col("l_suppkey") % 50 * 12 - F.col("l_orderkey") % 8 * 0.5
+    segments = table(spark, d, "lineitem").select(
+        F.expr("l_orderkey div 8").alias("page"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("string")).alias("item"), x.alias("x0"),
+        (x + F.when(wide, 480.0).otherwise(200.0 + F.col("l_tax") * 200)).alias("x1"), top.alias("top"), (top - 9.5).alias("bottom"), (F.col("l_quantity") + 15).cast("int").alias("chars"), F.lit(10.0).alias("body"),
+    )
+    return regions.reading_regions(segments, ["page"])

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfolio.operators import graph, regions, ruled
+from sparkfolio.operators import borderless, graph, regions, ruled
 
 
 def components(pairs):
@@ -270,3 +270,17 @@ def test_reading_regions_against_recursion(spark, seed):
     for p, items in pages.items():
         want = {s[0]: k + 1 for k, region in enumerate(r for r in split(items, 10.0) if r) for s in region}
         assert found[p] == want, p
+
+
+def test_a_table_without_lines(spark):
+    words = [("Name", 10, 100), ("Qty", 100, 100), ("Price", 200, 100), ("Apple", 10, 80), ("2", 100, 80), ("1.50", 200, 80), ("Pear", 10, 60), ("green", 40, 62), ("2.00", 200, 60), ("alone", 10, 20)]
+    rows = [(1, t, float(x), float(y), x + 30.0 if t != "Apple" else 95.0, y + 10.0) for t, x, y in words] + [(1, " ", 5.0, 5.0, 9.0, 9.0), (1, "no place", None, 5.0, 9.0, 9.0), (2, "a", 1.0, 1.0, 2.0, 2.0), (1, "nan", float("nan"), 1.0, 2.0, 2.0)]
+    frame = spark.createDataFrame(rows, "page int, text string, left double, bottom double, right double, top double")
+    cells = borderless.table_cells(borderless.table_items(frame, ["page"]), ["page"]).collect()
+    assert {(r["row"], r["col"]): (r["text"], r["col_span"]) for r in cells} == {
+        (0, 0): ("Name", 1), (0, 2): ("Qty", 1), (0, 3): ("Price", 1), (1, 0): ("Apple", 3), (1, 2): ("2", 1), (1, 3): ("1.50", 1), (2, 0): ("Pear", 1), (2, 1): ("green", 1), (2, 3): ("2.00", 1),
+    }
+    table = borderless.borderless_tables(frame, ["page"]).first()
+    assert (table["row_count"], table["col_count"], table["missing"], table["merged"], table["spacing"]) == (3, 4, 3, 1, 1.0)
+    assert table["confidence"] == 0.81 and table["signals"] == ["missing_cells", "merged_cell_candidates", "incomplete_cell_geometry"]
+    assert borderless.borderless_tables(frame.limit(0), ["page"]).collect() == []
