@@ -6,9 +6,9 @@ value over all blocks, with the compression ratio itself, are calibrated into a
 labelled documents that the dictionaries were not built from.
 
 Bounds: at most PER_CLASS labelled rows of each label, chosen by a hash of the id. Of them, every other one calibrates, whole; of the rest,
-DICTIONARY_DOCS of at most LEARN_CHARS characters train that label's dictionary of DICTIONARY_BYTES, whole (if there is none so short, all of them
-do). Every text is scored whole. Each dictionary is trained by zstandard in one task on those rows; where they are too few or too alike for
-its trainer, their text itself is the dictionary.
+DICTIONARY_DOCS train that label's dictionary of DICTIONARY_BYTES, whatever their length: they are cut into the same blocks where they lie, and
+LEARN_BLOCKS blocks (4 MB) go to the one task that trains it: one of each text, by hash, then a second of each, and so on. Every text is scored whole. Where blocks are too few or too alike for
+zstandard's trainer, they are the dictionary themselves.
 
 Cases: a null text is an empty one and gets the score of features zero. Where several rows have one labelled id, each is learned from.
 Without labels of both kinds every score is 0.5. Repeated rows get equal scores. Other columns are ignored.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.llm.common import held, text_slices
@@ -33,7 +33,7 @@ PER_CLASS = 3_000
 #: Every other one of those calibrates; of the rest, so many build the dictionaries.
 DICTIONARY_DOCS = 1_200
 DICTIONARY_BYTES = 112_640
-LEARN_CHARS = 20_000
+LEARN_BLOCKS = 8_192
 LEVEL = 3
 BLOCK = 512
 BATCH_BYTES = 4 << 20
@@ -77,12 +77,20 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:] or b"\0" * 8
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_label, _n, _at, _block): the texts (_label, _n, _text) in blocks."""
+    for batch in batches:
+        for start, texts in text_slices(batch, 2, BATCH_BYTES):
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+            rows = [(start + k, i, raw[i : i + BLOCK]) for k, raw in enumerate(raws) for i in range(0, len(raw), BLOCK)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            own = [batch.column(k).take(at) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["_label", "_n", "_at", "_block"])
+
+
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One label's dictionary; its rows are at most DICTIONARY_DOCS."""
-    texts = pdf.sort_values(["_n", "_text"])["_text"]
-    short = texts[texts.str.len() <= LEARN_CHARS]
-    raws = [t.encode("utf-8", "surrogatepass") for t in (short if len(short) else texts) if t]
-    samples = [raw[i : i + BLOCK] for raw in raws for i in range(0, len(raw), BLOCK)]
+    """One label's dictionary; its rows are at most LEARN_BLOCKS."""
+    samples = pdf.sort_values("_rank")["_block"].tolist()
     return pd.DataFrame({"_label": [int(pdf["_label"].iloc[0])], "dictionary": [_dictionary(samples)]})
 
 
@@ -112,7 +120,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = labelled_texts(docs, ids, id_col, text_col)
     ship_package(docs.sparkSession)
     first = texts.filter((F.col("_n") % 2 == 1) & (F.col("_n") < 2 * DICTIONARY_DOCS)).select("_label", "_n", "_text")
-    trained = {r["_label"]: bytes(r["dictionary"]) for r in first.groupBy("_label").applyInPandas(_train, "_label int, dictionary binary").collect()}
+    kinds = [first.schema[c].dataType.simpleString() for c in ("_label", "_n")]
+    blocks = first.mapInArrow(_cut, f"_label {kinds[0]}, _n {kinds[1]}, _at long, _block binary")
+    drawn = (F.xxhash64("_n", "_at"), "_at", "_block")
+    turn = blocks.withColumn("_turn", F.row_number().over(Window.partitionBy("_label", "_n").orderBy(*drawn))).filter(F.col("_turn") <= LEARN_BLOCKS)
+    ranked = turn.withColumn("_rank", F.row_number().over(Window.partitionBy("_label").orderBy("_turn", *drawn, "_n")))
+    chosen = ranked.filter(F.col("_rank") <= LEARN_BLOCKS).select("_label", "_rank", "_block")
+    trained = {r["_label"]: bytes(r["dictionary"]) for r in chosen.groupBy("_label").applyInPandas(_train, "_label int, dictionary binary").collect()}
     dictionaries = tuple(trained.get(label, b"\0" * 8) for label in (1, 0))
     rest = texts.filter("_n % 2 = 0")  # none that a dictionary was built from
     pdf = _featured(rest, dictionaries).join(F.broadcast(ids), "_id").toPandas()
