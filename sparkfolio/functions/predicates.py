@@ -70,4 +70,5 @@ def size_heading(size: Column, body: Column, text: Column) -> Column:
 
 
 def generated_field_name(name: Column) -> Column:
-    return F.lower(F.trim(name)).rlike(r"^(?:text|field|check ?box|radio|button|combo|list|untitled|undefined)[ _-]*\d*$")
+    """Names that a form editor gave: 'unnamed...', or 'field' and digits only."""
+    return F.lower(name).rlike("^(unnamed.*|field[0-9]+)$")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkfolio.operators import findings, located, search, spans, twin
+from sparkfolio.operators import accessible, evidence, findings, located, search, spans, twin
 from sparkfolio.plans.registry import query, table
 from sparkfolio.sources import ignore
 
@@ -180,3 +180,59 @@ def rd_span_runs(spark, d):
     )
     path = F.array_join(F.transform("path", lambda p: F.concat(p["mark"], F.lit(":"), F.coalesce(p["by"], F.lit("")))), ">")
     return spans.span_runs(tokens, ["doc"]).select("doc", "run", path.alias("path"), "kind", "text")
+
+
+_FACTS = """d AS (SELECT o_orderkey AS doc, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS marked, CASE o_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS suspects,
+        CASE o_custkey % 3 WHEN 0 THEN ['print'] WHEN 1 THEN ['print', 'copy_for_accessibility'] END AS permissions FROM orders),
+    e AS (SELECT l_orderkey AS doc, l_linenumber % 3 AS page, CASE WHEN l_partkey % 4 = 0 THEN 'image' ELSE 'text' END AS type, CASE l_suppkey % 7 WHEN 0 THEN 'H1' WHEN 1 THEN ' Figure' WHEN 2 THEN 'h7' WHEN 3 THEN 'P' END AS role,
+        CASE WHEN l_partkey % 3 = 0 THEN 'http://x/' || l_partkey END AS url, CASE WHEN l_suppkey % 2 = 0 THEN 'label' END AS contents,
+        CASE l_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Field12' WHEN 2 THEN 'unnamed box' WHEN 3 THEN 'field1a' WHEN 4 THEN NULL ELSE 'Name' END AS name, l_tax > 0.04 AS required, l_orderkey % 4 > 0 AS has_tree, l_quantity > 25 AS entry FROM lineitem),
+    n AS (SELECT * FROM e WHERE has_tree AND page < 2),
+    r AS (SELECT doc, page, count(*) FILTER (regexp_matches(lower(trim(role)), '^h[1-6]$')) AS headings, count(*) FILTER (lower(trim(role)) = 'figure') AS figures, count(*) FILTER (role IS NULL) AS contents FROM n GROUP BY doc, page),
+    s AS (SELECT doc, page, count(*) AS visible, count(*) FILTER (type = 'image') AS images FROM e GROUP BY doc, page),
+    o AS (SELECT doc, count(*) AS outline FROM e WHERE entry GROUP BY doc),
+    f AS (SELECT s.*, r.doc IS NOT NULL AS tagged, coalesce(headings, 0) AS headings, coalesce(figures, 0) AS figures, coalesce(contents, 0) AS contents, coalesce(outline, 0) AS outline FROM s LEFT JOIN r ON s.doc = r.doc AND s.page = r.page LEFT JOIN o ON s.doc = o.doc),
+    g AS (SELECT *, CASE WHEN NOT tagged THEN 0 ELSE floor(least(1, contents / visible) * 100 + 0.5) / 100 END AS coverage FROM f),
+    i AS (SELECT doc, NULL AS page, 'mark_info_missing' AS type, 'medium' AS severity FROM d WHERE marked IS NULL AND doc NOT IN (SELECT doc FROM n)
+        UNION ALL SELECT doc, NULL, 'untagged_pdf', 'high' FROM d WHERE NOT marked UNION ALL SELECT doc, NULL, 'suspect_tags', 'high' FROM d WHERE suspects
+        UNION ALL SELECT doc, NULL, 'structure_tree_missing', 'medium' FROM d WHERE doc NOT IN (SELECT doc FROM n)
+        UNION ALL SELECT doc, NULL, 'accessibility_permission', 'high' FROM d WHERE len(permissions) > 0 AND NOT list_contains(permissions, 'copy_for_accessibility')
+        UNION ALL SELECT doc, page, 'untagged_page', 'medium' FROM g WHERE NOT tagged UNION ALL SELECT doc, page, 'heading_structure', 'low' FROM g WHERE tagged AND headings = 0 AND outline > 0
+        UNION ALL SELECT doc, page, 'tagged_content_mismatch', 'medium' FROM g WHERE tagged AND coverage < 0.5 UNION ALL SELECT doc, page, 'image_alt_text', CASE WHEN tagged THEN 'medium' ELSE 'high' END FROM g WHERE images > figures
+        UNION ALL SELECT doc, page, 'form_field_label', CASE WHEN required THEN 'medium' ELSE 'low' END FROM e WHERE coalesce(name, '') = '' OR regexp_full_match(lower(name), 'unnamed.*|field[0-9]+')
+        UNION ALL SELECT doc, page, 'link_label', 'low' FROM e WHERE url IS NOT NULL AND contents IS NULL)"""
+
+
+def _accessibility(spark, d):
+    by = lambda c, n: F.col(c) % n
+    orders = table(spark, d, "orders")
+    said = lambda c, n: F.when(by(c, n) == 0, True).when(by(c, n) == 1, False)
+    rights = F.when(by("o_custkey", 3) == 0, F.array(F.lit("print"))).when(by("o_custkey", 3) == 1, F.array(F.lit("print"), F.lit("copy_for_accessibility")))
+    docs = orders.select(F.col("o_orderkey").alias("doc"), said("o_orderkey", 5).alias("marked"), said("o_custkey", 4).alias("suspects"), rights.alias("permissions"))
+    role = F.when(by("l_suppkey", 7) == 0, "H1").when(by("l_suppkey", 7) == 1, " Figure").when(by("l_suppkey", 7) == 2, "h7").when(by("l_suppkey", 7) == 3, "P")
+    k = by("l_partkey", 6)
+    name = F.when(k == 0, "").when(k == 1, "Field12").when(k == 2, "unnamed box").when(k == 3, "field1a").when(k == 5, "Name")
+    e = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), by("l_linenumber", 3).alias("page"), F.when(by("l_partkey", 4) == 0, "image").otherwise("text").alias("type"), role.alias("role"),
+        F.when(by("l_partkey", 3) == 0, F.concat(F.lit("http://x/"), F.col("l_partkey").cast("string"))).alias("url"), F.when(by("l_suppkey", 2) == 0, "label").alias("contents"), F.lit(None).cast("string").alias("title"),
+        name.alias("name"), (F.col("l_tax") > 0.04).alias("required"), (by("l_orderkey", 4) > 0).alias("has_tree"), (F.col("l_quantity") > 25).alias("entry"),
+    )
+    nodes = e.filter("has_tree AND page < 2")
+    facts = accessible.page_facts(e, e, nodes, e.filter("entry"), ["doc"])
+    return accessible.document_findings(docs, nodes, ["doc"]).unionByName(accessible.page_findings(facts, e, e, ["doc"]))
+
+
+@query(f"WITH {_FACTS} SELECT doc, CAST(page AS INT) AS page, type, severity FROM i")
+def accessibility_findings(spark, d):
+    return _accessibility(spark, d)
+
+
+@query(f"""WITH {_FACTS}, t AS (SELECT doc, type, count(*) AS n FROM i GROUP BY doc, type), c AS (SELECT doc, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM i GROUP BY doc),
+    p AS (SELECT doc, string_agg(type || ':' || n, ',' ORDER BY type) AS types FROM t GROUP BY doc)
+    SELECT doc, types, high, medium, low, CAST(greatest(0, least(100, 100 - 35 * high - 18 * medium - 8 * low)) AS INT) AS score FROM c JOIN p USING (doc)""")
+def accessibility_summary(spark, d):
+    found = _accessibility(spark, d)
+    scored = evidence.accessibility(found, ["doc"]).select("doc", "high", "medium", "low", "score")
+    types = accessible.type_counts(found, ["doc"])
+    listed = F.array_join(F.transform(F.map_entries("types"), lambda t: F.concat(t["key"], F.lit(":"), t["value"].cast("string"))), ",")
+    return scored.join(types.select("doc", listed.alias("types")), "doc")
