@@ -281,6 +281,6 @@ def test_a_table_without_lines(spark):
         (0, 0): ("Name", 2), (0, 2): ("Qty", 1), (0, 3): ("Price", 1), (1, 0): ("Apple", 3), (1, 2): ("2", 1), (1, 3): ("1.50", 1), (2, 0): ("Pear", 2), (2, 1): ("green", 1), (2, 3): ("2.00", 1),
     }
     table = borderless.borderless_tables(frame, ["page"]).first()
-    assert (table["row_count"], table["col_count"], table["missing"], table["merged"], table["spacing"]) == (3, 4, 3, 3, 1.0)
-    assert table["confidence"] == 0.81 and table["signals"] == ["missing_cells", "merged_cell_candidates", "incomplete_cell_geometry"]
+    assert (table["row_count"], table["col_count"], table["missing"], table["merged"], table["spacing"]) == (3, 4, 3, 3, 0.95)
+    assert table["confidence"] == 0.8 and table["signals"] == ["missing_cells", "merged_cell_candidates", "incomplete_cell_geometry"]
     assert borderless.borderless_tables(frame.limit(0), ["page"]).collect() == []

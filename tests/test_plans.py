@@ -6,6 +6,7 @@ from contextlib import redirect_stdout
 import pytest
 
 import __spark_entry__  # noqa: F401 - registers the queries
+from sparkfolio.operators import findings
 from sparkfolio.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -37,4 +38,5 @@ def test_no_cross_join(spark, name):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "PushedFilters: [IsNotNull(l_tax), GreaterThan(l_tax,0.0)]" in plan(QUERIES["fn_round_ratio"](spark, SF))
+    links = findings.link_signals(spark.read.parquet(f"{SF}/pages.parquet"), ["page_id"])
+    assert "PushedFilters: [IsNotNull(url)]" in plan(links) and "ReadSchema: struct<page_id:bigint,url:string>" in plan(links)
