@@ -212,3 +212,29 @@ def markdown_url(url: Column) -> Column:
 
 def critic_escape(text: Column) -> Column:
     return F.regexp_replace(text, r"(\{(?:\+\+|--|~~|==|>>)|(?:\+\+|--|~~|==|<<)\}|~>)", r"\\$1")
+
+
+def truncate_utf16(text: Column, units: int) -> Column:
+    """struct<text, truncated>: as much of the text as fits so many UTF-16 units; a pair of surrogates is not split."""
+    raw = F.encode(text, "UTF-16BE")
+    head = F.substring(raw, 1, 2 * units)
+    split_pair = F.hex(F.substring(head, -2, 1)).between("D8", "DB")
+    kept = F.when(split_pair, F.substring(raw, 1, 2 * units - 2)).otherwise(head)
+    long = F.octet_length(raw) > 2 * units
+    return F.struct(F.when(long, F.decode(kept, "UTF-16BE")).otherwise(text).alias("text"), long.alias("truncated"))
+
+
+def bracket_safe(text: Column) -> Column:
+    """Square brackets get a backslash unless they are balanced."""
+    marks = F.split(F.regexp_replace(text, r"[^\[\]]", ""), "")
+    step = lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+    walked = F.aggregate(marks, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low")), lambda a, c: F.struct((a["depth"] + step(c)).alias("depth"), F.least(a["low"], a["depth"] + step(c)).alias("low")))
+    balanced = (walked["depth"] == 0) & (walked["low"] == 0)
+    return F.when(balanced, text).otherwise(F.regexp_replace(text, r"([\[\]])", r"\\$1"))
+
+
+def join_path(folder: Column, href: Column) -> Column:
+    """A reference seen from a folder as one path: '.' and empty parts go, '..' takes the part before with it; one that starts with '/' is seen from the root."""
+    parts = F.split(F.when(href.startswith("/"), href).otherwise(F.concat(folder, F.lit("/"), href)), "/")
+    step = lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")

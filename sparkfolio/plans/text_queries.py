@@ -214,3 +214,38 @@ def fn_markdown_url(spark, d):
     k = F.col("c_custkey") % 3
     url = F.when(k == 0, "http://x/a b").when(k == 1, "http://x/(a").otherwise("http://x/(a)")
     return table(spark, d, "customer").select("c_custkey", X.markdown_url(url).alias("link"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, replace(coalesce(text, ''), 'e', '😀') AS t FROM documents),
+    n AS (SELECT *, list_max(list_filter(range(0, 41), lambda k: k + len(regexp_extract_all(substring(t, 1, k), '[\x{10000}-\x{10FFFF}]')) <= 40)) AS k FROM d)
+    SELECT doc_id, md5(substring(t, 1, k)) AS head, length(t) + len(regexp_extract_all(t, '[\x{10000}-\x{10FFFF}]')) > 40 AS truncated FROM n""")
+def fn_truncate_utf16(spark, d):
+    text = F.replace(F.coalesce(T(), F.lit("")), F.lit("e"), F.lit("😀"))
+    found = table(spark, d, "documents").select("doc_id", X.truncate_utf16(text, 40).alias("r"))
+    return found.select("doc_id", F.md5("r.text").alias("head"), "r.truncated")
+
+
+_BRACKETS = "chr(91 + 2 * CAST(p_partkey % 2 AS INT)) || p_brand || chr(91 + 2 * CAST(p_size % 2 AS INT)) || p_type || chr(91 + 2 * CAST(p_partkey // 2 % 2 AS INT)) || chr(93)"
+
+
+@query(rf"""WITH p AS (SELECT p_partkey, {_BRACKETS} AS t FROM part), b AS (SELECT *, regexp_replace(t, '[^\[\]]', '', 'g') AS b FROM p)
+    SELECT p_partkey, CASE WHEN length(replace(b, '[', '')) * 2 = length(b) AND len(list_filter(range(1, length(b) + 1), lambda k: length(replace(substring(b, 1, k), ']', '')) * 2 < k)) = 0 THEN t
+        ELSE replace(replace(t, '[', '\['), ']', '\]') END AS safe FROM b""")
+def fn_bracket_safe(spark, d):
+    mark = lambda c: F.when(c == 0, "[").otherwise("]")
+    text = F.concat(mark(F.col("p_partkey") % 2), F.col("p_brand"), mark(F.col("p_size") % 2), F.col("p_type"), mark(F.expr("p_partkey div 2") % 2), F.lit("]"))
+    return table(spark, d, "part").select("p_partkey", X.bracket_safe(text).alias("safe"))
+
+
+_STEPS = ("..", "a", ".", "", "b", "../..", "c/d")
+
+
+@query(f"""WITH s AS (SELECT {list(_STEPS)} AS s), p AS (SELECT p_partkey, 'x/y' || CASE WHEN p_size % 2 = 0 THEN '/' ELSE '' END AS folder, CASE WHEN p_size % 9 = 0 THEN '/' ELSE '' END || s[p_partkey % 7 + 1] || '/' || s[p_size % 7 + 1] || '/' || s[p_partkey // 7 % 7 + 1] AS href FROM part, s),
+    w AS (SELECT p_partkey, string_split(CASE WHEN starts_with(href, '/') THEN href ELSE folder || '/' || href END, '/') AS w FROM p)
+    SELECT p_partkey, ltrim(list_reduce(list_prepend('', w), lambda acc, x: CASE WHEN x IN ('', '.') THEN acc WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || x END), '/') AS path FROM w""")
+def fn_join_path(spark, d):
+    steps = F.array(*[F.lit(x) for x in _STEPS])
+    part = lambda c: F.get(steps, (c % 7).cast("int"))
+    href = F.concat(F.when(F.col("p_size") % 9 == 0, "/").otherwise(""), part(F.col("p_partkey")), F.lit("/"), part(F.col("p_size")), F.lit("/"), part(F.expr("p_partkey div 7")))
+    folder = F.concat(F.lit("x/y"), F.when(F.col("p_size") % 2 == 0, "/").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", X.join_path(folder, href).alias("path"))

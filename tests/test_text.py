@@ -93,3 +93,11 @@ def test_private_addresses(spark):
     private = ("10.0.0.1", "127.0.0.1", "172.16.3.4", "192.168.1.1", "100.64.0.1", "169.254.1.1", "224.0.0.1", "198.18.0.1")
     assert all(one(spark, X.is_private_ipv4(F.lit(i))) for i in private)
     assert not any(one(spark, X.is_private_ipv4(F.lit(i))) for i in ("8.8.8.8", "172.32.0.1", "100.128.0.1"))
+
+
+def test_cuts_brackets_and_paths(spark):
+    rows = [("ab😀c", "a[b]c", "x/y", "../z"), ("😀😀", "]a[", "", "/a/./b//c"), ("", "", "x", "../../.."), (None, "[[]", "x", "")]
+    frame = spark.createDataFrame(rows, "t string, b string, d string, h string")
+    got = frame.select(X.truncate_utf16(F.col("t"), 3).alias("t"), X.bracket_safe(F.col("b")).alias("b"), X.join_path(F.col("d"), F.col("h")).alias("p")).collect()
+    assert [(r["t"]["text"], r["t"]["truncated"]) for r in got] == [("ab", True), ("😀", True), ("", False), (None, None)]
+    assert [r["b"] for r in got] == ["a[b]c", "\\]a\\[", "", "\\[\\[\\]"] and [r["p"] for r in got] == ["x/z", "a/b/c", "", "x"]
