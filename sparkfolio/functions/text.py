@@ -133,7 +133,8 @@ def page_label(style: Column, number: Column, prefix: Column) -> Column:
 
 def clock(ms: Column, hours: Column, fraction: bool = True) -> Column:
     """mm:ss or hh:mm:ss, with milliseconds where they are not zero."""
-    pad = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")
+    digits = lambda n: n.cast("long").cast("string")
+    pad = lambda n: F.lpad(digits(n), F.greatest(F.lit(2), F.length(digits(n))), "0")  # noqa: E731 - lpad cuts what is longer
     base = F.when(hours, F.concat_ws(":", pad(F.floor(ms / 3600000)), pad(F.floor(ms / 60000) % 60), pad(F.floor(ms / 1000) % 60))).otherwise(
         F.concat_ws(":", pad(F.floor(ms / 60000)), pad(F.floor(ms / 1000) % 60))
     )

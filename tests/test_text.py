@@ -42,6 +42,8 @@ def test_labels(spark):
 def test_clock_and_sizes(spark):
     assert one(spark, X.clock(F.lit(3_723_004), F.lit(True))) == "01:02:03.004"
     assert one(spark, X.clock(F.lit(62_000), F.lit(False))) == "01:02"
+    assert one(spark, X.clock(F.lit(360_000_000), F.lit(True))) == "100:00:00"
+    assert one(spark, X.clock(F.lit(6_001_500), F.lit(False))) == "100:01.500"
     assert [one(spark, X.human_size(F.col("n")), n=n) for n in (12, 2048, 3 << 20, 5 << 30)] == ["12 B", "2.0 KB", "3.0 MB", "5.0 GB"]
     assert one(spark, X.frame_rate(F.lit("30000/1001"))) == pytest.approx(29.97, abs=0.01)
     assert one(spark, X.frame_rate(F.lit("1/0"))) is None
