@@ -182,10 +182,11 @@ def trust_report(spark, d):
 def redact_patterns(spark, d):
     """Every pattern of the balanced policy on a line made for each customer: what is redacted, and what only resembles it."""
     key = F.col("c_custkey").cast("long")
-    a, z = F.format_string("%03d", (key % 900).cast("int")), F.format_string("%04d", key.cast("int"))
+    a, z = F.format_string("%03d", (key % 900).cast("int")), F.format_string("%04d", key)
+    serial = F.format_string("%04d", key % 10000)  # a number with a fifth digit is no SSN
     card = F.when(key % 2 == 0, "4111 1111 1111 1111").otherwise("4111 1111 1111 1112")
     line = F.concat(
-        F.lit("Mail c"), z, F.lit("@mail.example.org, id "), a, F.lit("-12-"), z, F.lit(", password: 'abcdefghij"), z, F.lit("', not "), z, F.lit("-"), a, F.lit("-1. Card "), card,
+        F.lit("Mail c"), z, F.lit("@mail.example.org, id "), a, F.lit("-12-"), serial, F.lit(", password: 'abcdefghij"), z, F.lit("', not "), z, F.lit("-"), a, F.lit("-1. Card "), card,
         F.lit(". -----BEGIN RSA PRIVATE KEY----- eyJabcdefghijk.abcdefghijk."), F.lit("signature"), z,
     )
     found = table(spark, d, "customer").select(key.alias("c_custkey"), evidence.redact(line).alias("r"))
