@@ -32,24 +32,48 @@ def is_white(space: Column, color: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+_BOX = ("text", "left", "bottom", "right", "top")
+
+
+def _touching(boxes: DataFrame, keys: list[str], least: float, square: float) -> DataFrame:
+    """(keys, a, b): boxes (keys, _box, item) of different texts that share `least` or more of the smaller one, as structs of item and _box, a.item < b.item."""
+    spread = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"_box.{low}") / square), F.floor(F.col(f"_box.{high}") / square)))
+    spread_boxes = boxes.withColumn("_x", spread("left", "right")).withColumn("_y", spread("bottom", "top"))
+    side = lambda s: spread_boxes.select(*keys, "_x", "_y", F.struct("item", "_box").alias(s))
+    at = lambda s, c: F.col(f"{s}._box.{c}")
+    x0, y0 = F.greatest(at("a", "left"), at("b", "left")), F.greatest(at("a", "bottom"), at("b", "bottom"))
+    w, h = F.least(at("a", "right"), at("b", "right")) - x0, F.least(at("a", "top"), at("b", "top")) - y0
+    area = lambda s: (at(s, "right") - at(s, "left")) * (at(s, "top") - at(s, "bottom"))
+    shared = (w > 0) & (h > 0) & (w * h >= F.least(area("a"), area("b")) * least)
+    here = (F.floor(x0 / square) == F.col("_x")) & (F.floor(y0 / square) == F.col("_y"))
+    met = side("a").join(side("b"), [*keys, "_x", "_y"]).filter((F.col("a.item") <= F.col("b.item")) & ~at("a", "text").eqNullSafe(at("b", "text")) & shared & here)
+    return met.select(*keys, "a", "b")
+
+
+def _placed_boxes(items: DataFrame, keys: list[str]) -> DataFrame:
+    return items.filter("left < right AND bottom < top").select(*keys, F.struct(*_BOX).alias("_box"), "item")
+
+
 def overlapping_pairs(items: DataFrame, keys: list[str], least: float = OVERLAP, square: float = SQUARE) -> DataFrame:
     """(keys, a, b): items of a page, a < b, of different texts, whose boxes share `least` or more of the smaller one; each pair once.
 
     A box goes to every square that it covers; a pair counts only in the square that holds the lower left corner of what the two share. Equal
     boxes with one text (bold by double print) are one box in here, so a page of copies makes no pairs.
     """
-    good = items.filter("left < right AND bottom < top")
-    boxes = good.groupBy(*keys, "text", "left", "bottom", "right", "top").agg(F.min("item").alias("item"))
-    spread = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / square), F.floor(F.col(high) / square)))
-    spread_boxes = boxes.withColumn("_x", spread("left", "right")).withColumn("_y", spread("bottom", "top"))
-    side = lambda s: spread_boxes.select(*keys, "_x", "_y", *[F.col(c).alias(f"{s}_{c}") for c in ("item", "text", "left", "bottom", "right", "top")])
-    x0, y0 = F.greatest("a_left", "b_left"), F.greatest("a_bottom", "b_bottom")
-    w, h = F.least("a_right", "b_right") - x0, F.least("a_top", "b_top") - y0
-    area = lambda s: (F.col(f"{s}_right") - F.col(f"{s}_left")) * (F.col(f"{s}_top") - F.col(f"{s}_bottom"))
-    shared = (w > 0) & (h > 0) & (w * h >= F.least(area("a"), area("b")) * least)
-    here = (F.floor(x0 / square) == F.col("_x")) & (F.floor(y0 / square) == F.col("_y"))
-    pairs = side("a").join(side("b"), [*keys, "_x", "_y"]).filter((F.col("a_item") < F.col("b_item")) & ~F.col("a_text").eqNullSafe(F.col("b_text")) & shared & here)
-    return pairs.select(*keys, F.col("a_item").alias("a"), F.col("b_item").alias("b"))
+    boxes = _placed_boxes(items, keys).groupBy(*keys, "_box").agg(F.min("item").alias("item"))
+    return _touching(boxes, keys, least, square).filter("a.item < b.item").select(*keys, F.col("a.item").alias("a"), F.col("b.item").alias("b"))
+
+
+def first_overlaps(items: DataFrame, keys: list[str], least: float = OVERLAP, square: float = SQUARE) -> DataFrame:
+    """(keys, item, partner): every item that overlaps an earlier one of another text, copies too, with the first such.
+
+    The first item of all boxes that a box overlaps is the partner of each of its copies that comes later, so boxes meet once for all copies.
+    """
+    placed = _placed_boxes(items, keys)
+    met = _touching(placed.groupBy(*keys, "_box").agg(F.min("item").alias("item")), keys, least, square)
+    both = met.select(*keys, F.explode(F.array(F.struct("b._box", F.col("a.item").alias("with")), F.struct("a._box", F.col("b.item").alias("with")))).alias("_m"))
+    first = both.groupBy(*keys, F.col("_m._box").alias("_box")).agg(F.min("_m.with").alias("partner"))
+    return placed.join(first, [*keys, "_box"]).filter(F.col("partner") < F.col("item")).groupBy(*keys, "item").agg(F.min("partner").alias("partner"))
 
 
 def text_findings(items: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +85,7 @@ def text_findings(items: DataFrame, pages: DataFrame, keys: list[str]) -> DataFr
     off = (F.col("right") <= 0) | (F.col("left") >= F.col("width")) | (F.col("top") <= 0) | (F.col("bottom") >= F.col("height"))
     kinds = {"hidden_text": ~F.col("visible"), "tiny_text": F.abs(F.col("top") - F.col("bottom")) < TINY, "off_page_text": off}
     alone = placed.withColumn("type", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()])))).select(*keys, "item", "type")
-    met = overlapping_pairs(items, keys).groupBy(*keys, F.col("b").alias("item")).agg(F.min("a").alias("partner"))
+    met = first_overlaps(items, keys)
     found = alone.withColumn("partner", F.lit(None).cast(met.schema["partner"].dataType)).unionByName(met.withColumn("type", F.lit("overlapping_text")), allowMissingColumns=True)
     severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
     return found.select(*keys, "item", "type", F.element_at(severity, F.col("type")).alias("severity"), "partner")

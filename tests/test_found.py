@@ -95,6 +95,13 @@ def test_overlaps_of_a_hot_page(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_copies_overlap_too(spark):
+    box, far = (0.0, 0.0, 50.0, 10.0), (300.0, 0.0, 350.0, 10.0)
+    rows = [(1, 1, "a", *box), (1, 2, "b", *box), (1, 3, "b", *box), (1, 4, "a", *box), (1, 5, None, *box), (1, 6, None, *box), (1, 7, "a", *far), (1, 8, "a", *far), (2, 1, "b", *box)]
+    frame = spark.createDataFrame(rows, "page int, item int, text string, left double, bottom double, right double, top double")
+    assert sorted(tuple(r) for r in findings.first_overlaps(frame, ["page"]).collect()) == [(1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 1), (1, 6, 1)]
+
+
 def test_quota_goes_on_in_the_next_source(spark):
     a = spark.createDataFrame([(1, 5, "p"), (1, 5, "q"), (2, 1, "x")], "doc int, rank int, hit string")
     b = spark.createDataFrame([(1, 1, "r"), (1, 2, "s"), (2, 1, "y"), (3, 1, "z"), (None, 1, "n")], "doc int, rank int, hit string")
