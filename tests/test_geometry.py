@@ -284,3 +284,15 @@ def test_a_table_without_lines(spark):
     assert (table["row_count"], table["col_count"], table["missing"], table["merged"], table["spacing"]) == (3, 4, 3, 3, 0.95)
     assert table["confidence"] == 0.8 and table["signals"] == ["missing_cells", "merged_cell_candidates", "incomplete_cell_geometry"]
     assert borderless.borderless_tables(frame.limit(0), ["page"]).collect() == []
+
+
+def test_copies_of_points_and_boxes_meet_once(spark):
+    points = spark.createDataFrame([(1, k, 10.0, 10.0) for k in range(2_500)] + [(1, 9_000, None, 1.0), (2, 9_001, 70.0, 70.0)], "page int, p int, x double, y double")
+    boxes = spark.createDataFrame([(1, k, 0.0, 0.0, 80.0, 80.0) for k in range(3)] + [(2, 7, 60.0, 60.0, 80.0, 80.0), (2, 8, 70.0, 0.0, 80.0, 80.0)], "page int, b int, x0 double, bottom double, x1 double, top double")
+    found = ruled.points_in_boxes(points, boxes, ["page"])
+    assert found.columns == ["page", "p", "x", "y", "b", "x0", "bottom", "x1", "top"]
+    assert sorted((r["page"], r["p"], r["b"]) for r in found.collect()) == sorted([(1, k, b) for k in range(2_500) for b in range(3)] + [(2, 9_001, 7)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_p") < plan.index("Join Inner") < plan.index("collect_list")
+    held = ruled._gathered(points.filter("page = 1 AND x IS NOT NULL"), ["page", "x", "y"], "m")
+    assert sorted(len(r["m"]) for r in held.collect()) == [452, 1_024, 1_024]
