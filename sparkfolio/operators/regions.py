@@ -23,6 +23,8 @@ LEAST_SEGMENTS, CROSSINGS = 6, 12
 LINE_CHARS, PROSE_CHARS = 10, 25
 COLUMN_CHARS, INNER_CHARS, FILL, SHARE = 18.0, 30.0, 0.55, 0.2
 BARRIER_WIDTH, BARRIER_GAP = 0.5, 0.3
+#: Tables of regions grow with the pages, and their written files are far smaller than their rows in memory: none of them goes through the driver.
+MERGE = "merge"
 #: How far a side that is no column itself may be looked at for columns of its own.
 NESTED = 1
 
@@ -42,7 +44,7 @@ def _upper_median(column: str):
 def _clear_strips(items: DataFrame, region: list[str], facts: DataFrame) -> DataFrame:
     """Strips that few segments of a region cross, between strips that more cross: (region, start, stop)."""
     events = items.select(*region, F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))).alias("e"))
-    at = events.groupBy(*region, F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d")).join(facts.select(*region, "_allowed"), region)
+    at = events.groupBy(*region, F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d")).join(facts.select(*region, "_allowed").hint(MERGE), region)
     order = Window.partitionBy(*region).orderBy("x")
     low = at.withColumn("_low", F.sum("d").over(order) <= F.col("_allowed")).withColumn("_next", F.lead("x").over(order))
     runs = low.withColumn("_run", F.sum((~F.col("_low")).cast("int")).over(order)).filter("_low AND _run > 0")
@@ -57,10 +59,10 @@ def column_cuts(items: DataFrame, region: list[str], nested: int = NESTED) -> Da
     )
     facts = facts.filter((F.col("_n") >= LEAST_SEGMENTS) & (F.col("_right") - F.col("_left") > 4 * F.col("_size"))).withColumn("_allowed", F.floor(F.col("_n") / CROSSINGS))
     width, mid = F.col("_right") - F.col("_left"), (F.col("start") + F.col("stop")) / 2
-    wide = _clear_strips(items, region, facts).join(facts, region).filter(F.col("stop") - F.col("start") >= F.col("_size") * GUTTER)
+    wide = _clear_strips(items, region, facts).join(facts.hint(MERGE), region).filter(F.col("stop") - F.col("start") >= F.col("_size") * GUTTER)
     strips = wide.filter(mid.between(F.col("_left") + width * SHARE, F.col("_right") - width * SHARE)).select(*region, "start", "stop", width.alias("_width"), "_level")
     side = F.when(F.col("x1") <= F.col("start") + SLACK, 0).when(F.col("x0") >= F.col("stop") - SLACK, 1)
-    sided = cut_lineage(items.join(strips, region).withColumn("_side", side).filter("_side IS NOT NULL"))
+    sided = cut_lineage(items.join(strips.hint(MERGE), region).withColumn("_side", side).filter("_side IS NOT NULL"))
     cell = [*region, "start", "stop", "_side"]
     line = F.col("chars") >= LINE_CHARS
     judged = sided.withColumns({"_span": F.when(line, F.col("x1") - F.col("x0")), "_chars": F.when(line, F.col("chars"))}).groupBy(*cell).agg(
@@ -73,11 +75,11 @@ def column_cuts(items: DataFrame, region: list[str], nested: int = NESTED) -> Da
     judged = cut_lineage(judged.select(*cell, F.coalesce(text, F.lit(False)).alias("_ok")))
     if nested:
         # a side that is no column may be columns by itself
-        rest = sided.join(judged.filter("NOT _ok"), cell, "left_semi").select(*cell, "item", "x0", "x1", "top", "bottom", "chars", "body", (F.col("_depth") + 1).alias("_depth"))
+        rest = sided.join(judged.filter("NOT _ok").hint(MERGE), cell, "left_semi").select(*cell, "item", "x0", "x1", "top", "bottom", "chars", "body", (F.col("_depth") + 1).alias("_depth"))
         outer = {"start": f"_start{nested}", "stop": f"_stop{nested}", "_side": f"_side{nested}"}
         inner = column_cuts(cut_lineage(rest.withColumnsRenamed(outer)), [*region, *outer.values()], nested - 1)
         inner = inner.select(*region, *[F.col(new).alias(old) for old, new in outer.items()], F.lit(True).alias("_split"))
-        judged = judged.join(inner, cell, "left").select(*cell, (F.col("_ok") | F.coalesce("_split", F.lit(False))).alias("_ok"))
+        judged = judged.join(inner.hint(MERGE), cell, "left").select(*cell, (F.col("_ok") | F.coalesce("_split", F.lit(False))).alias("_ok"))
     both = judged.filter("_ok").groupBy(*region, "start", "stop").agg(F.countDistinct("_side").alias("_sides")).filter("_sides = 2")
     best = both.groupBy(*region).agg(F.max(F.struct((F.col("stop") - F.col("start")).alias("w"), (-F.col("start")).alias("k"), "start", "stop")).alias("_b"))
     return cut_lineage(best.select(*region, "_b.start", "_b.stop"))
@@ -90,17 +92,17 @@ def _crosses():
 def _with_page_gutter(items: DataFrame, cuts: DataFrame, region: list[str]) -> DataFrame:
     """(region, _band, start, stop) of all bands: their own gutter, or on whole pages that of the band with most segments where it fits."""
     band = [*region, "_band"]
-    sizes = items.groupBy(*band).agg(F.count(F.lit(1)).alias("_n"), F.max("_depth").alias("_level")).join(cuts, band, "left")
+    sizes = items.groupBy(*band).agg(F.count(F.lit(1)).alias("_n"), F.max("_depth").alias("_level")).join(cuts.hint(MERGE), band, "left")
     best = sizes.filter("start IS NOT NULL AND _level = 0").groupBy(*region).agg(F.max(F.struct("_n", "_band", "start", "stop")).alias("_t"))
     page = best.select(*region, F.col("_t.start").alias("start"), F.col("_t.stop").alias("stop"))
-    tried = items.join(cuts, band, "left_anti").join(page, region)
+    tried = items.join(cuts.hint(MERGE), band, "left_anti").join(page.hint(MERGE), region)
     left, right, prose = F.col("x1") <= F.col("start") + SLACK, F.col("x0") >= F.col("stop") - SLACK, F.col("chars") >= PROSE_CHARS
     fit = tried.groupBy(*band, "start", "stop").agg(
         (~F.bool_or(_crosses())).alias("_clear"), (F.bool_or(left) & F.bool_or(right) & F.bool_or((left | right) & prose)).alias("_prose")
     )
     fit = fit.select(*band, F.col("start").alias("_s"), F.col("stop").alias("_t"), "_clear", "_prose")
     order = Window.partitionBy(*region).orderBy("_band")
-    known = sizes.join(fit, band, "left").withColumn("_own", F.coalesce("start", F.when(F.col("_clear") & F.col("_prose"), F.col("_s"))))
+    known = sizes.join(fit.hint(MERGE), band, "left").withColumn("_own", F.coalesce("start", F.when(F.col("_clear") & F.col("_prose"), F.col("_s"))))
     between = F.col("_clear") & F.lag("_own").over(order).isNotNull() & F.lead("_own").over(order).isNotNull()
     takes = F.col("start").isNull() & ((F.col("_clear") & F.col("_prose")) | between)
     return known.select(*band, F.when(takes, F.col("_s")).otherwise(F.col("start")).alias("start"), F.when(takes, F.col("_t")).otherwise(F.col("stop")).alias("stop"))
@@ -115,16 +117,16 @@ def _split(items: DataFrame, region: list[str]) -> DataFrame:
     mid = (F.col("start") + F.col("stop")) / 2
     same = (F.col("start").isNull() & F.lag("start").over(order).isNull()) | (F.abs(mid - F.lag(mid).over(order)) < SAME_GUTTER * F.col("_size"))
     new = F.when(F.row_number().over(order) == 1, 0).otherwise((~F.coalesce(same, F.lit(False))).cast("int"))
-    grouped = cuts.join(size, region).withColumn("_new", new).withColumn("_group", F.sum("_new").over(order))
+    grouped = cuts.join(size.hint(MERGE), region).withColumn("_new", new).withColumn("_group", F.sum("_new").over(order))
     group = [*region, "_group"]
     grouped = cut_lineage(grouped)
-    inner = cut_lineage(banded.join(grouped.select(*region, "_band", "_group"), [*region, "_band"]).drop("_band"))
+    inner = cut_lineage(banded.join(grouped.select(*region, "_band", "_group").hint(MERGE), [*region, "_band"]).drop("_band"))
     first = grouped.groupBy(*group).agg(F.min_by(F.struct("start", "stop"), "_band").alias("_f"))
-    parted = inner.join(first.filter("_f.start IS NOT NULL").select(*group), group, "left_semi")
+    parted = inner.join(first.filter("_f.start IS NOT NULL").select(*group).hint(MERGE), group, "left_semi")
     again = column_cuts(parted, group).select(*group, F.struct("start", "stop").alias("_a"))  # on the whole group: a band alone may be too small
-    gutter = first.join(again, group, "left").select(*group, F.coalesce("_a", "_f").alias("_g"))
+    gutter = first.join(again.hint(MERGE), group, "left").select(*group, F.coalesce("_a", "_f").alias("_g"))
     whole = Window.partitionBy(*group)
-    cut = inner.join(gutter, group).withColumns({"start": F.col("_g.start"), "stop": F.col("_g.stop")}).drop("_g")
+    cut = inner.join(gutter.hint(MERGE), group).withColumns({"start": F.col("_g.start"), "stop": F.col("_g.stop")}).drop("_g")
     wide = F.col("x1") - F.col("x0") >= (F.max("x1").over(whole) - F.min("x0").over(whole)) * BARRIER_WIDTH
     cut = cut_lineage(cut.withColumn("_barrier", F.coalesce(_crosses() & wide, F.lit(False))))
     down = Window.partitionBy(*group).orderBy(F.desc("top"), F.desc("bottom"), "item")
@@ -132,7 +134,7 @@ def _split(items: DataFrame, region: list[str]) -> DataFrame:
     barriers = cut.filter("_barrier").withColumn("_new", F.coalesce((lowest > F.col("top") + F.col("body") * BARRIER_GAP).cast("int"), F.lit(0)))
     barriers = barriers.withColumn("_zone", F.sum("_new").over(down)).drop("_new").withColumn("_side", F.lit(2))
     bottoms = barriers.groupBy(*group, "_zone").agg(F.min("bottom").alias("_low")).groupBy(*group).agg(F.collect_list("_low").alias("_lows"))
-    rest = cut.filter("NOT _barrier").join(bottoms, group, "left")
+    rest = cut.filter("NOT _barrier").join(bottoms.hint(MERGE), group, "left")
     above = F.size(F.filter(F.coalesce("_lows", F.array().cast("array<double>")), lambda b: b > (F.col("top") + F.col("bottom")) / 2))
     sides = F.when(F.col("start").isNull(), 0).when((F.col("x0") + F.col("x1")) / 2 < (F.col("start") + F.col("stop")) / 2, 0).otherwise(1)
     rest = rest.withColumns({"_zone": above.cast("long"), "_side": sides}).drop("_lows")

@@ -296,3 +296,13 @@ def test_copies_of_points_and_boxes_meet_once(spark):
     assert plan.index("Generate explode(_p") < plan.index("Join Inner") < plan.index("collect_list")
     held = ruled._gathered(points.filter("page = 1 AND x IS NOT NULL"), ["page", "x", "y"], "m")
     assert sorted(len(r["m"]) for r in held.collect()) == [452, 1_024, 1_024]
+
+
+def test_regions_are_not_sent_through_the_driver(spark, monkeypatch):
+    seen, written = [], regions.cut_lineage
+    monkeypatch.setattr(regions, "cut_lineage", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    rows = [(1, f"{side}{k:02d}", 40.0 + 260 * side, 240.0 + 260 * side, 800.0 - 12 * k, 790.5 - 12 * k, 30, 10.0) for side in (0, 1) for k in range(12)]
+    frame = spark.createDataFrame(rows, "page int, item string, x0 double, x1 double, top double, bottom double, chars int, body double")
+    found = {r["item"]: r["region"] for r in regions.reading_regions(frame, ["page"]).collect()}
+    assert found == {item: int(item[0]) + 1 for _, item, *_ in rows}
+    assert sum("SortMergeJoin" in plan for plan in seen) > 5 and not any("Broadcast" in plan for plan in seen)
