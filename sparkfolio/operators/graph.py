@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state == before:
             break
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of the nodes 0 to n - 1, by edges (a, b): for graphs that a task holds."""
+    low = np.arange(n)
+    while True:
+        least, new = np.minimum(low[a], low[b]), low.copy()
+        for at in (a, b, low[a], low[b]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if np.array_equal(new, low):
+            return low
+        low = new

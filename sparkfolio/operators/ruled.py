@@ -9,13 +9,16 @@ vertical one, or with more than MAX_PAIRS pairs of the two (hatching, charts) ha
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkfolio.operators.borderless import anchored
-from sparkfolio.operators.graph import connected_components
+from sparkfolio.operators.graph import connected_components, labels
 from sparkfolio.operators.layout import cluster_positions
-from sparkfolio.session import cut_lineage
+from sparkfolio.session import cut_lineage, ship_package
 
 # They decide what counts as one line, as touching, and as a table.
 SNAP = 2.0
@@ -23,6 +26,12 @@ MAX_PAIRS = 4_000_000
 MAX_CELLS = 10_000
 COVERED = 0.6
 SPARSE = 0.25
+#: Pages of more lines than this find their components in rounds over all pages, others in one row each.
+PAGE_LINES = 4_096
+#: So many cells of grids are joined at a time, and one grid's more.
+CELLS_AT_ONCE = 1_000_000
+#: Written tables are far smaller than their rows in memory, so joins with them do not broadcast.
+MERGE = "merge"
 #: Side of the squares that pages are split into for joins, in points.
 SQUARE = 72.0
 #: How many rows at one place are gathered in one row.
@@ -45,7 +54,7 @@ def merged_rules(rules: DataFrame, keys: list[str]) -> DataFrame:
     line = Window.partitionBy(*side, "_anchor")
     along = line.orderBy("start", "stop")
     reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    runs = turned.join(places, [*side, "at"]).withColumn("_new", (F.col("start") > reach + SNAP).cast("int"))
+    runs = turned.join(places.hint(MERGE), [*side, "at"]).withColumn("_new", (F.col("start") > reach + SNAP).cast("int"))
     runs = runs.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(along)).groupBy(*side, "_anchor", "_run")
     out = runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("at").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     out = out.withColumn("at", F.sum("_sum").over(line) / F.sum("_n").over(line)).filter(F.col("stop") - F.col("start") >= 2 * SNAP)
@@ -74,45 +83,111 @@ def _edges(lines: DataFrame, keys: list[str], across: bool) -> DataFrame:
     return found.groupBy(*keys, "grid").agg(F.array_sort(F.collect_list("position")).alias("xs" if across else "ys"))
 
 
+def _touching(owner: np.ndarray, horizontal: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Horizontal and vertical lines of one owner that touch; lines are sorted by owner, owners count from 0."""
+    h, v = np.flatnonzero(horizontal), np.flatnonzero(~horizontal)
+    n_v = np.bincount(owner[v], minlength=owner[-1] + 1)
+    many = n_v[owner[h]]
+    a = np.repeat(h, many)
+    b = v[np.repeat((np.cumsum(n_v) - n_v)[owner[h]], many) + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)]
+    near = lambda x, i: (at[x] >= start[i] - SNAP) & (at[x] <= stop[i] + SNAP)
+    meet = near(b, a) & near(a, b)
+    return a[meet], b[meet]
+
+
+def _labelled_pages(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, grid, horizontal, at, start, stop): lines that touch another one, with the number of their component in the page. A page is gathered in a row."""
+    fields = ("horizontal", "at", "start", "stop")
+
+    def label(batches):
+        for batch in batches:
+            held = batch.column("_l")
+            flat, owner = held.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
+            values = [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
+            pairs = np.bincount(owner[values[0]], minlength=batch.num_rows) * np.bincount(owner[~values[0]], minlength=batch.num_rows)
+            part = (np.cumsum(pairs) // MAX_PAIRS)[owner]  # so many pages at a time
+            for k in np.unique(part):
+                low, high = np.searchsorted(part, [k, k + 1])
+                a, b = _touching(owner[low:high] - owner[low], *(x[low:high] for x in values))
+                met = np.union1d(a, b)
+                grid = labels(high - low, a, b)[met]
+                columns = {c: batch.column(c).take(pa.array(owner[low:high][met])) for c in keys}
+                columns |= {"grid": pa.array(grid, pa.int64())} | {f: flat.field(f).take(pa.array(met + low)) for f in fields}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    ship_package(lines.sparkSession)
+    gathered = lines.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_l"))
+    schema = T.StructType([*(lines.schema[c] for c in keys), T.StructField("grid", T.LongType()), *(lines.schema[c] for c in fields)])
+    return gathered.mapInArrow(label, schema)
+
+
 def ruled_grids(rules: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Grids (keys, grid, xs, ys, n_cols, n_rows) and their lines (keys, grid, horizontal, at, start, stop). ys go from the top down."""
-    lines = cut_lineage(merged_rules(rules, keys).withColumn("line", F.monotonically_increasing_id()))
-    counts = lines.groupBy(*keys).agg(F.count_if("horizontal").alias("_h"), F.count_if(~F.col("horizontal")).alias("_v"))
-    fit = counts.filter((F.col("_h") >= 2) & (F.col("_v") >= 1) & (F.col("_h") * F.col("_v") <= MAX_PAIRS)).select(*keys)
-    lines = lines.join(fit, keys, "left_semi")
-    labels = connected_components(crossings(lines, keys))
-    lines = cut_lineage(lines.join(labels, lines["line"] == labels["node"]).select(*keys, F.col("component").alias("grid"), "horizontal", "at", "start", "stop"))
-    grids = _edges(lines, keys, True).join(_edges(lines, keys, False), [*keys, "grid"])
+    page = Window.partitionBy(*keys)
+    counted = merged_rules(rules, keys).withColumns({"_h": F.count_if("horizontal").over(page), "_v": F.count_if(~F.col("horizontal")).over(page)})
+    fit = cut_lineage(counted.filter((F.col("_h") >= 2) & (F.col("_v") >= 1) & (F.col("_h") * F.col("_v") <= MAX_PAIRS)))
+    small = F.col("_h") + F.col("_v") <= PAGE_LINES
+    labelled = _labelled_pages(fit.filter(small).drop("_h", "_v"), keys)
+    large = fit.filter(~small).drop("_h", "_v")
+    if not large.isEmpty():
+        large = cut_lineage(large.withColumn("line", F.monotonically_increasing_id()))
+        found = connected_components(crossings(large, keys))
+        large = large.join(found.hint(MERGE), large["line"] == found["node"]).select(*keys, F.col("component").alias("grid"), "horizontal", "at", "start", "stop")
+        labelled = labelled.unionByName(large)
+    lines = cut_lineage(labelled)
+    grids = _edges(lines, keys, True).join(_edges(lines, keys, False).hint(MERGE), [*keys, "grid"])
     grids = grids.select(*keys, "grid", "xs", F.reverse("ys").alias("ys"), (F.size("xs") - 1).alias("n_cols"), (F.size("ys") - 1).alias("n_rows"))
     enough = lines.groupBy(*keys, "grid").agg(F.count_if("horizontal").alias("_h")).filter("_h >= 2").drop("_h")
-    grids = grids.filter(f"n_cols >= 2 AND n_rows >= 2 AND n_cols * n_rows <= {MAX_CELLS}").join(enough, [*keys, "grid"], "left_semi")
+    grids = grids.filter(f"n_cols >= 2 AND n_rows >= 2 AND n_cols * n_rows <= {MAX_CELLS}").join(enough.hint(MERGE), [*keys, "grid"], "left_semi")
     return cut_lineage(grids), lines
 
 
 def _covered(grids: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, grid, down, r, c): the cell borders that a line covers for the most part; down is that below the cell, else that on its right."""
-    met = lines.join(grids, [*keys, "grid"])
+    """(keys, grid, n_rows, n_cols, down, r, c): the cell borders that a line covers for the most part; down is that below the cell, else that on its right."""
+    met = lines.join(grids.hint(MERGE), [*keys, "grid"])
     overlap = lambda low, high: F.least("stop", high) - F.greatest("start", low) >= (high - low) * COVERED
     inner = lambda n: F.when(F.col(n) > 1, F.sequence(F.lit(1), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     v = met.filter("NOT horizontal").withColumn("_i", F.explode(F.filter(inner("n_cols"), lambda i: F.abs(F.col("at") - F.get("xs", i)) <= SNAP)))
-    v = v.withColumn("r", F.explode(F.filter(every("n_rows"), lambda r: overlap(F.get("ys", r + 1), F.get("ys", r))))).select(*keys, "grid", F.lit(False).alias("down"), "r", (F.col("_i") - 1).alias("c"))
+    v = v.withColumn("r", F.explode(F.filter(every("n_rows"), lambda r: overlap(F.get("ys", r + 1), F.get("ys", r))))).select(*keys, "grid", "n_rows", "n_cols", F.lit(False).alias("down"), "r", (F.col("_i") - 1).alias("c"))
     h = met.filter("horizontal").withColumn("_i", F.explode(F.filter(inner("n_rows"), lambda i: F.abs(F.col("at") - F.get("ys", i)) <= SNAP)))
-    h = h.withColumn("c", F.explode(F.filter(every("n_cols"), lambda c: overlap(F.get("xs", c), F.get("xs", c + 1))))).select(*keys, "grid", F.lit(True).alias("down"), (F.col("_i") - 1).alias("r"), "c")
-    return v.unionByName(h).distinct()
+    h = h.withColumn("c", F.explode(F.filter(every("n_cols"), lambda c: overlap(F.get("xs", c), F.get("xs", c + 1))))).select(*keys, "grid", "n_rows", "n_cols", F.lit(True).alias("down"), (F.col("_i") - 1).alias("r"), "c")
+    return v.unionByName(h)
 
 
 def ruled_cells(grids: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, grid, r, c, root_r, root_c): each grid cell and the first cell of the one that it is part of: cells that no line parts are one."""
-    places = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.struct(r.alias("r"), c.alias("c")))))
-    cells = grids.select(*keys, "grid", "n_rows", "n_cols", F.explode(places).alias("_p")).select(*keys, "grid", "n_rows", "n_cols", "_p.r", "_p.c")
-    borders = cells.withColumn("down", F.explode(F.array(F.lit(True), F.lit(False)))).filter("IF(down, r + 1 < n_rows, c + 1 < n_cols)")
-    open_ = borders.join(_covered(grids, lines, keys), [*keys, "grid", "down", "r", "c"], "left_anti")
-    step = F.col("down").cast("int")
-    joined = open_.select(F.struct("grid", "r", "c").alias("a"), F.struct("grid", (F.col("r") + step).alias("r"), (F.col("c") + 1 - step).alias("c")).alias("b"))
-    roots = connected_components(joined).select("node.grid", "node.r", "node.c", F.col("component.r").alias("_r"), F.col("component.c").alias("_c"))
-    found = cells.join(roots, ["grid", "r", "c"], "left")
-    return found.select(*keys, "grid", "r", "c", F.coalesce("_r", "r").alias("root_r"), F.coalesce("_c", "c").alias("root_c"))
+    size = F.col("n_rows") * F.col("n_cols")
+    place = F.when(F.col("down"), size).otherwise(0) + F.col("r") * F.col("n_cols") + F.col("c")
+    covered = _covered(grids, lines, keys).groupBy(*keys, "grid").agg(F.collect_set(place).alias("_covered"))
+    sized = grids.select(*keys, "grid", "n_rows", "n_cols").join(covered.hint(MERGE), [*keys, "grid"], "left")
+    sized = sized.withColumn("_covered", F.coalesce("_covered", F.array().cast("array<int>")))
+    named = [*keys, "grid"]
+
+    def join_cells(batches):
+        for whole in batches:
+            cells = np.cumsum(whole.column("n_rows").to_numpy() * whole.column("n_cols").to_numpy())
+            cuts = np.unique([0, *np.searchsorted(cells, np.arange(CELLS_AT_ONCE, cells[-1] if len(cells) else 0, CELLS_AT_ONCE)), whole.num_rows])
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                batch = whole.slice(low, high - low)
+                n_cols, n = batch.column("n_cols").to_numpy().astype(np.int64), batch.column("n_rows").to_numpy().astype(np.int64) * batch.column("n_cols").to_numpy()
+                first = np.cumsum(n) - n
+                owner = np.repeat(np.arange(len(n)), n)
+                at, width = np.arange(len(owner)) - first[owner], n_cols[owner]
+                closed = np.zeros((2, len(owner)), bool)
+                held = batch.column("_covered")
+                of = np.repeat(np.arange(len(n)), np.diff(held.offsets.to_numpy()))
+                down, where = np.divmod(held.flatten().to_numpy().astype(np.int64), n[of])
+                closed[down, first[of] + where] = True
+                right = np.flatnonzero(~closed[0] & (at % width + 1 < width))
+                below = np.flatnonzero(~closed[1] & (at + width < n[owner]))
+                root = labels(len(owner), np.concatenate([right, below]), np.concatenate([right + 1, below + width[below]])) - first[owner]
+                columns = {c: batch.column(c).take(pa.array(owner)) for c in named}
+                yield pa.RecordBatch.from_pydict(columns | {k: pa.array(x, pa.int32()) for k, x in {"r": at // width, "c": at % width, "root_r": root // width, "root_c": root % width}.items()})
+
+    ship_package(grids.sparkSession)
+    schema = T.StructType([*(grids.schema[c] for c in named), *(T.StructField(c, T.IntegerType()) for c in ("r", "c", "root_r", "root_c"))])
+    return sized.mapInArrow(join_cells, schema)
 
 
 def _gathered(rows: DataFrame, at: list[str], name: str) -> DataFrame:

@@ -62,7 +62,7 @@ def win_ruled_cells(spark, d):
     grids, lines = ruled.ruled_grids(_rules(spark, d), ["page"])
     cells = ruled.ruled_cells(grids, lines, ["page"]).groupBy("page", "grid", "root_r", "root_c").agg(F.count(F.lit(1)).alias("size"))
     counted = cells.groupBy("page", "grid").agg(F.count(F.lit(1)).alias("n_cells"), F.max("size").alias("largest"))
-    return counted.join(grids, ["page", "grid"]).select("page", F.round(F.get("xs", F.lit(0)), 6).alias("x0"), F.round(F.get("ys", F.lit(0)), 6).alias("top"), "n_cells", "largest")
+    return counted.join(grids.hint(ruled.MERGE), ["page", "grid"]).select("page", F.round(F.get("xs", F.lit(0)), 6).alias("x0"), F.round(F.get("ys", F.lit(0)), 6).alias("top"), "n_cells", "largest")
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 500 AS page, l_quantity * 10 AS x, l_discount * 7000 AS y FROM lineitem),

@@ -306,3 +306,22 @@ def test_regions_are_not_sent_through_the_driver(spark, monkeypatch):
     found = {r["item"]: r["region"] for r in regions.reading_regions(frame, ["page"]).collect()}
     assert found == {item: int(item[0]) + 1 for _, item, *_ in rows}
     assert sum("SortMergeJoin" in plan for plan in seen) > 5 and not any("Broadcast" in plan for plan in seen)
+
+
+def test_components_of_small_and_large_pages_agree(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(p, rng.random() < 0.5, rng.randrange(30) * 5.0, s := rng.randrange(20) * 5.0, s + rng.randrange(40, 120)) for p in range(6) for _ in range(4 + 9 * p)]
+    frame = spark.createDataFrame(rows, "page int, horizontal boolean, at double, start double, stop double")
+
+    def found():
+        grids, lines = ruled.ruled_grids(frame, ["page"])
+        cells = ruled.ruled_cells(grids, lines, ["page"]).groupBy("page", "grid").agg(F.sort_array(F.collect_list(F.struct("r", "c", "root_r", "root_c"))).alias("cells"))
+        return sorted((r["page"], r["xs"], r["ys"], r["n_rows"], r["n_cols"], r["cells"]) for r in grids.join(cells, ["page", "grid"]).collect())
+
+    monkeypatch.setattr(ruled, "PAGE_LINES", 10)
+    monkeypatch.setattr(ruled, "CELLS_AT_ONCE", 7)
+    rounds = found()
+    monkeypatch.setattr(ruled, "PAGE_LINES", 4_096)
+    monkeypatch.setattr(ruled, "CELLS_AT_ONCE", 1_000_000)
+    monkeypatch.setattr(ruled, "connected_components", None)  # pages of ordinary size go without rounds
+    assert len(rounds) > 3 and found() == rounds
