@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkfolio.functions.text import page_label
 from sparkfolio.operators import layout, media
 from sparkfolio.plans.registry import query, table
+from sparkfolio.session import spread
 
 _IV = "(SELECT l_orderkey, l_quantity * 4 AS a, l_quantity * 4 + l_discount * 200 + 1 AS z FROM lineitem)"
 
@@ -35,7 +36,7 @@ def win_gutters(spark, d):
 @query("""WITH s AS (SELECT l_orderkey, l_quantity AS v, coalesce(CAST(l_quantity - lag(l_quantity) OVER w > 2 AS INT), 0) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity)),
     g AS (SELECT l_orderkey, v, sum(n) OVER (PARTITION BY l_orderkey ORDER BY v) AS g FROM s) SELECT l_orderkey, round(avg(v), 6) AS position, count(*) AS members FROM g GROUP BY l_orderkey, g""")
 def win_cluster_positions(spark, d):
-    found = layout.cluster_positions(table(spark, d, "lineitem"), ["l_orderkey"], "l_quantity", 2.0)
+    found = layout.cluster_positions(spread(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey"), ["l_orderkey"], "l_quantity", 2.0)
     return found.select("l_orderkey", F.round("position", 6).alias("position"), "members")
 
 

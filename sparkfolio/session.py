@@ -56,6 +56,16 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Partitions for each task of a scan: a task's share of sorted and aggregated rows stays some tens of MB of files.
+PER_SCAN_TASK = 4
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Rows of files by hash of keys, in a number of partitions that grows with the files, so that what one task sorts and aggregates does not."""
+    least = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scan.repartition(max(least, PER_SCAN_TASK * scan.rdd.getNumPartitions()), *keys)
+
+
 _cuts: list[tuple[SparkSession, str]] = []
 
 

@@ -1,6 +1,7 @@
 """Plans: what reaches the scan, what is shuffled, what stays out of Python."""
 
 import io
+import re
 from contextlib import redirect_stdout
 
 import pytest
@@ -40,3 +41,14 @@ def test_no_cross_join(spark, name):
 def test_filters_reach_the_scan(spark):
     links = findings.link_signals(spark.read.parquet(f"{SF}/pages.parquet"), ["page_id"])
     assert "PushedFilters: [IsNotNull(url)]" in plan(links) and "ReadSchema: struct<page_id:bigint,url:string>" in plan(links)
+
+
+def test_partitions_grow_with_the_files(spark, tmp_path):
+    spark.range(400_000).selectExpr("id div 4 AS l_orderkey", "CAST(id % 50 AS DOUBLE) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        text = plan(QUERIES["win_cluster_positions"](spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    parts = [int(n) for n in re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\)", text)]
+    assert len(parts) == 1 and parts[0] >= 32
