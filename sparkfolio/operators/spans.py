@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkfolio.session import cut_lineage
+
 MARKS = ("insertion", "deletion", "highlight")
 # The delimiters of the notation.
 DELIMITERS = {"insertion": ("{++", "++}"), "deletion": ("{--", "--}"), "highlight": ("{==", "==}"), "comment": ("{>>", "<<}")}
@@ -42,10 +44,10 @@ def _comments_moved(leaves: DataFrame, keys: list[str]) -> DataFrame:
     levels = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
     nested = leaves.filter(F.size("path") > 0).withColumn("_node", F.explode(levels))
     nodes = nested.groupBy(*keys, "_node").agg(F.bool_or(F.col("kind") != "comment").alias("_content"), F.max("pos").alias("_end"))
-    inside = nested.filter("kind = 'comment'").select(*keys, "pos", "_node").join(nodes, [*keys, "_node"])
+    inside = nested.filter("kind = 'comment'").select(*keys, "pos", "_node").join(nodes.hint("merge"), [*keys, "_node"])
     leaving = inside.filter(~F.col("_content") | (F.element_at("_node", -1)["mark"] == "highlight"))
     first = leaving.groupBy(*keys, "pos").agg(F.min_by(F.struct("_content", "_end", (F.size("_node") - 1).alias("_keep")), F.size("_node")).alias("_out"))
-    moved = leaves.join(first, [*keys, "pos"], "left")
+    moved = leaves.join(first.hint("merge"), [*keys, "pos"], "left")
     behind = F.col("_out._content")
     order = F.struct(F.when(behind, F.col("_out._end")).otherwise(F.col("pos")).alias("at"), F.when(behind, 1).otherwise(0).alias("behind"), F.col("pos").alias("pos"))
     path = F.when(F.col("_out").isNull(), F.col("path")).otherwise(F.slice("path", F.lit(1), F.col("_out._keep")))
@@ -64,7 +66,7 @@ def span_runs(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
     path: array<struct<mark, by>>; closes and opens count levels: after `closes` of the spans of the run before, `opens` new ones lead to path.
     """
-    leaves = _comments_moved(leaf_paths(tokens, keys), keys)
+    leaves = _comments_moved(cut_lineage(leaf_paths(tokens, keys).select(*keys, "pos", "kind", "text", "format", "path")), keys)
     rows = leaves.withColumn("path", F.transform("path", lambda p: F.struct(p["mark"].alias("mark"), p["by"].alias("by"))))
     order = Window.partitionBy(*keys).orderBy("_order")
     text = F.struct("path", "kind", "format")

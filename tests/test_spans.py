@@ -122,3 +122,13 @@ def test_crossing_and_nested_marks(spark):
     runs = spans.span_runs(spark.createDataFrame(rows, SCHEMA), ["doc"])
     assert spans.rendered(runs, ["doc"]).first()["markup"] == "{++one{--two--}++}{--three--}four{==hi==}{>>note<<}"
     assert spans.rendered(spans.span_runs(spark.createDataFrame([], SCHEMA), ["doc"]), ["doc"]).collect() == []
+
+
+def test_leaves_are_made_once(spark, monkeypatch):
+    written, real = [], spans.cut_lineage
+    monkeypatch.setattr(spans, "cut_lineage", lambda df: written.append(df.columns) or real(df))
+    rows = [(1, 1, "open", "insertion", "A", None, None), (1, 2, "text", None, None, "x", None), (1, 3, "comment", None, None, "c", None), (1, 4, "close", "insertion", None, None, None)]
+    frame = spark.createDataFrame(rows, "doc int, pos int, kind string, mark string, by string, text string, format string")
+    runs = spans.span_runs(frame, ["doc"])
+    assert written == [["doc", "pos", "kind", "text", "format", "path"]] and "Broadcast" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert [(r["kind"], r["text"], [p["mark"] for p in r["path"]]) for r in runs.orderBy("run").collect()] == [("text", "x", ["insertion"]), ("comment", "c", ["insertion"])]
