@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkfolio.functions.text import estimate_tokens, term_set
 from sparkfolio.operators import compare, evidence, outline, reading, search, units
 from sparkfolio.plans.registry import query, table
-from sparkfolio.session import spread
+from sparkfolio.session import shares, spread
 from sparkfolio.sources import html, tabular
 
 
@@ -263,7 +263,8 @@ def score_bag_f1(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
     # each turn against the next one; words of a pair are counted where its texts meet
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
-    pairs = spread(turns.withColumnRenamed("text", "a"), "conv_id", "turn").join(spread(following, "conv_id", "turn").hint("merge"), ["conv_id", "turn"])
+    parts = shares(turns, "text")
+    pairs = spread(turns.withColumnRenamed("text", "a"), "conv_id", "turn", parts=parts).join(spread(following, "conv_id", "turn", parts=parts).hint("merge"), ["conv_id", "turn"])
     return compare.bag_f1(pairs, ["conv_id", "turn"], "a", "b").select("conv_id", "turn", "overlap", F.round("f1", 6).alias("f1"))
 
 
