@@ -1,7 +1,8 @@
 """Tables drawn with ruling lines: pieces of lines are merged, lines that touch form a component, a component is a grid of cells.
 
-Rules are rows (keys, horizontal, at, start, stop): a straight line at one coordinate, from start to stop along the other. Keys name the page. Every
-join is an equality on the page and a square of it, so that one page with a third of all rules is split by its squares.
+Rules are rows (keys, horizontal, at, start, stop): a straight line at one coordinate, from start to stop along the other. Keys name the page. Pages of
+ordinary size are shuffled once and done where they land. The others go by windows, joins and rounds, and every join is an equality on the page and a
+square of it, so that one page with a third of all rules is split by its squares.
 
 Cases: rules with start > stop are turned round; null coordinates make no line. Pages with fewer than two horizontal lines, without a
 vertical one, or with more than MAX_PAIRS pairs of the two (hatching, charts) have no grid, nor have components of less than two rows or columns.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from sparkfolio.operators.borderless import anchored
 from sparkfolio.operators.graph import connected_components, labels
 from sparkfolio.operators.layout import cluster_positions
-from sparkfolio.session import cut_lineage, ship_package
+from sparkfolio.session import ROWS_A_TASK, cut_lineage, parts_for, ship_package, spread
 
 # They decide what counts as one line, as touching, and as a table.
 SNAP = 2.0
@@ -26,12 +28,16 @@ MAX_PAIRS = 4_000_000
 MAX_CELLS = 10_000
 COVERED = 0.6
 SPARSE = 0.25
-#: Pages of more lines than this find their components in rounds over all pages, others in one row each.
-PAGE_LINES = 4_096
+#: Pages of more rules than this are merged and find their components in rounds over all pages, others inside a task.
+PAGE_LINES = 65_536
+#: So many rules and more, of whole pages, are worked on at a time.
+RULES_AT_ONCE = 131_072
 #: So many cells of grids are joined at a time, and one grid's more.
 CELLS_AT_ONCE = 1_000_000
 #: Written tables are far smaller than their rows in memory, so joins with them do not broadcast.
 MERGE = "merge"
+#: What a rule and a line hold besides the keys.
+FIELDS = ("horizontal", "at", "start", "stop")
 #: Side of the squares that pages are split into for joins, in points.
 SQUARE = 72.0
 #: How many rows at one place are gathered in one row.
@@ -42,13 +48,18 @@ def _square(x: Column, side: float) -> Column:
     return F.floor(x / side)
 
 
+def _turned(rules: DataFrame, keys: list[str]) -> DataFrame:
+    """Rules that have all their coordinates, from the lesser end to the greater."""
+    turned = rules.select(*keys, "horizontal", F.col("at").cast("double"), F.least("start", "stop").cast("double").alias("start"), F.greatest("start", "stop").cast("double").alias("stop"))
+    return turned.dropna(subset=[*FIELDS])
+
+
 def merged_rules(rules: DataFrame, keys: list[str]) -> DataFrame:
     """Rules of one orientation at about one position become one line where they overlap or nearly touch: (keys, horizontal, at, start, stop).
 
     A line takes positions up to SNAP / 2 beyond its first one, and along them pieces that leave no gap of more than SNAP.
     """
-    turned = rules.select(*keys, "horizontal", F.col("at").cast("double"), F.least("start", "stop").cast("double").alias("start"), F.greatest("start", "stop").cast("double").alias("stop"))
-    turned = turned.dropna(subset=["horizontal", "at", "start", "stop"])
+    turned = _turned(rules, keys)
     side = [*keys, "horizontal"]
     places = anchored(turned, side, "at", SNAP / 2).withColumnRenamed("anchor", "_anchor")
     line = Window.partitionBy(*side, "_anchor")
@@ -95,51 +106,138 @@ def _touching(owner: np.ndarray, horizontal: np.ndarray, at: np.ndarray, start:
     return a[meet], b[meet]
 
 
-def _labelled_pages(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, grid, horizontal, at, start, stop): lines that touch another one, with the number of their component in the page. A page is gathered in a row."""
-    fields = ("horizontal", "at", "start", "stop")
-
-    def label(batches):
+def _starts(column: pa.ChunkedArray) -> np.ndarray:
+    """Where a column's value is another one than in the row before."""
+    changes = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()
+    return np.concatenate([[True], changes.astype(bool)])
+
+
+def _merged(fresh: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As merged_rules, of rules sorted by page, orientation and position, where fresh marks the first of each orientation: (row, at, start, stop)."""
+    anchors, first = [], 0.0
+    for new, x in zip(fresh.tolist(), at.tolist()):
+        new = new or (x != first and not x - first <= SNAP / 2)
+        first = x if new else first
+        anchors.append(new)
+    group = np.cumsum(anchors) - 1
+    order = np.lexsort((stop, start, group))
+    low, high, row = start[order], stop[order], np.flatnonzero(anchors)
+    runs, reach = [], 0.0
+    for new, x, end in zip(anchors, low.tolist(), high.tolist()):  # groups lie where they lay before sorting
+        new = new or x > reach + SNAP
+        reach = end if new or end > reach else reach
+        runs.append(new)
+    heads = np.flatnonzero(runs)
+    position = (np.bincount(group, weights=at) / np.bincount(group))[group[heads]]
+    start, stop = low[heads], np.maximum.reduceat(high, heads)
+    long = stop - start >= 2 * SNAP
+    return row[group[heads]][long], position[long], start[long], stop[long]
+
+
+def _axes(c: np.ndarray, horizontal: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As _edges, of lines with their components c, from 0: for rows from the top down, then for columns, the edges and how many each component has."""
+    n, side = c.max() + 1, horizontal.astype(np.int64)
+    low, high = np.full((n, 2), np.inf), np.full((n, 2), -np.inf)
+    np.minimum.at(low, (c, side), start)
+    np.maximum.at(high, (c, side), stop)
+    axis = np.concatenate([2 * c + 1 - side, np.arange(2 * n), np.arange(2 * n)])  # odd ones are columns
+    value = np.concatenate([at, low.ravel(), high.ravel()])
+    order = np.lexsort((value, axis))
+    axis, value = axis[order], value[order]
+    new = np.concatenate([[True], (axis[1:] != axis[:-1]) | (value[1:] - value[:-1] > SNAP)])
+    edge = np.cumsum(new) - 1
+    position, axis = np.bincount(edge, weights=value) / np.bincount(edge), axis[new]
+    rows = np.lexsort((-position, axis))
+    rows, columns = rows[axis[rows] % 2 == 0], np.flatnonzero(axis % 2 == 1)
+    return [(position[k], np.bincount(axis[k] // 2, minlength=n)) for k in (rows, columns)]
+
+
+def _listed(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _components(whole: pa.Table, keys: list[str]):
+    """Batches of the components of lines that touch, of whole pages of sorted rules."""
+    fresh = np.logical_or.reduce([_starts(whole[k]) for k in keys])
+    horizontal, *values = (whole[f].to_numpy() for f in FIELDS)
+    row, *values = _merged(fresh | _starts(whole["horizontal"]), *values)
+    owner, horizontal = (np.cumsum(fresh) - 1)[row], horizontal[row].astype(bool)
+    n = fresh.sum()
+    n_h, n_v = np.bincount(owner[horizontal], minlength=n), np.bincount(owner[~horizontal], minlength=n)
+    pairs = np.where((n_h >= 2) & (n_v >= 1) & (n_h * n_v <= MAX_PAIRS), n_h * n_v, 0)
+    fit = pairs[owner] > 0
+    row, owner, lines = row[fit], owner[fit], [x[fit] for x in (horizontal, *values)]
+    part = (np.cumsum(pairs) // MAX_PAIRS)[owner]  # so many pages at a time
+    for k in np.unique(part):
+        low, high = np.searchsorted(part, [k, k + 1])
+        own, held = owner[low:high] - owner[low], [x[low:high] for x in lines]
+        a, b = _touching(own, *held)
+        met = np.union1d(a, b)
+        if not len(met):
+            continue
+        least, first, c = np.unique(labels(high - low, a, b)[met], return_index=True, return_inverse=True)
+        met_lines = [x[met] for x in held]
+        (ys, n_ys), (xs, n_xs) = _axes(c, *met_lines)
+        order = np.argsort(c, kind="stable")
+        kinds = [pa.bool_(), *[pa.float64()] * 3]
+        columns = {key: whole[key].combine_chunks().take(pa.array(row[low:high][met[first]])) for key in keys}
+        columns |= {"grid": pa.array(least - np.searchsorted(own, own[least]), pa.int64()), "xs": _listed(n_xs, pa.array(xs)), "ys": _listed(n_ys, pa.array(ys))}
+        columns |= {"n_cols": pa.array(n_xs - 1, pa.int32()), "n_rows": pa.array(n_ys - 1, pa.int32()), "_h": pa.array(np.bincount(c[met_lines[0]], minlength=len(least)), pa.int64())}
+        columns["_l"] = _listed(np.bincount(c), pa.StructArray.from_arrays([pa.array(x[order], kind) for x, kind in zip(met_lines, kinds)], FIELDS))
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _grids_of_pages(rules: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """(keys, grid, xs, ys, n_cols, n_rows, _h, _l): the components of lines of each page, whose rules come sorted, a few pages at a time."""
+
+    def work(batches):
+        held, n = [], 0
         for batch in batches:
-            held = batch.column("_l")
-            flat, owner = held.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
-            values = [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
-            pairs = np.bincount(owner[values[0]], minlength=batch.num_rows) * np.bincount(owner[~values[0]], minlength=batch.num_rows)
-            part = (np.cumsum(pairs) // MAX_PAIRS)[owner]  # so many pages at a time
-            for k in np.unique(part):
-                low, high = np.searchsorted(part, [k, k + 1])
-                a, b = _touching(owner[low:high] - owner[low], *(x[low:high] for x in values))
-                met = np.union1d(a, b)
-                grid = labels(high - low, a, b)[met]
-                columns = {c: batch.column(c).take(pa.array(owner[low:high][met])) for c in keys}
-                columns |= {"grid": pa.array(grid, pa.int64())} | {f: flat.field(f).take(pa.array(met + low)) for f in fields}
-                yield pa.RecordBatch.from_pydict(columns)
-
-    ship_package(lines.sparkSession)
-    gathered = lines.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_l"))
-    schema = T.StructType([*(lines.schema[c] for c in keys), T.StructField("grid", T.LongType()), *(lines.schema[c] for c in fields)])
-    return gathered.mapInArrow(label, schema)
+            held.append(batch)
+            n += batch.num_rows
+            if n >= RULES_AT_ONCE:
+                whole = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(np.logical_or.reduce([_starts(whole[k]) for k in keys]))[-1])  # the last page may go on
+                if cut:
+                    yield from _components(whole.slice(0, cut), keys)
+                held, n = whole.slice(cut).to_batches(), n - cut
+        if n:
+            yield from _components(pa.Table.from_batches(held), keys)
+
+    ship_package(rules.sparkSession)
+    kept = ", ".join(f"{f}: double" if f != "horizontal" else f"{f}: boolean" for f in FIELDS)
+    own = T.StructType.fromDDL(f"grid long, xs array<double>, ys array<double>, n_cols int, n_rows int, _h long, _l array<struct<{kept}>>")
+    schema = T.StructType([*(rules.schema[c] for c in keys), *own])
+    return spread(rules, *keys, parts=parts).sortWithinPartitions(*keys, "horizontal", "at").mapInArrow(work, schema)
+
+
+def _lines_in_rounds(rules: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, grid, horizontal, at, start, stop): lines that touch another one with their component, for pages of any size."""
+    page = Window.partitionBy(*keys)
+    counted = merged_rules(rules, keys).withColumns({"_h": F.count_if("horizontal").over(page), "_v": F.count_if(~F.col("horizontal")).over(page)})
+    fit = counted.filter((F.col("_h") >= 2) & (F.col("_v") >= 1) & (F.col("_h") * F.col("_v") <= MAX_PAIRS)).drop("_h", "_v")
+    fit = cut_lineage(fit.withColumn("line", F.monotonically_increasing_id()))
+    found = connected_components(crossings(fit, keys))
+    return cut_lineage(fit.join(found.hint(MERGE), fit["line"] == found["node"]).select(*keys, F.col("component").alias("grid"), *FIELDS))
 
 
 def ruled_grids(rules: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Grids (keys, grid, xs, ys, n_cols, n_rows) and their lines (keys, grid, horizontal, at, start, stop). ys go from the top down."""
-    page = Window.partitionBy(*keys)
-    counted = merged_rules(rules, keys).withColumns({"_h": F.count_if("horizontal").over(page), "_v": F.count_if(~F.col("horizontal")).over(page)})
-    fit = cut_lineage(counted.filter((F.col("_h") >= 2) & (F.col("_v") >= 1) & (F.col("_h") * F.col("_v") <= MAX_PAIRS)))
-    small = F.col("_h") + F.col("_v") <= PAGE_LINES
-    labelled = _labelled_pages(fit.filter(small).drop("_h", "_v"), keys)
-    large = fit.filter(~small).drop("_h", "_v")
-    if not large.isEmpty():
-        large = cut_lineage(large.withColumn("line", F.monotonically_increasing_id()))
-        found = connected_components(crossings(large, keys))
-        large = large.join(found.hint(MERGE), large["line"] == found["node"]).select(*keys, F.col("component").alias("grid"), "horizontal", "at", "start", "stop")
-        labelled = labelled.unionByName(large)
-    lines = cut_lineage(labelled)
-    grids = _edges(lines, keys, True).join(_edges(lines, keys, False).hint(MERGE), [*keys, "grid"])
-    grids = grids.select(*keys, "grid", "xs", F.reverse("ys").alias("ys"), (F.size("xs") - 1).alias("n_cols"), (F.size("ys") - 1).alias("n_rows"))
-    enough = lines.groupBy(*keys, "grid").agg(F.count_if("horizontal").alias("_h")).filter("_h >= 2").drop("_h")
-    grids = grids.filter(f"n_cols >= 2 AND n_rows >= 2 AND n_cols * n_rows <= {MAX_CELLS}").join(enough.hint(MERGE), [*keys, "grid"], "left_semi")
-    return cut_lineage(grids), lines
+    turned = _turned(rules, keys).dropna(subset=keys)
+    sizes = turned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, n_large = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(F.col("_n") > PAGE_LINES)).first()
+    large = cut_lineage(sizes.filter(F.col("_n") > PAGE_LINES).drop("_n")) if n_large else None
+    small = turned.join(large, keys, "left_anti") if n_large else turned
+    enough = f"_h >= 2 AND n_cols >= 2 AND n_rows >= 2 AND n_cols * n_rows <= {MAX_CELLS}"
+    pages = cut_lineage(_grids_of_pages(small, keys, parts_for(rules.sparkSession, total, ROWS_A_TASK)).filter(enough).drop("_h"))
+    grids, lines = pages.drop("_l"), pages.select(*keys, "grid", F.inline("_l"))
+    if not n_large:
+        return grids, lines
+    parted = _lines_in_rounds(turned.join(large, keys, "left_semi"), keys)
+    more = _edges(parted, keys, True).join(_edges(parted, keys, False).hint(MERGE), [*keys, "grid"])
+    more = more.select(*keys, "grid", "xs", F.reverse("ys").alias("ys"), (F.size("xs") - 1).alias("n_cols"), (F.size("ys") - 1).alias("n_rows"))
+    more = more.join(parted.groupBy(*keys, "grid").agg(F.count_if("horizontal").alias("_h")).hint(MERGE), [*keys, "grid"]).filter(enough).drop("_h")
+    return grids.unionByName(cut_lineage(more)), lines.unionByName(parted)
 
 
 def _covered(grids: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -69,8 +69,12 @@ def shares(scan: DataFrame, text: str | None = None) -> int:
     Scan tasks alone do not tell: they stay as many as there are cores until the files exceed these by far.
     """
     total = scan.agg(F.count(F.lit(1)) if text is None else F.sum(F.length(text).cast("long"))).first()[0] or 0
-    least = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, PER_SCAN_TASK * scan.rdd.getNumPartitions(), -(-total // (ROWS_A_TASK if text is None else CHARS_A_TASK)))
+    return max(PER_SCAN_TASK * scan.rdd.getNumPartitions(), parts_for(scan.sparkSession, total, ROWS_A_TASK if text is None else CHARS_A_TASK))
+
+
+def parts_for(spark: SparkSession, total: int, share: int) -> int:
+    """Partitions of at most about `share` each, and no fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // share))
 
 
 def spread(scan: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:

@@ -325,3 +325,27 @@ def test_components_of_small_and_large_pages_agree(spark, monkeypatch):
     monkeypatch.setattr(ruled, "CELLS_AT_ONCE", 1_000_000)
     monkeypatch.setattr(ruled, "connected_components", None)  # pages of ordinary size go without rounds
     assert len(rounds) > 3 and found() == rounds
+
+
+def test_grids_of_pages_after_one_shuffle(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(p % 7, f"p{p}", *r) for p in range(40) for r in page_rules(rng, 1 + p % 3)] + [(None, "x", True, 1.0, 0.0, 90.0), (1, "p1", True, None, 0.0, 9.0), (9, "p9", False, float("nan"), 0.0, 9.0)]
+    frame = spark.createDataFrame(rows, "doc int, page string, horizontal boolean, at double, start double, stop double").repartition(3)
+    keys, plans, written = ["doc", "page"], [], ruled.cut_lineage
+
+    def found():
+        grids, lines = ruled.ruled_grids(frame, keys)
+        return sorted((r["doc"], r["page"], r["xs"], r["ys"], r["n"]) for r in grids.join(lines.groupBy(*keys, "grid").agg(F.count(F.lit(1)).alias("n")), [*keys, "grid"]).collect())
+
+    monkeypatch.setattr(ruled, "PAGE_LINES", 0)
+    rounds = found()
+    monkeypatch.setattr(ruled, "PAGE_LINES", 65_536)
+    monkeypatch.setattr(ruled, "RULES_AT_ONCE", 30)  # pages go on from one batch to the next
+    monkeypatch.setattr(ruled, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    monkeypatch.setattr(ruled, "connected_components", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert found() == rounds and len(rounds) > 40
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1]
