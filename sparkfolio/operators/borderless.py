@@ -6,15 +6,20 @@ items, boundaries or cells than admitted have no table here, as their grid is to
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkfolio.operators.layout import column_index, column_starts
-from sparkfolio.session import cut_lineage
+from sparkfolio.operators import paged
+from sparkfolio.session import ROWS_A_TASK, parts_for, ship_package, spread
 
 # They decide what is a row, a column and a table.
 ROW, GAP = 5.0, 15.0
 MAX_ITEMS, MAX_BOUNDARIES, MAX_CELLS = 4_096, 256, 16_384
+#: So many items and more, of whole pages, are looked at at a time.
+ITEMS_AT_ONCE = 65_536
 LEAST_CONFIDENCE, LOW_CONFIDENCE, IRREGULAR = 0.3, 0.65, 0.75
 
 
@@ -38,28 +43,72 @@ def anchored(values: DataFrame, keys: list[str], value: str, step: float) -> Dat
     return spread.select(*keys, value, F.array_max(F.filter("_f", lambda a: a <= F.col(value))).alias("anchor"))
 
 
+def _placed(whole: pa.Table, keys: list[str], columns: list[str]) -> pa.RecordBatch:
+    """The items of all tables, of whole pages of items sorted downwards."""
+    fresh = paged.changes(whole, keys)
+    page, down, left = np.cumsum(fresh) - 1, -whole["bottom"].to_numpy(), whole["left"].to_numpy()
+    begins = paged.anchor_starts(fresh, down, ROW)
+    line = np.cumsum(begins) - 1
+    anchor, of_page, n = down[begins], page[begins], fresh.sum()
+    size = np.bincount(line)
+    held = np.flatnonzero(size[line] >= 2)
+    full = size >= 2
+    # starts of columns, by the places of the items in rows of two and more: those within GAP of a start belong to it
+    order = held[np.lexsort((left[held], page[held]))]
+    x, p = left[order], page[order]
+    new = np.concatenate([[True], (p[1:] != p[:-1]) | (x[1:] - x[:-1] >= GAP)])[: len(x)]
+    starts, n_starts = x[new], np.bincount(p[new], minlength=n)
+    first = np.cumsum(n_starts) - n_starts
+    column = np.cumsum(new) - 1
+    near = np.bincount(line[order[x - starts[column] < GAP]], minlength=len(size))
+    good = (np.bincount(of_page[full], minlength=n) >= 2) & (n_starts >= 2) & (n_starts <= MAX_BOUNDARIES)
+    # runs of at least two aligned rows
+    rows = np.flatnonzero(full & good[of_page])
+    aligned = near[rows] >= n_starts[of_page[rows]] - 1
+    run = np.cumsum(~aligned | (np.diff(of_page[rows], prepend=-1) != 0))[aligned]  # another page is another run
+    rows = rows[aligned]
+    same = np.unique(run, return_inverse=True)[1]
+    long = np.bincount(same)[same] >= 2 if len(same) else np.zeros(0, bool)
+    run, rows = run[long], rows[long]
+    cells = np.bincount(of_page[rows], weights=n_starts[of_page[rows]], minlength=n)
+    fit = cells[of_page[rows]] <= MAX_CELLS
+    run, rows = run[fit], rows[fit]
+    begins = np.diff(run, prepend=-1) != 0
+    count = lambda marks: np.arange(len(rows)) - np.maximum.accumulate(np.where(marks, np.arange(len(rows)), 0))
+    turn = np.diff(of_page[rows], prepend=-1) != 0
+    tables = np.cumsum(begins)
+    table = tables - tables[np.arange(len(rows)) - count(turn)]
+    number, at = np.full(len(size), -1), np.zeros(len(size), np.int64)
+    number[rows], at[rows] = table, count(begins)
+    kept = order[number[line[order]] >= 0]
+    col = (column - first[p])[number[line[order]] >= 0]
+    out = {k: whole[k].combine_chunks().take(pa.array(kept)) for k in (*keys, "left", "bottom", "right", "top", "text")}
+    listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_starts)]), pa.int32()), pa.array(starts))
+    out |= {"table_index": pa.array(number[line[kept]], pa.int32()), "row": pa.array(at[line[kept]], pa.int32()), "y": pa.array(-anchor[line[kept]])}
+    out |= {"col": pa.array(col, pa.int32()), "starts": listed.take(pa.array(page[kept]))}
+    return pa.RecordBatch.from_pydict({c: out[c] for c in columns})
+
+
 def table_items(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Items of all tables: (keys, table_index, row, y, col, starts, left, bottom, right, top, text); row counts from 0 downwards."""
+    """Items of all tables: (keys, table_index, row, y, col, starts, left, bottom, right, top, text); row counts from 0 downwards.
+
+    Pages of at most MAX_ITEMS items are shuffled once and looked at where they land.
+    """
     sides = ["left", "bottom", "right", "top"]
-    good = items.select(*keys, F.trim("text").alias("text"), *[F.col(s).cast("double").alias(s) for s in sides]).filter("text <> ''")
+    good = items.select(*keys, F.trim("text").alias("text"), *[F.col(s).cast("double").alias(s) for s in sides]).filter("text <> ''").dropna(subset=keys)
     for s in sides:
         good = good.filter(F.col(s).isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf")))
-    counts = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= MAX_ITEMS).select(*keys)
-    good = good.join(counts, keys, "left_semi").withColumn("_down", -F.col("bottom"))
-    rows = good.join(anchored(good, keys, "_down", ROW), [*keys, "_down"])
-    rows = cut_lineage(rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "anchor"))).filter("_n >= 2").drop("_n", "_down"))
-    enough = rows.groupBy(*keys).agg(F.countDistinct("anchor").alias("_rows")).filter("_rows >= 2")
-    starts = column_starts(rows, keys, "left", GAP).groupBy(*keys).agg(F.array_sort(F.collect_list("column_start")).alias("starts")).filter(F.size("starts").between(2, MAX_BOUNDARIES))
-    placed = rows.join(starts.join(enough, keys, "left_semi"), keys)
-    near = F.exists("starts", lambda s: F.abs(F.col("left") - s) < GAP)
-    lines = placed.groupBy(*keys, "anchor").agg((F.count_if(near) >= F.first(F.size("starts")) - 1).alias("_aligned"), F.first(F.size("starts")).alias("_cols"))
-    order = Window.partitionBy(*keys).orderBy("anchor")
-    runs = lines.withColumn("_run", F.sum((~F.col("_aligned")).cast("int")).over(order)).filter("_aligned")
-    runs = runs.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_run"))).filter("_size >= 2")
-    runs = runs.withColumn("_cells", F.sum("_cols").over(Window.partitionBy(*keys))).filter(F.col("_cells") <= MAX_CELLS)
-    numbered = runs.select(*keys, "anchor", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("_run")) - 1).alias("table_index"), (F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("anchor")) - 1).alias("row"))
-    found = placed.join(numbered, [*keys, "anchor"])
-    return found.select(*keys, "table_index", "row", (-F.col("anchor")).alias("y"), column_index(F.col("left"), F.col("starts"), GAP / 2).alias("col"), "starts", *sides, "text")
+    total, large = paged.sized(good, keys, MAX_ITEMS)
+    good = good if large is None else good.join(large, keys, "left_anti")
+    own = T.StructType.fromDDL("table_index int, row int, y double, col int, starts array<double>, left double, bottom double, right double, top double, text string")
+    schema = T.StructType([*(good.schema[c] for c in keys), *own])
+
+    def work(batches):
+        for whole in paged.whole_pages(batches, keys, ITEMS_AT_ONCE):
+            yield _placed(whole, keys, schema.names)
+
+    ship_package(items.sparkSession)
+    return spread(good, *keys, parts=parts_for(items.sparkSession, total, ROWS_A_TASK)).sortWithinPartitions(*keys, F.col("bottom").desc()).mapInArrow(work, schema)
 
 
 def table_cells(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,7 +125,7 @@ def borderless_tables(items: DataFrame, keys: list[str]) -> DataFrame:
 
     confidence is the mean of the rows' shares of filled columns and of the evenness of their distances; tables below LEAST_CONFIDENCE are none.
     """
-    cells = cut_lineage(table_cells(table_items(items, keys), keys))
+    cells = table_cells(table_items(items, keys), keys)
     table = [*keys, "table_index"]
     rows = cells.groupBy(*table, "row", "y").agg(F.count(F.lit(1)).alias("_filled"), F.count_if(F.col("col_span") > 1).alias("_merged"), F.first(F.size("starts")).alias("_cols"))
     step = F.abs(F.lag("y").over(Window.partitionBy(*table).orderBy("row")) - F.col("y"))

@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkfolio.operators import paged
 from sparkfolio.operators.borderless import anchored
 from sparkfolio.operators.graph import connected_components, labels
 from sparkfolio.operators.layout import cluster_positions
@@ -106,24 +106,14 @@ def _touching(owner: np.ndarray, horizontal: np.ndarray, at: np.ndarray, start:
     return a[meet], b[meet]
 
 
-def _starts(column: pa.ChunkedArray) -> np.ndarray:
-    """Where a column's value is another one than in the row before."""
-    changes = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()
-    return np.concatenate([[True], changes.astype(bool)])
-
-
 def _merged(fresh: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As merged_rules, of rules sorted by page, orientation and position, where fresh marks the first of each orientation: (row, at, start, stop)."""
-    anchors, first = [], 0.0
-    for new, x in zip(fresh.tolist(), at.tolist()):
-        new = new or (x != first and not x - first <= SNAP / 2)
-        first = x if new else first
-        anchors.append(new)
+    anchors = paged.anchor_starts(fresh, at, SNAP / 2)
     group = np.cumsum(anchors) - 1
     order = np.lexsort((stop, start, group))
     low, high, row = start[order], stop[order], np.flatnonzero(anchors)
     runs, reach = [], 0.0
-    for new, x, end in zip(anchors, low.tolist(), high.tolist()):  # groups lie where they lay before sorting
+    for new, x, end in zip(anchors.tolist(), low.tolist(), high.tolist()):  # groups lie where they lay before sorting
         new = new or x > reach + SNAP
         reach = end if new or end > reach else reach
         runs.append(new)
@@ -158,9 +148,9 @@ def _listed(counts: np.ndarray, values: pa.Array) -> pa.Array:
 
 def _components(whole: pa.Table, keys: list[str]):
     """Batches of the components of lines that touch, of whole pages of sorted rules."""
-    fresh = np.logical_or.reduce([_starts(whole[k]) for k in keys])
+    fresh = paged.changes(whole, keys)
     horizontal, *values = (whole[f].to_numpy() for f in FIELDS)
-    row, *values = _merged(fresh | _starts(whole["horizontal"]), *values)
+    row, *values = _merged(fresh | paged.changes(whole, ["horizontal"]), *values)
     owner, horizontal = (np.cumsum(fresh) - 1)[row], horizontal[row].astype(bool)
     n = fresh.sum()
     n_h, n_v = np.bincount(owner[horizontal], minlength=n), np.bincount(owner[~horizontal], minlength=n)
@@ -191,18 +181,8 @@ def _grids_of_pages(rules: DataFrame, keys: list[str], parts: int) -> DataFrame:
     """(keys, grid, xs, ys, n_cols, n_rows, _h, _l): the components of lines of each page, whose rules come sorted, a few pages at a time."""
 
     def work(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= RULES_AT_ONCE:
-                whole = pa.Table.from_batches(held)
-                cut = int(np.flatnonzero(np.logical_or.reduce([_starts(whole[k]) for k in keys]))[-1])  # the last page may go on
-                if cut:
-                    yield from _components(whole.slice(0, cut), keys)
-                held, n = whole.slice(cut).to_batches(), n - cut
-        if n:
-            yield from _components(pa.Table.from_batches(held), keys)
+        for whole in paged.whole_pages(batches, keys, RULES_AT_ONCE):
+            yield from _components(whole, keys)
 
     ship_package(rules.sparkSession)
     kept = ", ".join(f"{f}: double" if f != "horizontal" else f"{f}: boolean" for f in FIELDS)
@@ -224,14 +204,12 @@ def _lines_in_rounds(rules: DataFrame, keys: list[str]) -> DataFrame:
 def ruled_grids(rules: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Grids (keys, grid, xs, ys, n_cols, n_rows) and their lines (keys, grid, horizontal, at, start, stop). ys go from the top down."""
     turned = _turned(rules, keys).dropna(subset=keys)
-    sizes = turned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total, n_large = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(F.col("_n") > PAGE_LINES)).first()
-    large = cut_lineage(sizes.filter(F.col("_n") > PAGE_LINES).drop("_n")) if n_large else None
-    small = turned.join(large, keys, "left_anti") if n_large else turned
+    total, large = paged.sized(turned, keys, PAGE_LINES)
+    small = turned if large is None else turned.join(large, keys, "left_anti")
     enough = f"_h >= 2 AND n_cols >= 2 AND n_rows >= 2 AND n_cols * n_rows <= {MAX_CELLS}"
     pages = cut_lineage(_grids_of_pages(small, keys, parts_for(rules.sparkSession, total, ROWS_A_TASK)).filter(enough).drop("_h"))
     grids, lines = pages.drop("_l"), pages.select(*keys, "grid", F.inline("_l"))
-    if not n_large:
+    if large is None:
         return grids, lines
     parted = _lines_in_rounds(turned.join(large, keys, "left_semi"), keys)
     more = _edges(parted, keys, True).join(_edges(parted, keys, False).hint(MERGE), [*keys, "grid"])

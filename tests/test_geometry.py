@@ -349,3 +349,32 @@ def test_grids_of_pages_after_one_shuffle(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     assert [p.count("Exchange hashpartitioning") for p in plans] == [1]
+
+
+def test_tables_without_lines_after_one_shuffle(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for p in range(30):
+        step = rng.choice([14.5, 15.0, 40.0])
+        rows += [(p % 4, f"p{p}", "w", c * step + rng.choice([0.0, 3.0]), -12.0 * r + rng.choice([0.0, 2.5]), c * step + 20, 9.0) for r in range(6) for c in range(5) if rng.random() < 0.9]
+    rows += [(9, f"p{p}", "w", k % 5 * 40.0, k // 5 * -12.0, k % 5 * 40.0 + 20, 9.0) for p, n in ((90, 4_096), (91, 4_097)) for k in range(n)] + [(None, "x", "w", 0.0, 0.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "doc int, page string, text string, left double, bottom double, right double, top double").repartition(3)
+
+    def found():
+        items = borderless.table_items(frame, ["doc", "page"])
+        assert items._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+        return sorted((r["doc"], r["page"], r["table_index"], r["row"], r["col"], r["y"], r["left"], tuple(r["starts"])) for r in items.collect())
+
+    whole = found()
+    assert sum(r[1] == "p90" for r in whole) == 4_095 and not any(r[1] == "p91" for r in whole)  # its last row holds one item, which is no row
+    by_page = {r[1]: {} for r in whole}
+    for doc, page, table, row, col, y, left, starts in whole:
+        assert starts[col] <= left < starts[col] + 15 or left >= starts[col] and (col + 1 == len(starts) or left < starts[col + 1])
+        assert by_page[page].setdefault((table, row), y) == y
+    assert all(list(seen.values()) == sorted(seen.values(), reverse=True) for seen in by_page.values())
+    monkeypatch.setattr(borderless, "ITEMS_AT_ONCE", 40)  # pages go on from one batch to the next
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert found() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
