@@ -85,10 +85,10 @@ def bag_f1(pairs: DataFrame, id_cols: list[str], reference: str, output: str) ->
     counted = told.groupBy(*id_cols, F.col("_t.w").alias("_w")).agg(F.count_if(F.col("_t.s") == 0).alias("_a"), F.count_if(F.col("_t.s") == 1).alias("_b"))
     rated = counted.groupBy(*id_cols).agg(F.sum(F.least("_a", "_b")).alias("overlap"), F.sum("_a").alias("_nr"), F.sum("_b").alias("_no"))
     p, r = F.col("overlap") / F.col("_no"), F.col("overlap") / F.col("_nr")
+    # 2pr / (p + r) by the counts: rounded once, so that what lies halfway between two decimals stays there
+    f1 = 2 * F.col("overlap") / (F.col("_nr") + F.col("_no"))
     zero = F.col("overlap") == 0
-    return rated.select(
-        *id_cols, "overlap", F.when(zero, 0.0).otherwise(p).alias("precision"), F.when(zero, 0.0).otherwise(r).alias("recall"), F.when(zero, 0.0).otherwise(2 * p * r / (p + r)).alias("f1")
-    )
+    return rated.select(*id_cols, "overlap", *[F.when(zero, 0.0).otherwise(c).alias(name) for name, c in (("precision", p), ("recall", r), ("f1", f1))])
 
 
 def sentence_recall(rows: DataFrame, id_cols: list[str], sentences: str, text: str) -> DataFrame:
