@@ -378,3 +378,15 @@ def test_tables_without_lines_after_one_shuffle(spark, monkeypatch):
         assert found() == whole
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_pairs_of_a_place_and_a_box_are_handed_on_one_by_one(spark):
+    points = spark.createDataFrame([(k % 3, k, 10.0 * (k % 5), 10.0) for k in range(60)], "page int, id int, x double, y double")
+    boxes = spark.createDataFrame([(k % 3, k, 5.0, 0.0, 25.0, 80.0) for k in range(30)], "page int, box int, x0 double, bottom double, x1 double, top double")
+    found = ruled.points_in_boxes(points, boxes, ["page"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ruled.TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    assert plan.index("Generate inline(_b") < plan.index("Generate explode(_p") < plan.index(f"Repartition {parts}, false") < plan.index("Join Inner")
+    assert plan.count("RepartitionByExpression") == 2 and found.rdd.getNumPartitions() == parts
+    assert sorted((r["id"], r["box"]) for r in found.collect()) == [(p, b) for p in range(60) for b in range(30) if p % 3 == b % 3 and p % 5 in (1, 2)]
+    assert sorted(tuple(r) for r in ruled.points_in_boxes(points.select("page", "x", "y"), boxes.drop("box"), ["page"]).distinct().collect()) == [(p, x, 10.0, 5.0, 0.0, 25.0, 80.0) for p in range(3) for x in (10.0, 20.0)]
