@@ -390,3 +390,22 @@ def test_pairs_of_a_place_and_a_box_are_handed_on_one_by_one(spark):
     assert plan.count("RepartitionByExpression") == 2 and found.rdd.getNumPartitions() == parts
     assert sorted((r["id"], r["box"]) for r in found.collect()) == [(p, b) for p in range(60) for b in range(30) if p % 3 == b % 3 and p % 5 in (1, 2)]
     assert sorted(tuple(r) for r in ruled.points_in_boxes(points.select("page", "x", "y"), boxes.drop("box"), ["page"]).distinct().collect()) == [(p, x, 10.0, 5.0, 0.0, 25.0, 80.0) for p in range(3) for x in (10.0, 20.0)]
+
+
+def test_tables_without_lines_on_pages_of_any_size(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(1, "w", c * 40.0, r * -12.0, c * 40.0 + 20, 9.0) for r in range(1_100) for c in range(4)]  # beyond 4,096 items
+    rows += [(2, "w", c * 20.0, r * -12.0, c * 20.0 + (10 if c else 19), 9.0) for r in range(3) for c in range(300)]  # and 256 boundaries
+    rows += [(3, "w", c * 20.0, r * -12.0, c * 20.0 + 10, 9.0) for r in range(90) for c in range(200) if c != r]  # and 16,384 cells
+    for p in range(10, 40):
+        step = rng.choice([14.5, 15.0, 22.0, 40.0])
+        rows += [(p, "w", c * step + rng.choice([0.0, 3.0]), -12.0 * r + rng.choice([0.0, 2.5]), c * step + rng.choice([-9.0, 20.0, step + 7.5, 70.0]), 9.0) for r in range(6) for c in range(5) if rng.random() < 0.9]
+    frame = spark.createDataFrame(rows + [(None, "w", 0.0, 0.0, 1.0, 1.0), (5, "w", 0.0, float("nan"), 1.0, 1.0)], "page int, text string, left double, bottom double, right double, top double")
+    found = sorted(tuple(r) for r in borderless.borderless_tables(frame, ["page"]).collect())
+    facts = {r[0]: (r[2], r[3], r[9], r[10]) for r in found if r[1] == 0 and r[0] < 10}
+    assert facts == {1: (1_100, 4, 0, 0), 2: (3, 300, 0, 3), 3: (90, 200, 90, 0)}
+    small = [tuple(r) for r in borderless.table_cells(borderless.table_items(frame, ["page"]), ["page"]).select("page", "table_index", "row", "col", "col_span").collect()]
+    placed = borderless.placed_items(frame, ["page"]).groupBy("page", "table_index", "row", "col").agg(F.max("span")).filter("page >= 10").collect()
+    assert len(small) > 200 and sorted(small) == sorted(tuple(r) for r in placed)
+    monkeypatch.setattr(borderless, "PAGE_ITEMS", 15)
+    assert sorted(tuple(r) for r in borderless.borderless_tables(frame, ["page"]).collect()) == found
