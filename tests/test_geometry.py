@@ -409,3 +409,30 @@ def test_tables_without_lines_on_pages_of_any_size(spark, monkeypatch):
     assert len(small) > 200 and sorted(small) == sorted(tuple(r) for r in placed)
     monkeypatch.setattr(borderless, "PAGE_ITEMS", 15)
     assert sorted(tuple(r) for r in borderless.borderless_tables(frame, ["page"]).collect()) == found
+
+
+def with_cells(frame, keys=("page",)):
+    got, lines = ruled.ruled_grids(frame, list(keys))
+    cells = defaultdict(dict)
+    for r in ruled.ruled_cells(got, lines, list(keys)).collect():
+        cells[r["page"], r["grid"]][r["r"], r["c"]] = (r["root_r"], r["root_c"])
+    found = defaultdict(list)
+    for r in got.collect():
+        found[r["page"]].append((r["xs"], r["ys"], cells[r["page"], r["grid"]]))
+    return {p: shape(g) for p, g in found.items()}
+
+
+RULES = "page int, horizontal boolean, at double, start double, stop double"
+
+
+def test_a_grid_on_a_page_with_many_pairs_of_lines(spark, monkeypatch):
+    grid = [(True, 20.0 * k, 0.0, 60.0) for k in range(4)] + [(False, 30.0 * k, 0.0, 60.0) for k in range(3)]
+    page = grid + [(True, 10.0 * k, 3_000.0, 3_010.0) for k in range(2_010)] + [(False, -10.0 * k - 20, -100.0, -50.0) for k in range(2_010)]  # beyond 4,000,000
+    pages = {1: page} | {p: page_rules(random.Random(p), 3) for p in range(2, 7)}
+    frame = spark.createDataFrame([(p, *r) for p, rules in pages.items() for r in rules], RULES)
+    found = with_cells(frame)
+    assert found[1] == shape(grids(grid)) and {p: shape(grids(rules)) for p, rules in pages.items() if p > 1} == {p: g for p, g in found.items() if p > 1}
+    monkeypatch.setattr(ruled, "PAIRS_AT_ONCE", 30)
+    assert with_cells(frame.filter("page > 1")) == {p: g for p, g in found.items() if p > 1}
+    monkeypatch.setattr(ruled, "PAGE_LINES", 0)  # and in rounds
+    assert with_cells(frame) == found
