@@ -436,3 +436,17 @@ def test_a_grid_on_a_page_with_many_pairs_of_lines(spark, monkeypatch):
     assert with_cells(frame.filter("page > 1")) == {p: g for p, g in found.items() if p > 1}
     monkeypatch.setattr(ruled, "PAGE_LINES", 0)  # and in rounds
     assert with_cells(frame) == found
+
+
+def test_a_grid_of_many_cells(spark, monkeypatch):
+    rng = random.Random(11)
+    side = 104  # 10,816 cells
+    rules = [(True, 10.0 * y, 10.0 * x, 10.0 * x + 10) for y in range(side + 1) for x in range(side) if y in (0, side) or rng.random() < 0.6]
+    rules += [(False, 10.0 * x, 10.0 * y, 10.0 * y + 10) for x in range(side + 1) for y in range(side) if x in (0, side) or rng.random() < 0.6]
+    found = with_cells(spark.createDataFrame([(1, *r) for r in rules], RULES))
+    assert found == {1: shape(grids(rules))} and max(len(cells) for _, _, cells in found[1]) == side * side
+    pages = {p: page_rules(rng, 3) for p in range(8)}
+    frame = spark.createDataFrame([(p, *r) for p, own in pages.items() for r in own], RULES)
+    in_tasks = with_cells(frame)
+    monkeypatch.setattr(ruled, "GRID_CELLS", 5)
+    assert len(in_tasks) == 8 and with_cells(frame) == in_tasks
