@@ -118,4 +118,4 @@ def win_reading_regions(spark, d):
         F.expr("l_orderkey div 8").alias("page"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("string")).alias("item"), x.alias("x0"),
         (x + F.when(wide, 480.0).otherwise(200.0 + F.col("l_tax") * 200)).alias("x1"), top.alias("top"), (top - 9.5).alias("bottom"), (F.col("l_quantity") + 15).cast("int").alias("chars"), F.lit(10.0).alias("body"),
     )
-    return regions.reading_regions(segments, ["page"])
+    return regions.page_regions(segments, ["page"])

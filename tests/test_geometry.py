@@ -450,3 +450,30 @@ def test_a_grid_of_many_cells(spark, monkeypatch):
     in_tasks = with_cells(frame)
     monkeypatch.setattr(ruled, "GRID_CELLS", 5)
     assert len(in_tasks) == 8 and with_cells(frame) == in_tasks
+
+
+SEGMENTS = "page int, item string, x0 double, x1 double, top double, bottom double, chars int, body double"
+
+
+def test_regions_of_pages_inside_tasks(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(p, f"{s[0]:04d}", *s[1:], 10.0) for p in range(60) for s in a_page(rng, p)]
+    for p in range(100, 130):  # places that repeat, overlap, are turned round or lack something
+        for k in range(rng.randrange(1, 70)):
+            x, y = rng.choice([0, 20, 150, 300, 320]) + rng.randrange(3), 10.0 * rng.randrange(1 if p % 5 == 0 else 40)
+            row = (p, rng.choice([None, "a", f"{k}"]), float(x), x + rng.choice([30.0, 100.0, 140.0, 400.0]), y, y - rng.choice([9.0, 9.0, 30.0, -4.0]), rng.choice([None, 3, 26, 40]), rng.choice([10.0, 10.0, 10.0, 8.0, None]))
+            rows += [row] * rng.choice([1, 1, 1, 2])
+    rows += [(200, "gone", None, 1.0, 2.0, 1.0, 3, 10.0), (200, "alone", 0.0, 1.0, 2.0, 1.0, 3, 10.0), (None, "x", 0.0, 1.0, 2.0, 1.0, 3, 10.0)]
+    frame = spark.createDataFrame(rows, SEGMENTS).repartition(5)
+    shown = lambda df: sorted((r["page"], r["item"] or "", r["region"]) for r in df.collect())
+    rounds = shown(regions.reading_regions(frame, ["page"]))
+    found = regions.page_regions(frame, ["page"])
+    assert found.columns == ["page", "item", "region"] and found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert len({r[2] for r in rounds}) > 6 and shown(found) == rounds
+    monkeypatch.setattr(regions, "SEGMENTS_AT_ONCE", 20)
+    monkeypatch.setattr(regions, "PAIRS_AT_ONCE", 9)
+    with monkeypatch.context() as at_once:
+        at_once.setattr(regions, "cut_lineage", None)  # nothing is written for pages of ordinary size
+        assert shown(regions.page_regions(frame, ["page"])) == rounds
+    monkeypatch.setattr(regions, "PAGE_SEGMENTS", 40)
+    assert shown(regions.page_regions(frame, ["page"])) == rounds
